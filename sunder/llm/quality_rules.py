@@ -151,7 +151,7 @@ def _apply(max_lost: float, with_text: bool):
     return run
 
 
-def line_first_quality(docs: DataFrame, max_lost: float = 0.3, with_text: bool = False) -> DataFrame:
+def line_first_quality(docs: DataFrame, max_lost: float = 0.5, with_text: bool = False) -> DataFrame:
     """Counts, verdict and, with ``with_text``, the cleaned text of every row of ``docs(doc_id, text)``."""
     schema = FIELDS + (", text string" if with_text else "")
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(
