@@ -33,7 +33,7 @@ from sunder.plans.scratch import Scratch
 WORDS = r"[^\x20\x09-\x0D]+"
 # The weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
-FAN = 32
+FAN = 8
 NO_ID = -(1 << 63)
 GROUP = 4096
 
