@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from sunder.llm import textkernel as tk
 
@@ -139,7 +139,7 @@ def _apply(max_lost: float, with_text: bool):
             for i, j in tk.row_slices(offsets):
                 out = judge(raw, offsets, i, j, max_lost)
                 ln, failed = out.pop("_lines")
-                cols = {"doc_id": batch.column("doc_id").slice(i, j - i)} | {k: pa.array(v) for k, v in out.items()}
+                cols = {c: batch.column(c).slice(i, j - i) for c in ("doc_id", "carry") if c in batch.schema.names} | {k: pa.array(v) for k, v in out.items()}
                 if with_text:
                     texts = batch.column("text").slice(i, j - i).to_pylist()
                     for r in np.unique(ln.rows[failed]):
@@ -151,9 +151,9 @@ def _apply(max_lost: float, with_text: bool):
     return run
 
 
-def line_first_quality(docs: DataFrame, max_lost: float = 0.5, with_text: bool = False) -> DataFrame:
-    """Counts, verdict and, with ``with_text``, the cleaned text of every row of ``docs(doc_id, text)``."""
-    schema = FIELDS + (", text string" if with_text else "")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(
-        _apply(max_lost, with_text), schema
-    )
+def line_first_quality(docs: DataFrame, max_lost: float = 0.5, with_text: bool = False, carry: tuple = ()) -> DataFrame:
+    """Counts, verdict and, with ``with_text``, the cleaned text of every row of ``docs(doc_id, text)``; ``carry`` as a struct."""
+    extra = [F.struct(*[docs[c] for c in carry]).alias("carry")] if carry else []
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *extra)
+    schema = FIELDS + (f", carry {rows.schema['carry'].dataType.simpleString()}" if carry else "") + (", text string" if with_text else "")
+    return rows.mapInArrow(_apply(max_lost, with_text), schema)

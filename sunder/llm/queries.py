@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sunder.llm import chat, html_text, line_dedup, mixing, ngram_join, quality_rules, topk
+from sunder.llm import chat, html_text, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +48,26 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by two co-trained views."""
+    return quality_classifier.co_train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the piece ids of every document, and whether they decode to its text."""
+    return sentencepiece.encode_texts(_table(spark, sf_dir, "documents"), digest=True)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language_id.identify_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_quality_rules, op4_html_extraction, op5_ngram_jaccard_join, op6_line_dedup, op8_mix_sources, op9_chat_formatting, op10_exact_topk,
+        op1_quality_classifier, op2_sentencepiece, op3_quality_rules, op4_html_extraction, op5_ngram_jaccard_join,
+        op6_line_dedup, op7_language_id, op8_mix_sources, op9_chat_formatting, op10_exact_topk,
     )
 }
 
