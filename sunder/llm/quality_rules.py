@@ -155,5 +155,5 @@ def line_first_quality(docs: DataFrame, max_lost: float = 0.5, with_text: bool =
     """Counts, verdict and, with ``with_text``, the cleaned text of every row of ``docs(doc_id, text)``; ``carry`` as a struct."""
     extra = [F.struct(*[docs[c] for c in carry]).alias("carry")] if carry else []
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *extra)
-    schema = FIELDS + (f", carry {rows.schema['carry'].dataType.simpleString()}" if carry else "") + (", text string" if with_text else "")
+    schema = FIELDS.replace("doc_id long,", "doc_id long," + (f" carry {rows.schema['carry'].dataType.simpleString()}," if carry else "")) + (", text string" if with_text else "")
     return rows.mapInArrow(_apply(max_lost, with_text), schema)
