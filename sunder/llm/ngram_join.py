@@ -47,6 +47,7 @@ from sunder.plans.scratch import Scratch
 HOT = 64
 LEAF = 16
 BLOCK = 1024
+WIDE = 1024  # bits of the bitmaps of large nodes' members
 _U = np.uint64
 
 
@@ -271,7 +272,7 @@ def _search_blocks(percent: int):
     """Candidates between two blocks of one node, across components only."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        item = lambda d: list(zip(d["rep"].tolist(), d["n"].tolist(), map(_bits, d["b1"].tolist(), d["b2"].tolist()), d["comp"].tolist(), strict=True))
+        item = lambda d: list(zip(d["rep"].tolist(), d["n"].tolist(), [int.from_bytes(x, "little") for x in d["bits"]], d["comp"].tolist(), strict=True))
         x, y = item(pdf[pdf["block"] == pdf["x"]]), item(pdf[pdf["block"] == pdf["y"]])
         if not x or not y:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -290,7 +291,15 @@ def _set_bytes(size: int):
                 rows, s = _sets(raw, offsets, i, j, size)
                 cut = np.searchsorted(rows, np.arange(j - i + 1))
                 values = [s[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, j - i), "tokens": pa.array(values, pa.binary())})
+                share = np.minimum(1.0, WIDE / 2 / np.exp2(np.floor(np.log2(np.maximum(np.diff(cut), 1)))))[rows]
+                m = tk.mix(s ^ _U(0x165667B1))
+                taken = (m >> _U(40)).astype(np.float64) < share * (1 << 24)
+                flags = np.zeros((j - i, WIDE), bool)
+                flags[rows[taken], (m[taken] & _U(WIDE - 1)).astype(np.int64)] = True
+                bits = [x.tobytes() for x in np.packbits(flags, axis=1, bitorder="little")]
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": batch.column("doc_id").slice(i, j - i), "tokens": pa.array(values, pa.binary()), "bits": pa.array(bits, pa.binary())}
+                )
 
     return run
 
@@ -311,7 +320,7 @@ def _verify(percent: int):
     return run
 
 
-def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots: int = 3) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots: int = 1) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
@@ -339,7 +348,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots:
     if hot_exists:
         nodes = nodes.unionByName(hot.select(F.col("rep").alias("doc_id")))
     # A document id may be on several rows; the sets of all of them stand for it.
-    sets = scratch.keep(docs.join(nodes.distinct(), "doc_id", "left_semi").mapInArrow(_set_bytes(size), "doc_id long, tokens binary"))
+    sets = scratch.keep(docs.join(nodes.distinct(), "doc_id", "left_semi").mapInArrow(_set_bytes(size), "doc_id long, tokens binary, bits binary"))
 
     def linked(found: DataFrame) -> DataFrame:
         x = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
@@ -362,7 +371,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots:
                 tried = tried.unionByName(fresh)
                 more = _to_pivots(mixed, fresh, across=True)
             else:
-                more = _in_blocks(mixed, percent)
+                more = _in_blocks(mixed.join(sets.select(F.col("doc_id").alias("rep"), "bits"), "rep"), percent)
             more = linked(scratch.keep(more.distinct()))
             links = links.unionByName(more)
             labels = scratch.keep(connected_components(links, scratch))
@@ -400,5 +409,5 @@ def _in_blocks(mixed: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     rows = mixed.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    rows = rows.select("sig", "x", "y", "block", "rep", "n", "b1", "b2", "comp")
+    rows = rows.select("sig", "x", "y", "block", "rep", "n", "bits", "comp")
     return rows.groupBy("sig", "x", "y").applyInPandas(_search_blocks(percent), "a long, b long")
