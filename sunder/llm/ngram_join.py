@@ -348,12 +348,12 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots:
     if hot_exists:
         nodes = nodes.unionByName(hot.select(F.col("rep").alias("doc_id")))
     # A document id may be on several rows; the sets of all of them stand for it.
-    sets = scratch.keep(docs.join(nodes.distinct(), "doc_id", "left_semi").mapInArrow(_set_bytes(size), "doc_id long, tokens binary, bits binary"))
+    sets = scratch.keep(docs.join(nodes.distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_set_bytes(size), "doc_id long, tokens binary, bits binary"))
 
     def linked(found: DataFrame) -> DataFrame:
         x = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-        return scratch.keep(found.join(x, "a").join(y, "b").mapInArrow(_verify(percent), "a long, b long").distinct())
+        return scratch.keep(found.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(_verify(percent), "a long, b long").distinct())
 
     links = linked(pairs)
     # Every copy hangs on its set's first document; an id with several sets joins them.
