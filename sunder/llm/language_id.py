@@ -177,9 +177,6 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-_vocabularies: dict[int, Vocabulary] = {}
-
-
 def _score(pieces: list[str], prob: np.ndarray, langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(pieces)
@@ -187,7 +184,7 @@ def _score(pieces: list[str], prob: np.ndarray, langs: list[str]):
         letters[65:91] = letters[97:123] = True
         for batch in batches:
             raw, offsets = tk.buffers(batch.column("text"))
-            for i, j in tk.row_slices(offsets, 8 << 20):
+            for i, j in tk.row_slices(offsets, 4 << 20):
                 n, a = j - i, offsets[i]
                 w = tk.words(raw, offsets, i, j)
                 _, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-CACHED_WORDS, CACHED_PAIRS = 200_000, 400_000
+CACHED_WORDS, CACHED_PAIRS = 100_000, 200_000
 
 
 def default_model() -> str:
@@ -59,7 +59,6 @@ class PieceModel:
             raw[k] = bytes([value])
         raw[unknown] = b" \xe2\x81\x87 "
         self.raw = raw
-        self.key = f"{zlib.crc32(repr((pieces, unknown, self.byte_pieces, bpe, special, dummy_prefix)).encode())}-{len(pieces)}"
         inner = set().union(*(set(p) for p in self.ids if len(p) > 1)) if self.ids else set()
         alone = "".join(c for c in "\n\r\t" if c not in inner)
         crossed = any(a != MARK and b == MARK for p in self.ids for a, b in zip(p, p[1:], strict=False))
@@ -235,7 +234,7 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-def _parts(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[pa.Array, list]]:
+def _parts(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[tuple[pa.Array, list]]:
     """Ids and texts of a few MB at a time; a longer text is alone."""
     ids, texts = batch.column("doc_id"), batch.column("text")
     at, n, used, out = 0, batch.num_rows, 0, []
@@ -248,20 +247,9 @@ def _parts(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[pa.Arra
             at, used, out = k + 1, 0, []
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(model: PieceModel) -> Encoder:
-    """One encoder per worker process, so that its tasks share what is cached."""
-    if model.key not in _encoders:
-        _encoders.clear()
-        _encoders[model.key] = Encoder(model)
-    return _encoders[model.key]
-
-
 def _encode(model: PieceModel, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model)
+        encoder = Encoder(model)
         for batch in batches:
             for ids, texts in _parts(batch):
                 coded = encoder.encode(texts)

@@ -78,7 +78,7 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     return out
 
 
-def row_slices(offsets: np.ndarray, size: int = 4 * SLICE) -> Iterator[tuple[int, int]]:
+def row_slices(offsets: np.ndarray, size: int = 2 * SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``size`` bytes each; a longer text is alone."""
     n, i = len(offsets) - 1, 0
     while i < n:
