@@ -14,19 +14,22 @@ from sunder.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepi
 from sunder.plans.scratch import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-N_CHARS = F.length("text").cast("long").alias("n_chars")
+
+
+def _n_chars():
+    return F.length("text").cast("long").alias("n_chars")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and so do documents that the rules reject."""
     out = quality_rules.line_first_quality(docs, with_text=True, carry=("lang", "source"))
-    return out.where("kept").select("doc_id", "text", "carry.lang", "carry.source", N_CHARS)
+    return out.where("kept").select("doc_id", "text", "carry.lang", "carry.source", _n_chars())
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go; every document stays."""
     out = line_dedup.dedup_lines(docs, carry=("lang", "source"))
-    return out.select("doc_id", "text", "carry.lang", "carry.source", N_CHARS)
+    return out.select("doc_id", "text", "carry.lang", "carry.source", _n_chars())
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
