@@ -187,6 +187,10 @@ def extract(html: str | None) -> str:
         return ""
     ratios = smooth([len(text) / max(1, tags) if not bad else 0.0 for text, tags, _, _, bad in lines])
     cut = threshold(ratios)
+    own = [r for r, x in zip(ratios, lines, strict=True) if not x[4]]
+    low, high = [r for r in own if r < cut], [r for r in own if r >= cut]
+    if low and high and sum(high) / len(high) < 3 * sum(low) / len(low):
+        cut = min(own)  # one cluster: nothing tells the lines apart
     marked = [r >= cut and not x[4] for r, x in zip(ratios, lines, strict=True)]
     weight: Counter = Counter()
     for m, x in zip(marked, lines, strict=True):

@@ -16,7 +16,7 @@ Queries and candidates meet in blocks of bounded size, so neither side is ever
 broadcast or gathered; a block returns at most k rows of a query.  Scores are
 integers.  They are computed as floats where no sum can leave the 53 bits that
 a float holds exactly, and else as Python integers; a score beyond a long is
-held at its bounds.
+held at its bounds before rows compete.
 
 Defined cases: rows with a null id, a null vector, or a vector with a null or
 non-finite component take no part; rows with the same id count once, with the
@@ -85,12 +85,19 @@ def _tiles(queries: pa.Table, rows: pa.Table, m: int):
         yield slice(a, a + TILE), q_ids[a : a + TILE], c_ids, part
 
 
+def _held(scores: np.ndarray) -> np.ndarray:
+    """Scores within the bounds of a long."""
+    if scores.dtype != object:
+        return scores
+    return np.array([max(-LONG - 1, min(LONG, x)) for x in scores.tolist()], dtype=object)
+
+
 def _emit(q_ids, c_ids, scores) -> pa.Table:
     return pa.table(
         {
             "query_id": pa.array(np.asarray(q_ids, np.int64)),
             "vec_id": pa.array(np.asarray(c_ids, np.int64)),
-            "score": pa.array([max(-LONG - 1, min(LONG, int(x))) for x in scores], pa.int64()),
+            "score": pa.array([int(x) for x in scores], pa.int64()),
         }
     )
 
@@ -106,7 +113,7 @@ def _gather(k: int, m: int):
                 for r in range(len(q_ids)):
                     lead = np.unique(np.concatenate([_top(p[r : r + 1], k + 1)[0] for p in part]))
                     lead = lead[c_ids[lead] != q_ids[r]]
-                    best = sorted(total[r][lead].tolist(), reverse=True)[:k]
+                    best = sorted(_held(total[r][lead]).tolist(), reverse=True)[:k]
                     out += [(q_ids[r], 0, x) for x in best]
         return _emit(*(zip(*out, strict=True) if out else ((), (), ())))
 
@@ -122,7 +129,7 @@ def _resolve(k: int, m: int):
             cutoff = queries.column("cutoff").to_pylist()
             for at, q_ids, c_ids, part in _tiles(queries, rows, m):
                 for r, low in enumerate(cutoff[at]):
-                    if low is None:
+                    if low is None or low == -LONG - 1:
                         keep = np.arange(len(c_ids))
                     else:
                         enough = part[0][r] * m >= low
@@ -130,7 +137,7 @@ def _resolve(k: int, m: int):
                             enough = enough | (p[r] * m >= low)
                         keep = np.flatnonzero(enough)
                     keep = keep[c_ids[keep] != q_ids[r]]
-                    score = sum(p[r][keep] for p in part)
+                    score = _held(sum(p[r][keep] for p in part))
                     if low is not None:
                         reach = np.flatnonzero(score >= low)
                         keep, score = keep[reach], score[reach]
