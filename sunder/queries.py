@@ -524,3 +524,121 @@ def _(spark, sf):
 def _(spark, sf):
     out = audit.aggregate_replicates(_t(spark, sf, "lineitem"), "l_orderkey", "l_partkey", "l_quantity", max_spread=45.0)
     return out.withColumn("value", F.round("value", 6))
+
+
+# --- tasks, embeddings ----------------------------------------------------------------------
+
+from sunder.operators import embedding as emb, task  # noqa: E402
+
+
+@query("hi", ORACLE_SQL["similarity_threshold"])
+def _(spark, sf):
+    docs = _documents(spark, sf)
+    return task.hi(docs.select(F.col("doc_id").alias("id")), token_edges(docs, "doc_id", "words", 8, 10))
+
+
+def _labels(spark, sf, cut: int | None = None):
+    y = F.col("label").cast("double")
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), y.alias("y"), (y < (cut or 5)).cast("int").alias("active"))
+
+
+@query("lo")
+def _(spark, sf):
+    rows, edges = _near(spark, sf)
+    return task.lo(_labels(spark, sf).select("id", "y"), edges, std_threshold=0.1)
+
+
+@query("scaffold_hop")
+def _(spark, sf):
+    rows, edges = _near(spark, sf)
+    part = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 37).alias("scaffold"), F.lit(True).alias("active"))
+    return task.scaffold_hop(part, vector_edges(rows, 4 * NEAR))
+
+
+def _area(c: str) -> str:
+    curve = f"list_transform(range(101), lambda k: coalesce(len(list_filter({c}, lambda s: s >= k / 100.0 - 1e-6)) / nullif(len({c}), 0), 0.0))"
+    return f"(list_sum(list_transform(range(1, 101), lambda k: (({curve})[k] + ({curve})[k + 1]) / 2)) / 100)"
+
+
+_AVE = f"""WITH v AS ({_VEC}), sp AS ({_SPLIT}), r AS (SELECT v.id, v.v, CAST(y < 5 AS INT) AS active, sp.partition AS p FROM v JOIN sp USING (id)),
+nn AS (SELECT x.id, x.active AS c, y.active AS e, 1 / (1 + sqrt(min({_D2})) / 1024) AS s FROM r x JOIN r y ON x.p = 'test' AND y.p = 'train' GROUP BY x.id, x.active, y.active),
+l AS (SELECT coalesce(list(s) FILTER (c = 1 AND e = 1), []) AS aa, coalesce(list(s) FILTER (c = 1 AND e = 0), []) AS ai, coalesce(list(s) FILTER (c = 0 AND e = 0), []) AS ii, coalesce(list(s) FILTER (c = 0 AND e = 1), []) AS ia FROM nn),
+k AS (SELECT {', '.join(f'{_area(c)} AS {c}' for c in ('aa', 'ai', 'ii', 'ia'))} FROM l)
+SELECT round(aa, 9) AS aa, round(ai, 9) AS ai, round(ii, 9) AS ii, round(ia, 9) AS ia, round(aa - ai + ii - ia, 9) AS bias FROM k"""
+
+
+@query("ave_bias", _AVE)
+def _(spark, sf):
+    out = task.ave_bias(_vectors(spark, sf), _labels(spark, sf).select("id", "active"), baseline.random_split(_t(spark, sf, "embeddings"), "vec_id"))
+    return out.select(*[F.round(c, 9).alias(c) for c in ("aa", "ai", "ii", "ia", "bias")])
+
+
+@query("ave")
+def _(spark, sf):
+    return task.ave_split(_vectors(spark, sf), _labels(spark, sf).select("id", "active"), population=16, generations=10)
+
+
+@query("simpd")
+def _(spark, sf):
+    return task.time_like(_vectors(spark, sf), _labels(spark, sf).select("id", "y"))
+
+
+@query("decoy_benchmark", greedy_sql("""WITH b AS (SELECT min(c_acctbal) AS lx, max(c_acctbal) AS hx, min(c_nationkey) AS ly, max(c_nationkey) AS hy FROM customer)
+SELECT c_custkey AS id, least(9, floor((c_acctbal - lx) / ((hx - lx) / 10))) * 10 + least(9, floor((c_nationkey - ly) / ((hy - ly) / 10))) AS key FROM customer, b"""))
+def _(spark, sf):
+    return task.decoy_cells(_t(spark, sf, "customer"), "c_custkey", F.col("c_acctbal"), F.col("c_nationkey"))
+
+
+@query("decoy_matched")
+def _(spark, sf):
+    part = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    return task.matched_decoys(part.where("id % 40 = 0"), part.where("id % 40 <> 0"), {"price": 50.0, "size": 3.0}, 5)
+
+
+@query("stratified_iterative")
+def _(spark, sf):
+    return task.stratified_multilabel(_t(spark, sf, "labels"), "doc_id", ["quality", "toxic"])
+
+
+@query("balanced_multi_task")
+def _(spark, sf):
+    rows, edges = _near(spark, sf)
+    tasks = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("t0"), F.when(F.col("vec_id") % 3 == 0, F.col("label") % 3 == 0).cast("int").alias("t1"))
+    return task.balanced_multi_task(sim.butina_keys(rows, edges), tasks, ["t0", "t1"])
+
+
+@query("sequence_identity", greedy_sql(components_sql("""WITH s AS (SELECT p_partkey AS id, p_name AS s FROM part)
+SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.id < y.id
+WHERE 10 * len(list_filter(range(1, CAST(least(length(x.s), length(y.s)) AS BIGINT) + 1), lambda k: x.s[k] = y.s[k])) > 9 * least(length(x.s), length(y.s))""", "SELECT p_partkey AS id FROM part")))
+def _(spark, sf):
+    part = _t(spark, sf, "part")
+    edges = task.sequence_edges(part, "p_partkey", "p_name", 9, 10)
+    return sim.component_split(part.select(F.col("p_partkey").alias("id")), edges, check=False)
+
+
+for _name, _f in (
+    ("k_means_cluster", lambda v: emb.k_means_keys(v)),
+    ("latent_space", lambda v: emb.latent_space(v)),
+    ("projection_axis", lambda v: emb.projection(v)),
+    ("projection_grid", lambda v: emb.projection(v, "grid")),
+    ("projection_cluster", lambda v: emb.projection(v, "cluster")),
+    ("self_organizing_map", lambda v: emb.som_keys(v, grid=6, epochs=2)),
+    ("spectral", lambda v: emb.spectral_keys(v)),
+    ("opti_sim", lambda v: emb.opti_sim(v, NEAR, 40)),
+    ("d_optimal", lambda v: emb.d_optimal(v)),
+    ("support_points", lambda v: emb.support_points(v, iterations=5)),
+):
+    query(_name)(partial(lambda f, spark, sf: f(_vectors(spark, sf)), _f))
+
+
+@query("mood")
+def _(spark, sf):
+    rows = _vectors(spark, sf)
+    candidates = {"random": lambda v: baseline.random_split(v, "id"), "perimeter": lambda v: sim.perimeter_outliers(v)}
+    return emb.mood(rows.where("id % 7 <> 0"), rows.where("id % 7 = 0"), candidates)[2]
+
+
+@query("adversarial")
+def _(spark, sf):
+    rows = _vectors(spark, sf)
+    return emb.adversarial(rows, baseline.random_split(rows, "id"), max_iter=2)
