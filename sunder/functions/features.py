@@ -16,7 +16,7 @@ def shingle_bits(text: Column, size: int = 3, n_bits: int = 2048) -> Column:
 def pack(bits: Column, n_bits: int = 2048) -> Column:
     """On-bits as words of 64 bits."""
     words = F.sequence(F.lit(0), F.lit(n_bits // 64 - 1))
-    one = lambda b: F.shiftleft(F.lit(1).cast("long"), (b % 64).cast("int"))
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))
     return F.transform(words, lambda k: F.aggregate(F.filter(bits, lambda b: F.floor(b / 64) == k), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(one(b))))
 
 
