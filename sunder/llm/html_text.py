@@ -9,8 +9,9 @@ Lines inside elements that are never content (scripts, menus, forms, asides,
 footers, adverts, notices, comments: by element, role or class) are boilerplate
 whatever their ratio.  The marked lines then select a region: the ``article`` or
 ``main`` element that holds most marked text, with all its lines, or, on pages
-without one, the stretch from the first marked line to the last without lines
-that are mostly links.
+without one, the stretch from the first marked line to the last, widened to the
+ends of the box (``div`` and the like) that holds most marked text, without
+lines that are mostly links.
 
 Defined cases: a null or empty page, and one without content, give an empty
 text; a page that breaks off or leaves elements open is read to its end; rows
@@ -51,6 +52,7 @@ MARKS = frozenset(
 )
 HEADERS = frozenset("header pageheader page-header site-header siteheader top-header".split())
 CONTENT = frozenset(("article", "main"))
+BOXES = frozenset(("body", "div", "section", "td"))
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -60,21 +62,21 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.stack: list[tuple[str, bool, int]] = []
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []
         self.open: Counter = Counter()
-        self.regions = 0
+        self.regions = self.boxes = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
-    def state(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
+    def state(self) -> tuple[bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0, 0)
 
     def flush(self):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            bad, region = self.state()
-            self.lines.append((text, self.tags, self.linked, region, bad))
+            bad, region, box = self.state()
+            self.lines.append((text, self.tags, self.linked, region, bad, box))
             self.tags = 0
         self.parts.clear()
         self.linked = 0
@@ -111,11 +113,14 @@ class _Lines(HTMLParser):
             self.close_to("p")
         elif tag == "li" and self.stack and self.stack[-1][0] == "li":
             self.close_to("li")
-        bad, region = self.state()
+        bad, region, box = self.state()
+        if tag in BOXES:
+            self.boxes += 1
+            box = self.boxes
         if tag in CONTENT and not bad and not region:
             self.regions += 1
             region = self.regions
-        self.stack.append((tag, bad or self.boilerplate(tag, attrs, region), region))
+        self.stack.append((tag, bad or self.boilerplate(tag, attrs, region), region, box))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
@@ -185,7 +190,7 @@ def extract(html: str | None) -> str:
     good = [x for x in lines if not x[4]]
     if not good:
         return ""
-    ratios = smooth([len(text) / max(1, tags) if not bad else 0.0 for text, tags, _, _, bad in lines])
+    ratios = smooth([len(text) / max(1, tags) if not bad else 0.0 for text, tags, _, _, bad, _ in lines])
     cut = threshold(ratios)
     own = [r for r, x in zip(ratios, lines, strict=True) if not x[4]]
     low, high = [r for r in own if r < cut], [r for r in own if r >= cut]
@@ -207,7 +212,14 @@ def extract(html: str | None) -> str:
     at = [i for i, m in enumerate(marked) if m]
     if not at:
         return " ".join(x[0] for x in good)
-    return " ".join(x[0] for x in lines[at[0] : at[-1] + 1] if not x[4] and 2 * x[2] <= len(x[0]))
+    # The box with most marked text is kept to its ends, so that its headings and short lines stay.
+    boxes: Counter = Counter()
+    for i in at:
+        boxes[lines[i][5]] += len(lines[i][0])
+    box = max(sorted(boxes), key=boxes.get)
+    own = [i for i, x in enumerate(lines) if x[5] == box and not x[4]]
+    first, last = min(at[0], own[0]), max(at[-1], own[-1])
+    return " ".join(x[0] for x in lines[first : last + 1] if not x[4] and 2 * x[2] <= len(x[0]))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
