@@ -349,11 +349,16 @@ def _(spark, sf):
     return sim.sphere_keys(*_near(spark, sf), seed=0)
 
 
-@query("binding_site", _mis_sql("id"))
+@query("sphere_exclusion_by_id", _mis_sql("id"))
 def _(spark, sf):
     return sim.sphere_keys(*_near(spark, sf))
 
 
+@query("binding_site", _mis_sql("len(adj) DESC, id"))
+def _(spark, sf):
+    return sim.butina_keys(*_near(spark, sf))
+
+
 _DBSCAN = f"""WITH RECURSIVE e AS ({_VEDGES}), both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 core AS (SELECT a AS id FROM both_ GROUP BY a HAVING count(*) + 1 >= 5), ce AS (SELECT a, b FROM both_ WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 reach(x, y) AS (SELECT id, id FROM core UNION SELECT r.x, b FROM reach r JOIN ce ON a = r.y), cc AS (SELECT x AS id, min(y) AS key FROM reach GROUP BY x),

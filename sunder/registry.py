@@ -57,7 +57,7 @@ def _table() -> dict[str, Operator]:
         ("self_organizing_map", "embedding", "strict", embedding.som_keys), ("latent_space", "embedding", "strict", embedding.latent_space),
         # sequences and complexes
         ("sequence_identity", "biomolecular", "strict", sim.component_split), ("protein_family", "biomolecular", "strict", g),
-        ("binding_site", "biomolecular", "strict", sim.sphere_keys), ("deposition_date", "biomolecular", "strict", lineage.temporal),
+        ("binding_site", "biomolecular", "strict", sim.butina_keys), ("deposition_date", "biomolecular", "strict", lineage.temporal),
         ("complex_joint", "biomolecular", "extrapolative", pairs.assign_pairs),
         # protocol
         ("group_k_fold", "protocol", "moderate", protocol.group_k_fold), ("three_way", "protocol", "moderate", protocol.three_way),
