@@ -15,6 +15,7 @@ from sunder.functions.sizes import floor_round, resolve_sizes
 from sunder.plans.distance import nearest
 from sunder.plans.groups import assign_groups
 from sunder.plans.kernels import single_task
+from sunder.plans.layout import umap_layout, ward_labels
 from sunder.plans.rank import value_rank
 from sunder.plans.scratch import Scratch
 
@@ -96,9 +97,18 @@ def projection(vectors: DataFrame, mode: str = "axis_cut", axis: int = 0, grid_b
     return assign_groups(keys, "id", F.col("key"), check=False, **sizes).select("id", "partition")
 
 
-def umap_cluster(vectors: DataFrame, **_) -> DataFrame:
-    """Clusters of a UMAP embedding; needs a library that is not among the dependencies."""
-    raise MissingDependencyError("umap-learn is not installed")
+def umap_keys(
+    vectors: DataFrame, n_components: int = 2, n_neighbors: int = 15, min_dist: float = 0.1, metric: str = "euclidean", n_epochs: int | None = None, n_clusters: int | None = None, seed: int = 0
+) -> DataFrame:
+    """``id, key``: Ward clusters of a UMAP layout of the vectors; ``metric`` is euclidean, cosine or jaccard (of non-zero components)."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        x = np.stack(pdf["v"].to_numpy()).astype(float)
+        y = umap_layout(x, np.random.default_rng(seed), n_components, n_neighbors, min_dist, metric, n_epochs)
+        return pd.DataFrame({"id": pdf["id"], "key": ward_labels(y, n_clusters or cluster_count(len(x)))})
+
+    return single_task(vectors, kernel, "id long, key long", DENSE)
 
 
 def som_keys(vectors: DataFrame, grid: int | None = None, epochs: int = 10, seed: int = 0) -> DataFrame:

@@ -629,6 +629,7 @@ for _name, _f in (
     ("projection_cluster", lambda v: emb.projection(v, "cluster")),
     ("self_organizing_map", lambda v: emb.som_keys(v, grid=6, epochs=2)),
     ("spectral", lambda v: emb.spectral_keys(v)),
+    ("umap_cluster", lambda v: emb.umap_keys(v)),
     ("opti_sim", lambda v: emb.opti_sim(v, NEAR, 40)),
     ("d_optimal", lambda v: emb.d_optimal(v)),
     ("support_points", lambda v: emb.support_points(v, iterations=5)),

@@ -53,7 +53,7 @@ def _table() -> dict[str, Operator]:
         ("cold_drug", "task", "strict", pairs.cold_entity), ("cold_target", "task", "extrapolative", pairs.cold_entity), ("cold_pair", "task", "extrapolative", pairs.assign_pairs),
         ("ave", "task", "strict", task.ave_split), ("decoy_benchmark", "task", "strict", task.decoy_cells),
         # embedding
-        ("umap_cluster", "embedding", "extrapolative", embedding.umap_cluster), ("projection", "embedding", "strict", embedding.projection),
+        ("umap_cluster", "embedding", "extrapolative", embedding.umap_keys), ("projection", "embedding", "strict", embedding.projection),
         ("self_organizing_map", "embedding", "strict", embedding.som_keys), ("latent_space", "embedding", "strict", embedding.latent_space),
         # sequences and complexes
         ("sequence_identity", "biomolecular", "strict", sim.component_split), ("protein_family", "biomolecular", "strict", g),
@@ -65,7 +65,7 @@ def _table() -> dict[str, Operator]:
         ("external_holdout", "protocol", "moderate", protocol.external_holdout), ("applicability_domain", "protocol", "moderate", protocol.applicability_domain),
         ("intersection", "protocol", "strict", protocol.intersection),
     ]
-    forming = {g, sim.component_split, sim.butina_keys, sim.sphere_keys, sim.density_keys, embedding.k_means_keys, embedding.spectral_keys, embedding.opti_sim, embedding.som_keys, lineage.source_split, task.hi, pairs.cold_entity}
+    forming = {g, sim.component_split, sim.butina_keys, sim.sphere_keys, sim.density_keys, embedding.k_means_keys, embedding.spectral_keys, embedding.opti_sim, embedding.som_keys, embedding.umap_keys, lineage.source_split, task.hi, pairs.cold_entity}
     return {i: Operator(i, family, strict, run, run in forming) for i, family, strict, run in rows}
 
 

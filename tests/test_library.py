@@ -20,6 +20,7 @@ from sunder.plans.distance import nearest, token_edges, vector_edges
 from sunder.plans.groups import assign_folds, assign_groups
 from sunder.plans.independent import centres
 from sunder.plans.kernels import balance, iterative_stratification
+from sunder.plans.layout import curve, fuzzy_graph, nearest_rows, umap_layout, ward_labels
 from sunder.plans.scratch import Scratch
 from sunder.queries import ORACLE_SQL, QUERIES
 from sunder.sources import tables
@@ -206,11 +207,42 @@ def test_kernels():
     assert abs(big[at == 1].sum() / big.sum() - 0.2) < 0.05
 
 
+def test_umap(spark):
+    a, b = curve(0.1)  # the published fit
+    assert (a, b) == (pytest.approx(1.577, abs=0.01), pytest.approx(0.895, abs=0.005))
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 1, (40, 8)) for c in (0, 12, 24)])
+    near, d = nearest_rows(x, 15, "euclidean")
+    full = np.linalg.norm(x[:, None] - x[None], axis=-1) + np.diag(np.full(120, np.inf))
+    assert (near == np.argsort(full, 1, kind="stable")[:, :15]).all() and np.allclose(d, np.sort(full, 1)[:, :15])
+    i, j, w = fuzzy_graph(near, d)
+    assert (i < j).all() and (w > 0).all() and (w <= 1).all() and set(i // 40 - j // 40) == {0}
+    y = umap_layout(x, np.random.default_rng(0))
+    assert np.isfinite(y).all() and len(set(zip(ward_labels(y, 3), np.repeat([0, 1, 2], 40), strict=True))) == 3
+    same = umap_layout(np.ones((20, 4)), np.random.default_rng(0), n_epochs=20)
+    assert np.isfinite(same).all()
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    keys = embedding.umap_keys(rows, n_clusters=3).orderBy("id").collect()
+    again = embedding.umap_keys(rows.repartition(5), n_clusters=3).orderBy("id").collect()
+    assert keys == again and [r.key for r in keys] == sorted(r.key for r in keys)
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 12])
+def test_ward(k):
+    p = np.random.default_rng(k).normal(size=(12, 2))
+    parts = [[i] for i in range(12)]
+    while len(parts) > k:
+        cost = lambda u, v: len(u) * len(v) / (len(u) + len(v)) * ((p[u].mean(0) - p[v].mean(0)) ** 2).sum()
+        u, v = min(itertools.combinations(parts, 2), key=lambda c: cost(*c))
+        parts = [z for z in parts if z is not u and z is not v] + [sorted(u + v)]
+    assert {frozenset(z) for z in parts} == {frozenset(np.flatnonzero(ward_labels(p, k) == c)) for c in range(k)}
+
+
 def test_guards(spark):
     with pytest.raises(ScalabilityError):
         baseline.k_fold(spark.range(10_001), "id", 0)
     with pytest.raises(MissingDependencyError):
-        embedding.umap_cluster(None)
+        embedding.projection(None, method="tsne")
     with pytest.raises(UnknownOperatorError, match="butina"):
         registry.get("butinna")
     assert registry.get("Butina").id == "butina" and len(registry.OPERATORS) == 64
