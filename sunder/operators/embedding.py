@@ -15,7 +15,7 @@ from sunder.functions.sizes import floor_round, resolve_sizes
 from sunder.plans.distance import nearest
 from sunder.plans.groups import assign_groups
 from sunder.plans.kernels import single_task
-from sunder.plans.layout import umap_layout, ward_labels
+from sunder.plans.layout import METRICS, umap_layout, ward_labels
 from sunder.plans.rank import value_rank
 from sunder.plans.scratch import Scratch
 
@@ -101,6 +101,10 @@ def umap_keys(
     vectors: DataFrame, n_components: int = 2, n_neighbors: int = 15, min_dist: float = 0.1, metric: str = "euclidean", n_epochs: int | None = None, n_clusters: int | None = None, seed: int = 0
 ) -> DataFrame:
     """``id, key``: Ward clusters of a UMAP layout of the vectors; ``metric`` is euclidean, cosine or jaccard (of non-zero components)."""
+    if n_components < 1 or n_neighbors < 2 or not 0 <= min_dist <= 1 or (n_clusters is not None and n_clusters < 1):
+        raise ConfigurationError("umap: n_components and n_clusters are at least 1, n_neighbors at least 2, min_dist is in [0, 1]")
+    if metric not in METRICS:
+        raise ConfigurationError(f"unknown metric {metric!r}")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)

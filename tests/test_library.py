@@ -221,13 +221,19 @@ def test_umap(spark):
     assert np.isfinite(y).all() and len(set(zip(ward_labels(y, 3), np.repeat([0, 1, 2], 40), strict=True))) == 3
     same = umap_layout(np.ones((20, 4)), np.random.default_rng(0), n_epochs=20)
     assert np.isfinite(same).all()
+    sets = (rng.random((30, 40)) < 0.3).astype(float)
+    sets[0] = 0  # an empty set is at distance 1 from all others
+    both, either = sets @ sets.T, np.maximum(sets[:, None], sets[None]).sum(-1)
+    far = 1 - both / np.maximum(either, 1) + np.diag(np.full(30, np.inf))
+    assert np.allclose(nearest_rows(sets, 5, "jaccard")[1], np.sort(far, 1)[:, :5])
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    assert embedding.umap_keys(rows.limit(0)).count() == 0
     keys = embedding.umap_keys(rows, n_clusters=3).orderBy("id").collect()
     again = embedding.umap_keys(rows.repartition(5), n_clusters=3).orderBy("id").collect()
     assert keys == again and [r.key for r in keys] == sorted(r.key for r in keys)
 
 
-@pytest.mark.parametrize("k", [1, 2, 5, 12])
+@pytest.mark.parametrize("k", [1, 2, 5, 12, 15])
 def test_ward(k):
     p = np.random.default_rng(k).normal(size=(12, 2))
     parts = [[i] for i in range(12)]
@@ -235,7 +241,7 @@ def test_ward(k):
         cost = lambda u, v: len(u) * len(v) / (len(u) + len(v)) * ((p[u].mean(0) - p[v].mean(0)) ** 2).sum()
         u, v = min(itertools.combinations(parts, 2), key=lambda c: cost(*c))
         parts = [z for z in parts if z is not u and z is not v] + [sorted(u + v)]
-    assert {frozenset(z) for z in parts} == {frozenset(np.flatnonzero(ward_labels(p, k) == c)) for c in range(k)}
+    assert {frozenset(z) for z in parts} == {frozenset(np.flatnonzero(ward_labels(p, k) == c)) for c in range(min(k, 12))}
 
 
 def test_guards(spark):
@@ -243,6 +249,9 @@ def test_guards(spark):
         baseline.k_fold(spark.range(10_001), "id", 0)
     with pytest.raises(MissingDependencyError):
         embedding.projection(None, method="tsne")
+    for wrong in ({"n_neighbors": 1}, {"min_dist": -1.0}, {"metric": "hamming"}, {"n_clusters": 0}):
+        with pytest.raises(ConfigurationError):
+            embedding.umap_keys(None, **wrong)
     with pytest.raises(UnknownOperatorError, match="butina"):
         registry.get("butinna")
     assert registry.get("Butina").id == "butina" and len(registry.OPERATORS) == 64
