@@ -10,13 +10,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from sunder.errors import ConfigurationError, MissingDependencyError
+from sunder.errors import ConfigurationError, InputError, MissingDependencyError
 from sunder.functions.sizes import floor_round, resolve_sizes
 from sunder.plans.distance import nearest
 from sunder.plans.groups import assign_groups
 from sunder.plans.kernels import single_task
 from sunder.plans.layout import METRICS, umap_layout, ward_labels
-from sunder.plans.rank import value_rank
+from sunder.plans.rank import running_shares, value_rank
 from sunder.plans.scratch import Scratch
 
 SPLIT = "id long, partition string"
@@ -46,8 +46,8 @@ def latent_space(vectors: DataFrame, normalize: str = "l2", n_clusters: int | No
     return assign_groups(k_means_keys(vectors, n_clusters, seed), "id", F.col("key"), check=False, **sizes)
 
 
-def principal_axes(vectors: DataFrame, n_components: int = 2) -> np.ndarray:
-    """Right singular vectors (uncentred) from the sum of outer products, which partitions add up."""
+def _gram(vectors: DataFrame) -> np.ndarray:
+    """The sum of outer products, which partitions add up."""
     dim = vectors.select(F.size("v")).first()[0]
 
     def partial(batches):
@@ -63,7 +63,35 @@ def principal_axes(vectors: DataFrame, n_components: int = 2) -> np.ndarray:
     gram = np.zeros((dim, dim))
     for r in summed:  # a number of dimensions squared
         gram[r.i, r.j] = r.x
-    value, axes = np.linalg.eigh(gram)
+    return gram
+
+
+def whitened(vectors: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """``id, v``: vectors whose euclidean distances are the Mahalanobis distances of the given ones.
+
+    The covariance is that of both tables' records; directions without variance count as nothing.
+    """
+    every = vectors.select("v") if reference is None else vectors.select("v").unionByName(reference.select("v"))
+    # A leading 1 brings the sums and the count along.
+    gram = _gram(every.select(F.concat(F.array(F.lit(1.0)), "v").alias("v")))
+    n, sums = gram[0, 0], gram[0, 1:]
+    if n < 2:
+        raise InputError("a covariance takes two records")
+    value, axes = np.linalg.eigh((gram[1:, 1:] - np.outer(sums, sums) / n) / (n - 1))
+    live = value > 1e-12 * max(value.max(), 0.0)
+    axes = axes[:, live] / np.sqrt(value[live])
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"id": pdf["id"], "v": list(np.stack(pdf["v"].to_numpy()) @ axes)})
+
+    return vectors.select("id", "v").mapInPandas(run, "id long, v array<double>")
+
+
+def principal_axes(vectors: DataFrame, n_components: int = 2) -> np.ndarray:
+    """Right singular vectors (uncentred)."""
+    value, axes = np.linalg.eigh(_gram(vectors))
     axes = axes[:, np.argsort(-value)[:n_components]]
     return axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
 
@@ -261,14 +289,9 @@ def support_points(vectors: DataFrame, iterations: int = 100, seed: int = 0, **s
 
 def wasserstein(a: DataFrame, b: DataFrame) -> float:
     """The distance between two one-dimensional samples ``(d)``, from counts per distinct value."""
-    from pyspark.sql import Window as W
-
     both = a.select("d", F.lit(1.0).alias("x"), F.lit(0.0).alias("y")).unionByName(b.select("d", F.lit(0.0).alias("x"), F.lit(1.0).alias("y")))
-    per = both.groupBy("d").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    every = W.orderBy("d").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    run = W.orderBy("d").rowsBetween(W.unboundedPreceding, 0)
-    gap = F.abs(F.sum("x").over(run) / F.sum("x").over(every) - F.sum("y").over(run) / F.sum("y").over(every))
-    return per.select((gap * (F.lead("d").over(W.orderBy("d")) - F.col("d"))).alias("g")).agg(F.sum("g")).first()[0] or 0.0
+    per = running_shares(both.groupBy("d").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), "d", "x", "y")
+    return per.agg(F.sum(F.abs(F.col("x") - F.col("y")) * (F.col("next") - F.col("d")))).first()[0] or 0.0
 
 
 def mood(vectors: DataFrame, deployment: DataFrame, candidates: dict) -> tuple[str, dict[str, float], DataFrame]:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 import warnings
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sunder.errors import ColumnError, ConfigurationError, EmptyPartitionError, MissingSourceWarning
+from sunder.functions.hashing import uniform
 from sunder.functions.sizes import resolve_sizes
 from sunder.plans.groups import assign_groups
 from sunder.plans.rank import value_rank
@@ -145,3 +149,31 @@ def party_split(df: DataFrame, id_col: str, party: str) -> DataFrame:
     parties = rows.select(F.col("party").alias("held_out")).distinct()
     out = rows.crossJoin(F.broadcast(parties))
     return out.select("id", "held_out", F.when(F.col("party").eqNullSafe(F.col("held_out")), "test").otherwise("train").alias("partition"))
+
+
+def synthetic_parties(df: DataFrame, id_col: str, n_parties: int, level: str | None = None, alpha: float = 0.5, seed: int = 0) -> DataFrame:
+    """``id, party``: every level of a label or cluster is dealt to parties in shares of its own Dirichlet draw.
+
+    Without ``level`` all records share one draw.  A smaller ``alpha`` makes
+    parties less alike.  Draws are repeated, ten times at most, until no party is empty.
+    """
+    if n_parties < 2 or alpha <= 0:
+        raise ConfigurationError("two parties or more, and a positive alpha")
+    key = F.lit("") if level is None else F.coalesce(F.col(level).cast("string"), F.lit(MISSING))
+    scratch = Scratch(df.sparkSession, "parties")
+    rows = scratch.keep(df.select(F.col(id_col).alias("id"), key.alias("level")))
+    for attempt in range(10):
+
+        def draw(batches, attempt=attempt):
+            for pdf in batches:
+                rng = [np.random.default_rng([seed, attempt, zlib.crc32(x.encode())]) for x in pdf["level"]]
+                yield pd.DataFrame({"level": pdf["level"], "upto": [np.cumsum(r.dirichlet(np.full(n_parties, alpha)))[:-1] for r in rng]})
+
+        shares = rows.select("level").distinct().mapInPandas(draw, "level string, upto array<double>")
+        u = uniform(seed, "party.dirichlet", attempt, "id")
+        dealt = rows.join(shares, "level").withColumn("u", u)
+        out = scratch.keep(dealt.select("id", F.size(F.filter("upto", lambda x: x <= F.col("u"))).alias("party")))
+        if out.agg(F.count_distinct("party")).first()[0] == n_parties:
+            return out
+        scratch.drop(out)
+    raise EmptyPartitionError(f"no draw gave {n_parties} parties a record each")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sunder.errors import ConfigurationError, ScalabilityError
+from sunder.errors import ConfigurationError, ConstraintError, ScalabilityError, SplitWarning
 from sunder.functions.hashing import hash_key
 from sunder.functions.sizes import resolve_sizes
 from sunder.plans.components import connected_components
-from sunder.plans.distance import distance_sums
+from sunder.plans.distance import distance_sums, nearest
 from sunder.plans.groups import assign_groups
 from sunder.plans.independent import centres
 from sunder.plans.rank import value_rank
@@ -38,6 +40,29 @@ def component_split(rows: DataFrame, edges: DataFrame, mode: str = "greedy_desc"
     return assign_groups(component_keys(rows, edges), "id", F.col("key"), mode, check=check, **sizes)
 
 
+def merged_keys(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``id, key``: the finest groups that split no group of ``a(id, key)`` or ``b(id, key)``."""
+    both = a.select("id", F.concat(F.lit("a"), F.col("key").cast("string")).alias("ka")).join(b.select("id", F.concat(F.lit("b"), F.col("key").cast("string")).alias("kb")), "id")
+    keys = both.select("id", F.array_compact(F.array("ka", "kb")).alias("keys"))
+    return component_keys(keys, shared_key_edges(keys, "id", "keys"))
+
+
+def greedy_prune(split: DataFrame, edges: DataFrame, max_discard: float = 0.1, allow_discard: bool = True) -> DataFrame:
+    """``id, partition``: test records with an edge to a train record are discarded, so that none is left.
+
+    Train stays as it is, so each such record has to go whatever the order; more
+    than a share ``max_discard`` of all records raises unless ``allow_discard``.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    side = lambda p, c: split.where(F.col("partition") == p).select(F.col("id").alias(c))
+    gone = both.join(side("test", "a"), "a", "left_semi").join(side("train", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+    gone = Scratch(split.sparkSession, "prune").keep(gone)
+    if not allow_discard and gone.count() > int(max_discard * split.count()):
+        raise ConstraintError("more records than max_discard are similar to train")
+    out = split.join(gone.withColumn("gone", F.lit(True)), "id", "left")
+    return out.select("id", F.when(F.col("gone"), "discard").otherwise(F.col("partition")).alias("partition"))
+
+
 def degrees(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, degree``: neighbours without the record itself."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
@@ -69,6 +94,52 @@ def density_keys(rows: DataFrame, edges: DataFrame, min_samples: int = 5) -> Dat
     return out.select("id", F.coalesce(key, -F.col("id") - 1).alias("key"), key.isNull().alias("noise"))
 
 
+def regroup_singletons(keys: DataFrame, policy: str, vectors: DataFrame | None = None) -> DataFrame:
+    """``id, key``: clusters of one record stay (own_group), become one (shared_group) or join the nearest centre (nearest_cluster).
+
+    Keys are the ids of centres, as the greedy clusterings give them.
+    """
+    if policy not in ("own_group", "shared_group", "nearest_cluster"):
+        raise ConfigurationError(f"unknown policy {policy!r}")
+    if policy == "own_group":
+        return keys.select("id", "key")
+    keys = Scratch(keys.sparkSession, "singletons").keep(keys.select("id", "key"))
+    sizes = keys.groupBy("key").count()
+    single = keys.join(sizes.where("count = 1"), "key", "left_semi")
+    if policy == "shared_group":
+        new = single.select("id", F.lit(single.agg(F.min("key")).first()[0]).alias("new"))
+    else:
+        centre = sizes.where("count > 1").select(F.col("key").alias("id"))
+        if not centre.take(1):
+            warnings.warn(SplitWarning("no cluster has two records: singletons stay"), stacklevel=2)
+            return keys
+        new = nearest(vectors.join(single, "id", "left_semi"), vectors.join(centre, "id", "left_semi")).select("id", F.col("nn").alias("new"))
+    return keys.join(new, "id", "left").select("id", F.coalesce("new", "key").alias("key"))
+
+
+def density_split(keys: DataFrame, noise_policy: str = "own_groups", vectors: DataFrame | None = None, **sizes) -> DataFrame:
+    """``id, partition, group`` from ``density_keys``: where the noise goes.
+
+    ``test``, ``train`` and ``discard`` set it aside while clusters are assigned,
+    so sizes count clustered records; with ``distribute`` it joins the cluster of
+    its nearest clustered record.
+    """
+    if noise_policy not in ("test", "train", "own_groups", "discard", "distribute"):
+        raise ConfigurationError(f"unknown policy {noise_policy!r}")
+    if noise_policy == "own_groups":
+        return assign_groups(keys, "id", F.col("key"), check=False, **sizes)
+    keys = Scratch(keys.sparkSession, "noise").keep(keys.select("id", "key", "noise"))
+    kept, noise = keys.where("not noise"), keys.where("noise")
+    if not kept.take(1):
+        raise ConstraintError("all records are noise")
+    if noise_policy == "distribute":
+        near = nearest(vectors.join(noise, "id", "left_semi"), vectors.join(kept, "id", "left_semi"))
+        moved = near.select("id", "nn").join(kept.select(F.col("id").alias("nn"), "key"), "nn").select("id", "key")
+        return assign_groups(kept.select("id", "key").unionByName(moved), "id", F.col("key"), check=False, **sizes)
+    out = assign_groups(kept, "id", F.col("key"), check=False, **sizes)
+    return out.unionByName(noise.select("id", F.lit(noise_policy).alias("partition"), F.lit(None).cast("long").alias("group")))
+
+
 def leave_one_cluster_out(keys: DataFrame, max_folds: int = 50, min_size: int = 1) -> DataFrame:
     """``id, fold``: clusters by falling size; those beyond the folds always train (fold -1)."""
     sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first")).where(F.col("size") >= min_size)
@@ -147,6 +218,53 @@ def max_min(vectors: DataFrame, init: str = "index_zero", picked_goes_to: str =
     return _dense(vectors, kernel)
 
 
+def seeded_growth(vectors: DataFrame, cutoff: float, seed_selection: str = "most_peripheral", **sizes) -> DataFrame:
+    """``id, partition``: test grows from a seed by nearness; others within ``cutoff`` (squared distance) of it are discarded."""
+    if seed_selection not in ("most_central", "most_peripheral"):
+        raise ConfigurationError(f"unknown start {seed_selection!r}")
+    k = max(1, resolve_sizes(vectors.count(), **sizes).test)
+
+    def kernel(d, pdf):
+        total = d.sum(axis=1)
+        i = int(total.argmin() if seed_selection == "most_central" else total.argmax())
+        taken, near = np.zeros(len(d), bool), d[i].copy()
+        taken[i] = True
+        for _ in range(k - 1):
+            i = int(np.where(taken, np.inf, near).argmin())
+            taken[i] = True
+            near = np.minimum(near, d[i])
+        return np.where(taken, "test", np.where(near > cutoff, "train", "discard")).astype(object)
+
+    return _dense(vectors, kernel)
+
+
+def perimeter_pairs(vectors: DataFrame, **sizes) -> DataFrame:
+    """``id, partition``: the farthest pair of records left tests, until the test set is full."""
+    k = resolve_sizes(vectors.count(), **sizes).test
+
+    def kernel(d, pdf):
+        n, out = len(d), np.full(len(d), "train", dtype=object)
+        free = np.ones(n, bool)
+        d = d.copy()
+        np.fill_diagonal(d, -1.0)
+        mate = d.argmax(axis=1)
+        far = d[np.arange(n), mate]
+        left = k
+        while left > 0:
+            i = int(np.where(free, far, -2.0).argmax())
+            pair = [i, int(mate[i])][:left]
+            out[pair], free[pair] = "test", False
+            left -= len(pair)
+            # Only those whose farthest record is gone look for another.
+            for j in np.flatnonzero(free & np.isin(mate, pair)):
+                row = np.where(free, d[j], -2.0)
+                mate[j] = row.argmax()
+                far[j] = row[mate[j]]
+        return out
+
+    return _dense(vectors, kernel)
+
+
 def spxy(vectors_with_label: DataFrame, **sizes) -> DataFrame:
     """``id, partition``: Kennard-Stone on the sum of scaled feature and label distances; input ``id, v, y``."""
     k = resolve_sizes(vectors_with_label.count(), **sizes).train

@@ -28,10 +28,37 @@ def hash_rank(df: DataFrame, key: Column, id_col: str, name: str = "pos") -> Dat
     return _ranked(rows, F.substring("_key", 1, 3), [F.col("_key"), F.col(id_col)], name).drop("_key")
 
 
+def _value_bucket(rows: DataFrame, value: str) -> Column:
+    """The range of ``value`` that a row is in, of ``EDGES`` about equally filled ones."""
+    edges = rows.agg(F.percentile_approx(value, [k / EDGES for k in range(1, EDGES)], 2000)).first()[0] or []
+    edges = sorted(set(edges))
+    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(value))) if edges else F.lit(0)
+
+
 def value_rank(df: DataFrame, value: Column, id_col: str, name: str = "pos", descending: bool = False) -> DataFrame:
     """Position of each row by a numeric value, ties by ascending id."""
     rows = df.withColumn("_value", (-value if descending else value).cast("double"))
-    edges = rows.agg(F.percentile_approx("_value", [k / EDGES for k in range(1, EDGES)], 2000)).first()[0] or []
-    edges = sorted(set(edges))
-    bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col("_value"))) if edges else F.lit(0)
-    return _ranked(rows, bucket, [F.col("_value"), F.col(id_col)], name).drop("_value")
+    return _ranked(rows, _value_bucket(rows, "_value"), [F.col("_value"), F.col(id_col)], name).drop("_value")
+
+
+def running_shares(df: DataFrame, value: str, *columns: str) -> DataFrame:
+    """``value, next`` and each column's running sum as a share of its total.
+
+    ``df`` has one row per distinct value; ``next`` is the next larger one, null at the end.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
+    rows = rows.withColumn("_bucket", _value_bucket(rows, value))
+    per = rows.groupBy("_bucket").agg(F.min(value).alias("_first"), *[F.sum(c).alias(f"_sum_{c}") for c in columns])
+    order = W.orderBy("_bucket")
+    every, before = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), order.rowsBetween(W.unboundedPreceding, -1)
+    # At most EDGES rows.
+    offsets = per.select(
+        "_bucket", F.lead("_first").over(order).alias("_after"),
+        *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in columns],
+        *[F.sum(f"_sum_{c}").over(every).alias(f"_total_{c}") for c in columns],
+    )
+    inside = W.partitionBy("_bucket").orderBy(value)
+    run = inside.rowsBetween(W.unboundedPreceding, 0)
+    share = lambda c: (F.col(f"_before_{c}") + F.sum(c).over(run)) / F.col(f"_total_{c}")
+    out = rows.join(F.broadcast(offsets), "_bucket")
+    return out.select(value, F.coalesce(F.lead(value).over(inside), "_after").alias("next"), *[share(c).alias(c) for c in columns])

@@ -144,7 +144,7 @@ def _(spark, sf):
 
 
 @query("matched_molecular_series", greedy_sql(components_sql(
-    "WITH k AS (SELECT o_orderkey AS id, o_custkey AS k FROM orders WHERE o_orderkey % 5 = 0 OR TRUE) SELECT x.id AS a, m.b FROM k x JOIN (SELECT k, min(id) AS b, count(*) AS c FROM k GROUP BY k) m USING (k) WHERE x.id <> m.b AND c >= 2",
+    "WITH k AS (SELECT o_orderkey AS id, o_custkey AS k FROM orders) SELECT x.id AS a, m.b FROM k x JOIN (SELECT k, min(id) AS b, count(*) AS c FROM k GROUP BY k) m USING (k) WHERE x.id <> m.b AND c >= 2",
     "SELECT o_orderkey AS id FROM orders")))
 def _(spark, sf):
     orders = _t(spark, sf, "orders").withColumn("keys", F.array("o_custkey"))
@@ -279,6 +279,11 @@ def _(spark, sf):
     return lineage.party_split(_t(spark, sf, "customer"), "c_custkey", "c_mktsegment")
 
 
+@query("party_label_skew")
+def _(spark, sf):
+    return lineage.synthetic_parties(_t(spark, sf, "customer"), "c_custkey", 4, "c_mktsegment")
+
+
 # --- pairs ----------------------------------------------------------------------------------
 
 _PAIRS = "SELECT l_partkey * 100000 + l_suppkey AS id, l_partkey AS a, l_suppkey % 25 AS b FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)"
@@ -414,6 +419,45 @@ def _(spark, sf):
     return sim.spxy(_vectors(spark, sf).join(y, "id"))
 
 
+for _name, _f in (("perimeter_pairs", sim.perimeter_pairs), ("seeded_growth", partial(sim.seeded_growth, cutoff=NEAR))):
+    query(_name)(partial(lambda f, spark, sf: f(_vectors(spark, sf)), _f))
+
+
+@query("greedy_prune", f"""WITH e AS ({_VEDGES}), both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), sp AS ({_SPLIT}),
+gone AS (SELECT DISTINCT a AS id FROM both_ JOIN sp x ON x.id = a JOIN sp y ON y.id = b WHERE x.partition = 'test' AND y.partition = 'train')
+SELECT id, CASE WHEN id IN (SELECT id FROM gone) THEN 'discard' ELSE partition END AS partition FROM sp""")
+def _(spark, sf):
+    return sim.greedy_prune(baseline.random_split(_t(spark, sf, "embeddings"), "vec_id"), _near(spark, sf)[1])
+
+
+@query("butina_shared_singletons", f"""WITH k AS ({_mis_sql('len(adj) DESC, id')}), s AS (SELECT key FROM k GROUP BY key HAVING count(*) = 1)
+SELECT id, CASE WHEN key IN (SELECT key FROM s) THEN (SELECT min(key) FROM s) ELSE key END AS key FROM k""")
+def _(spark, sf):
+    return sim.regroup_singletons(sim.butina_keys(*_near(spark, sf)), "shared_group")
+
+
+@query("butina_nearest_cluster", f"""WITH k AS ({_mis_sql('len(adj) DESC, id')}), s AS (SELECT key, count(*) AS c FROM k GROUP BY key), v AS ({_VEC}),
+nn AS (SELECT x.id, arg_min(y.id, ({_D2}, y.id)) AS nn FROM v x JOIN s sx ON sx.key = x.id AND sx.c = 1 CROSS JOIN (SELECT v.* FROM v JOIN s ON s.key = v.id WHERE s.c > 1) y GROUP BY x.id)
+SELECT k.id, coalesce(nn.nn, k.key) AS key FROM k LEFT JOIN nn USING (id)""")
+def _(spark, sf):
+    return sim.regroup_singletons(sim.butina_keys(*_near(spark, sf)), "nearest_cluster", _vectors(spark, sf))
+
+
+@query("density_noise_to_test", f"""WITH k AS ({_DBSCAN}), p AS ({greedy_sql(f"SELECT id, key FROM ({_DBSCAN}) WHERE NOT noise")})
+SELECT id, partition, "group" FROM p UNION ALL SELECT id, 'test', NULL FROM k WHERE noise""")
+def _(spark, sf):
+    return sim.density_split(sim.density_keys(*_near(spark, sf)), "test")
+
+
+@query("merged_groups", components_sql(
+    "WITH k AS (SELECT p_partkey AS id, unnest([concat('n', p_name), concat('r', CAST(p_retailprice AS VARCHAR))]) AS k FROM part) SELECT x.id AS a, m.b FROM k x JOIN (SELECT k, min(id) AS b FROM k GROUP BY k) m USING (k) WHERE x.id <> m.b",
+    "SELECT p_partkey AS id FROM part"))
+def _(spark, sf):
+    part = _t(spark, sf, "part")
+    key = lambda c: part.select(F.col("p_partkey").alias("id"), F.col(c).alias("key"))
+    return sim.merged_keys(key("p_name"), key("p_retailprice"))
+
+
 # --- protocol -------------------------------------------------------------------------------
 
 
@@ -641,10 +685,29 @@ for _name, _f in (
 def _(spark, sf):
     rows = _vectors(spark, sf)
     candidates = {"random": lambda v: baseline.random_split(v, "id"), "perimeter": lambda v: sim.perimeter_outliers(v)}
-    return emb.mood(rows.where("id % 7 <> 0"), rows.where("id % 7 = 0"), candidates)[2]
+    # The deployment set: the records of one label.
+    deployed = rows.join(_t(spark, sf, "embeddings").where("label = 0").select(F.col("vec_id").alias("id")), "id", "left_semi")
+    return emb.mood(rows, deployed, candidates)[2]
 
 
 @query("adversarial")
 def _(spark, sf):
     rows = _vectors(spark, sf)
     return emb.adversarial(rows, baseline.random_split(rows, "id"), max_iter=2)
+
+
+@query("audit_report")
+def _(spark, sf):
+    rows, table = _vectors(spark, sf), _t(spark, sf, "embeddings")
+    records = table.select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("label"), F.col("label").alias("scaffold"), F.to_json("embedding").alias("key"))
+    report = audit.audit_split(
+        rows, baseline.random_split(rows, "id"), records, key="key", scaffold="scaffold", label="label", properties=("label",), auc=lambda v, s: emb.adversarial_auc(v, s)[0]
+    )
+    # One row per figure.
+    found = [(k, None if v is None else float(v)) for k, v in report.items() if k != "flags"] + [(f"flag {k}", 1.0) for k in report["flags"]]
+    return spark.createDataFrame(found, "metric string, value double")
+
+
+@query("mahalanobis_vectors")
+def _(spark, sf):
+    return emb.whitened(_vectors(spark, sf))

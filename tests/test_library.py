@@ -313,3 +313,111 @@ def test_corpus_operators_are_optional(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'random' in q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_running_shares_and_ks(spark):
+    rng = np.random.default_rng(3)
+    y = np.round(rng.normal(size=3000), 2)
+    part = np.where(rng.random(3000) < 0.3, "test", "train")
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(y)] + [(3000, None)], "id long, y double")
+    split = spark.createDataFrame([(k, str(p)) for k, p in enumerate(part)] + [(3000, "test")], "id long, partition string")
+    a, b = np.sort(y[part == "train"]), np.sort(y[part == "test"])
+    at = np.unique(y)
+    want = np.abs(np.searchsorted(a, at, "right") / len(a) - np.searchsorted(b, at, "right") / len(b)).max()
+    assert audit.ks_statistic(df, "id", "y", split).first().ks == pytest.approx(want)
+    frame = lambda x: spark.createDataFrame([(float(v),) for v in x], "d double")
+    grid = np.linspace(0, 1, 200_001)[:-1] + 2.5e-6
+    quantile = lambda x: x[(grid * len(x)).astype(int)]
+    assert embedding.wasserstein(frame(a), frame(b)) == pytest.approx(np.abs(quantile(a) - quantile(b)).mean(), abs=1e-4)
+    assert audit.ks_p_value(0.0, 10, 10) == 1.0 and audit.ks_p_value(1.3581 / 50, 5000, 5000) == pytest.approx(0.05, abs=1e-3)
+    assert audit.ks_p_value(0.9, 500, 500) < 1e-9
+
+
+def test_histogram_bins(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, 0.5, 0.99, 1.0, 1.5, None)], "d double")
+    got = {r.bin: r.n for r in audit.histogram(df, bins=4).collect()}
+    assert got == {0: 1, 1: 0, 2: 1, 3: 2}
+    assert audit.histogram(df.limit(0), bins=2).agg(F.sum("n")).first()[0] == 0
+
+
+def _points(spark, points):
+    return spark.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate(points)], "id long, v array<double>")
+
+
+def test_mahalanobis(spark):
+    x = np.random.default_rng(5).normal(size=(60, 3)) @ np.array([[2, 0, 0], [1, 1, 0], [0, 3, 0.1]])
+    got = np.stack([r.v for r in embedding.whitened(_points(spark, x)).orderBy("id").collect()])
+    inverse = np.linalg.inv(np.cov(x.T))
+    for i, j in ((0, 1), (5, 40), (17, 59)):
+        assert np.linalg.norm(got[i] - got[j]) == pytest.approx(math.sqrt((x[i] - x[j]) @ inverse @ (x[i] - x[j])))
+    flat = embedding.whitened(_points(spark, [(1, 2), (1, 3), (1, 5)]))
+    assert {len(r.v) for r in flat.collect()} == {1}
+
+
+def test_audit_flags_a_leak(spark):
+    points = [(k, 1) for k in range(40)]
+    rows = _points(spark, points)
+    split = spark.createDataFrame([(k, "test" if k % 4 == 0 else "train") for k in range(40)], "id long, partition string")
+    records = rows.select("id", F.lit("same").alias("key"), F.lit("s").alias("source"), F.col("v")[0].alias("y"), F.when(F.col("id") % 4 == 0, 10.0 + F.col("id") % 3).otherwise(F.col("id") % 3).alias("p"))
+    report = audit.audit_split(rows, split, records, key="key", source="source", label="y", properties=("p", "y"), auc=lambda v, s: 0.5)
+    assert (report["n_train"], report["n_test"], report["n_duplicates"], report["shared_source"]) == (30, 10, 10, 1)
+    assert report["flags"] == ["EXACT_DUPLICATES_ACROSS_PARTITIONS", "HIGH_MAX_SIMILARITY", "MEDIAN_NN_ABOVE_0.6", "SHARED_SOURCES", "LOW_ADVERSARIAL_AUC", "SMALL_TEST", "PROPERTY_SHIFT_p"]
+    assert audit.flags({"n_test": 30}) == []
+    with pytest.raises(EmptyPartitionError):
+        audit.audit_split(rows, split.where("partition = 'train'"))
+
+
+def test_scramble_control(spark):
+    rows = spark.createDataFrame([(k, [float(k)], float(k % 7)) for k in range(70)], "id long, v array<double>, y double")
+    split = spark.createDataFrame([(k, "test" if k >= 60 else "train") for k in range(70)], "id long, partition string")
+    again = audit.scrambled(rows, 0, 0)
+    assert sorted(r.y for r in again.collect()) == sorted(r.y for r in rows.collect())
+    assert [r.y for r in again.orderBy("id").collect()] != [r.y for r in rows.orderBy("id").collect()]
+    right = lambda train, test: -float(train.select(F.sum(F.abs(F.col("y") - F.col("v")[0] % 7))).first()[0])
+    out = audit.scramble_control(rows, split, right, n_repeats=3)
+    assert out["passes"] and out["p_value"] == 0 and len(out["scrambled_scores"]) == 3
+    assert not audit.scramble_control(rows, split, lambda train, test: 1.0, n_repeats=2)["passes"]
+
+
+def test_growth_and_farthest_pairs(spark):
+    line = _points(spark, [(x,) for x in (0, 1, 2, 3, 10, 11, 20, 21, 30, 31)])
+    parts = lambda df: "".join({"train": "r", "test": "e", "discard": "d"}[r.partition] for r in df.orderBy("id").collect())
+    assert parts(sim.perimeter_pairs(line, test=4)) == "eerrrrrree"
+    assert parts(sim.perimeter_pairs(line, test=3)) == "eerrrrrrre"
+    assert parts(sim.seeded_growth(line, 4.0, test=2)) == "rrrrrrrree"
+    assert parts(sim.seeded_growth(line, 100.0, test=2)) == "rrrrrrddee"
+    with pytest.raises(ConfigurationError):
+        sim.seeded_growth(line, 1.0, "nowhere")
+
+
+def test_noise_policies(spark):
+    keys = spark.createDataFrame([(0, 0, False), (1, 0, False), (2, 2, False), (3, 2, False), (4, -5, True)], "id long, key long, noise boolean")
+    rows = _points(spark, [(0,), (1,), (10,), (11,), (12,)])
+    for policy in ("test", "train", "discard"):
+        got = {r.id: r.partition for r in sim.density_split(keys, policy, test=0.5).collect()}
+        assert got[4] == policy and got[0] == got[1] != got[2] == got[3]
+    got = {r.id: r.partition for r in sim.density_split(keys, "distribute", rows, test=0.5).collect()}
+    assert got[4] == got[3] and len(got) == 5
+    assert {r.id for r in sim.density_split(keys).collect()} == set(range(5))
+
+
+def test_merged_groups_and_pruning(spark):
+    key = lambda *k: spark.createDataFrame(list(enumerate(k)), "id long, key string")
+    got = {r.id: r.key for r in sim.merged_keys(key("x", "x", "y", None, "z"), key("p", "q", "q", None, "r")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+    split = spark.createDataFrame([(0, "train"), (1, "test"), (2, "test")], "id long, partition string")
+    edges = spark.createDataFrame([(0, 1), (1, 2)], "a long, b long")
+    assert {r.id: r.partition for r in sim.greedy_prune(split, edges).collect()} == {0: "train", 1: "discard", 2: "test"}
+    with pytest.raises(Exception, match="max_discard"):
+        sim.greedy_prune(split, edges, allow_discard=False)
+
+
+def test_synthetic_parties(spark):
+    df = spark.range(4000).withColumn("y", F.col("id") % 3)
+    got = lineage.synthetic_parties(df, "id", 3, "y", alpha=0.3)
+    shares = got.join(df, "id").groupBy("y", "party").count().collect()
+    assert got.count() == 4000 and {r.party for r in shares} == {0, 1, 2}
+    assert max(r["count"] for r in shares) > 600  # skewed: a third of a level is 444
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lineage.synthetic_parties(df.repartition(7), "id", 3, "y", alpha=0.3).collect()))
+    with pytest.raises(ConfigurationError):
+        lineage.synthetic_parties(df, "id", 1)
