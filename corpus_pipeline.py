@@ -14,6 +14,8 @@ from sunder.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepi
 from sunder.plans.scratch import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Near copies: documents that share this percentage of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _n_chars():
@@ -34,7 +36,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies its first document stays; rows without an id stay."""
-    first = ngram_join.ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = ngram_join.ngram_components(docs, NEAR_WORDS, NEAR_PERCENT).where("doc_id = component_id").select("doc_id").distinct()
     one = W.partitionBy("doc_id").orderBy("text", "source", "lang")
     stay = docs.join(first, "doc_id", "left_semi").withColumn("copy", F.row_number().over(one)).where("copy = 1")
     return stay.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
