@@ -32,7 +32,7 @@ def test_stages(spark, tmp_path):
     expected = brute_lines([tuple(r) for r in before], 50)
     assert {r.doc_id: r.text for r in after} == expected
     before, after = frames["ngram_jaccard_join"]
-    assert {r.doc_id for r in after} == {c for *_, c in brute_components([tuple(r) for r in before])}
+    assert {r.doc_id for r in after} == {c for *_, c in brute_components([tuple(r) for r in before], pipeline.NEAR_WORDS, pipeline.NEAR_PERCENT)}
     before, after = frames["mix_sources"]
     times = Counter(r.doc_id for r in after)
     assert max(times.values()) <= 2 and all(r in before for r in after)
