@@ -6,9 +6,12 @@ A document is the set of its distinct word shingles.  Two documents link when
 1. The tree's upper levels are spread over the cluster.  A node of the first
    level is a range of set sizes; ranges grow by the factor that still allows a
    link, so partners lie in the same or the next one.  A node of the second
-   level is one segment of a range: shingles are dealt by hash to one segment
-   more than two partners can differ in, so partners agree wholly in at least
-   one segment.  Documents meet below a node only if they agree in its segment.
+   level is one segment of a range: shingles are dealt by hash to more segments
+   than two partners can differ in, one and a few spare ones, so partners agree
+   wholly in more segments than there are spare ones.  Documents meet below a
+   node only if they agree in its segment.  A document leaves its empty segments
+   out unless it has more of them than spare ones: partners then agree in
+   another segment too, or both have that many and keep them.
 2. Below such a node, documents form a signature tree: leaves and inner nodes
    hold the OR of their documents' token bitmaps and the range of their sizes.
    A dual traversal drops every pair of nodes whose largest possible overlap is
@@ -52,15 +55,18 @@ _U = np.uint64
 
 
 @cache
-def _ranges(percent: int, up_to: int) -> tuple[np.ndarray, np.ndarray]:
-    """Largest size of each range, and the number of segments of pairs whose smaller set is in it."""
+def _ranges(percent: int, up_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Largest size of each range, and of pairs whose smaller set is in it the segments, and how many of them are spare."""
     top = [0]
     while top[-1] < up_to * 100 // percent + 2:
         top.append(max(top[-1] + 1, top[-1] * 100 // percent))
     top = np.array(top, np.int64)
     # |x| + |y| - 2 |x & y| <= (|x| + |y|) * (100 - percent) / (100 + percent)
     segments = (top[:-1] + top[1:]) * (100 - percent) // (100 + percent) + 1
-    return top, segments
+    # More than the empty segments that chance leaves to the smallest set of a range.
+    empty = segments * np.exp(-(np.concatenate(([0], top[:-2])) + 1) / segments)
+    spare = np.where(segments > 1, np.ceil(empty + 4 * np.sqrt(empty)), 0).astype(np.int64)
+    return top, segments + spare, spare
 
 
 def _sets(raw, offsets, i, j, size) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +82,8 @@ def _sets(raw, offsets, i, j, size) -> tuple[np.ndarray, np.ndarray]:
     return r, s
 
 
-def _segment_keys(rows, sets, ranges, segments, n_rows) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets per row, and a key of (range, segment, content) for every segment of every row."""
+def _segment_keys(rows, sets, ranges, segments, spare, n_rows) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets per row, and a key of (range, segment, content) for the segments that a row meets others in."""
     count = np.where(ranges >= 0, segments[np.maximum(ranges, 0)], 0)
     base = np.concatenate(([0], np.cumsum(count)))
     live = ranges[rows] >= 0
@@ -90,7 +96,11 @@ def _segment_keys(rows, sets, ranges, segments, n_rows) -> tuple[np.ndarray, np.
     lo, hi = np.searchsorted(flat, every, "left"), np.searchsorted(flat, every, "right")
     owner = np.repeat(np.arange(n_rows), count)
     place = (ranges[owner].astype(np.uint64) << _U(32)) + (every - base[owner]).astype(np.uint64)
-    return base, tk.mix(sums[hi] - sums[lo] + tk.mix(place + _U(1)))
+    keys = tk.mix(sums[hi] - sums[lo] + tk.mix(place + _U(1)))
+    filled = hi > lo
+    n_filled = np.bincount(owner[filled], minlength=n_rows)
+    kept = filled | (count - n_filled > spare[np.maximum(ranges, 0)])[owner]
+    return np.concatenate(([0], np.cumsum(np.bincount(owner[kept], minlength=n_rows)))), keys[kept]
 
 
 def _per_row(ufunc, values, starts, n_rows, which):
@@ -120,11 +130,11 @@ def _profile(size: int, percent: int):
                 bit = np.left_shift(_U(1), m & _U(63))
                 high = (m & _U(64)) > 0
                 bits = [_per_row(np.bitwise_or, np.where(taken & (high == side), bit, _U(0)), starts, n_rows, which) for side in (False, True)]
-                top, segments = _ranges(percent, int(n.max(initial=1)))
+                top, segments, spare = _ranges(percent, int(n.max(initial=1)))
                 own = np.where(n > 0, np.searchsorted(top, n), -1)
                 lists = []
                 for ranges in (own, np.where(own > 1, own - 1, -1)):
-                    base, keys = _segment_keys(rows, s, ranges, segments, n_rows)
+                    base, keys = _segment_keys(rows, s, ranges, segments, spare, n_rows)
                     lists.append(pa.ListArray.from_arrays(pa.array(base, pa.int32()), pa.array(keys.view(np.int64))))
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": batch.column("doc_id").slice(i, n_rows), "n": pa.array(n.astype(np.int64))}
