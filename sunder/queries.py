@@ -310,6 +310,34 @@ JOIN ({greedy_sql(f"SELECT id, b AS key FROM ({_PAIRS})", _AXIS_TEST)}) y ON x.i
     )
 
 
+# --- whole entities ---------------------------------------------------------------------------
+
+# The SQL twins above and of group_k_fold fold their keys by a modulo, so their queries do as well.
+# These hold out the entities themselves; brute force is their check.
+
+
+def _entity_pairs(spark, sf):
+    line = _t(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return line.select((F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("id"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+
+
+for _name, _axis in (("cold_drug_entities", "a"), ("cold_target_entities", "b")):
+    query(_name)(partial(lambda axis, spark, sf: pairs.cold_entity(_entity_pairs(spark, sf), "id", axis, check=False), _axis))
+
+for _name, _how in (("cold_pair_entities", "both_novel"), ("complex_joint_entities", "either_novel")):
+    query(_name)(partial(lambda how, spark, sf: pairs.assign_pairs(_entity_pairs(spark, sf), "id", F.col("a"), F.col("b"), how), _how))
+
+
+@query("group_assignment_entities")
+def _(spark, sf):
+    return assign_groups(_t(spark, sf, "orders"), "o_orderkey", F.col("o_custkey"), check=False)
+
+
+@query("group_k_fold_entities")
+def _(spark, sf):
+    return protocol.group_k_fold(_t(spark, sf, "orders"), "o_orderkey", "o_custkey", 3)
+
+
 # --- similarity -----------------------------------------------------------------------------
 
 _VEC = "SELECT vec_id AS id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS v, label AS y FROM embeddings"

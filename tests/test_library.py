@@ -421,3 +421,42 @@ def test_synthetic_parties(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lineage.synthetic_parties(df.repartition(7), "id", 3, "y", alpha=0.3).collect()))
     with pytest.raises(ConfigurationError):
         lineage.synthetic_parties(df, "id", 1)
+
+
+def _largest_first(keys, capacity):
+    """``{id: side}`` and ``{id: group}`` by brute force; ``keys``: id to key."""
+    ids = {}
+    for i in sorted(keys):
+        ids.setdefault(keys[i], []).append(i)
+    filled, side = [0] * len(capacity), {}
+    for k in sorted(ids, key=lambda k: (-len(ids[k]), ids[k][0])):
+        at = min(range(len(capacity)), key=lambda b: (filled[b] - capacity[b], b))
+        filled[at] += len(ids[k])
+        side |= dict.fromkeys(ids[k], at)
+    group = {k: g for g, k in enumerate(sorted(ids, key=lambda k: ids[k][0]))}
+    return side, {i: group[k] for i, k in keys.items()}
+
+
+def test_entities_are_not_folded(spark, tmp_path):
+    rng = random.Random(5)
+    # Keys that agree modulo 300, 25, 701 or 211 are different entities.
+    drugs, targets = [1, 301, 601, 2, 302, 7, 307], [1, 26, 51, 2, 27, 3]
+    both = sorted({(rng.choice(drugs), rng.choice(targets)) for _ in range(30)})
+    spark.createDataFrame(both, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    bought = {k: rng.choice([1, 212, 423, 702, 913, 2, 213, 703]) for k in range(60)}
+    spark.createDataFrame(list(bought.items()), "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda name: {r.id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    a, b = ({x * 100000 + y: (x, y)[k] for x, y in both} for k in (0, 1))
+    n, side = len(both), ("train", "test")
+    n_test = floor_round(0.2 * n)
+    for name, keys in (("cold_drug_entities", a), ("cold_target_entities", b)):
+        part, group = _largest_first(keys, [n - n_test, n_test])
+        assert {i: (r.partition, r.group) for i, r in run(name).items()} == {i: (side[part[i]], group[i]) for i in keys}
+    axis_test = round((n_test / n) ** 0.5 * n)
+    x, y = (_largest_first(keys, [n - axis_test, axis_test])[0] for keys in (a, b))
+    assert {i: r.partition for i, r in run("cold_pair_entities").items()} == {i: side[x[i]] if x[i] == y[i] else "discard" for i in a}
+    assert {i: r.partition for i, r in run("complex_joint_entities").items()} == {i: side[x[i] | y[i]] for i in a}
+    part, group = _largest_first(bought, [48, 12])
+    assert {i: (r.partition, r.group) for i, r in run("group_assignment_entities").items()} == {i: (side[part[i]], group[i]) for i in bought}
+    part, group = _largest_first(bought, [20, 20, 20])
+    assert {i: (r.fold, r.group) for i, r in run("group_k_fold_entities").items()} == {i: (part[i], group[i]) for i in bought}
