@@ -83,5 +83,9 @@ class LargeGroupWarning(SplitWarning):
     """One group holds over 60 % of the records."""
 
 
+class ConvergenceWarning(SplitWarning):
+    """A search stopped at its limit, not at its end."""
+
+
 class MissingSourceWarning(SplitWarning):
     """Some records have no provenance."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from sunder.errors import ConfigurationError, InputError, MissingDependencyError
+from sunder.errors import ConfigurationError, ConvergenceWarning, InputError, MissingDependencyError
 from sunder.functions.sizes import floor_round, resolve_sizes
 from sunder.plans.distance import nearest
 from sunder.plans.groups import assign_groups
@@ -227,8 +228,42 @@ def opti_sim(vectors: DataFrame, radius: float, n_picks: int, subsample: int | N
     return single_task(vectors, kernel, "id long, key long", DENSE)
 
 
-def d_optimal(vectors: DataFrame, n_components: int = 5, ridge: float = 1e-8, passes: int = 20, **sizes) -> DataFrame:
-    """``id, partition``: train maximises the determinant of its information matrix, by Fedorov exchange (1972) on principal scores."""
+def fedorov_exchange(z: np.ndarray, design: np.ndarray, ridge: float, passes: int) -> tuple[np.ndarray, bool, int]:
+    """Swap each design row for the row outside that raises the determinant most, pass by pass until one makes no swap.
+
+    Returns the design, whether such a pass was reached, and the number of swaps.
+    """
+    design, inside, swaps = np.sort(design), np.zeros(len(z), bool), 0
+    inside[design] = True
+
+    def informed():
+        inv = np.linalg.inv(z[inside].T @ z[inside] + ridge * np.eye(z.shape[1]))
+        return inv, np.einsum("ij,jk,ik->i", z, inv, z), np.flatnonzero(~inside)
+
+    inv, g, come = informed()
+    if not len(come):
+        return design, True, 0
+    for _ in range(passes):
+        before = swaps
+        for at in range(len(design)):
+            i = design[at]
+            gain = g[come] - g[i] - (g[i] * g[come] - (z[come] @ (inv @ z[i])) ** 2)
+            best = int(gain.argmax())
+            if gain[best] > 1e-10:
+                design[at] = come[best]
+                inside[i], inside[come[best]] = False, True
+                inv, g, come = informed()
+                swaps += 1
+        if swaps == before:
+            return np.sort(design), True, swaps
+    return np.sort(design), False, swaps
+
+
+def d_optimal(vectors: DataFrame, n_components: int = 5, ridge: float = 1e-8, passes: int = 100, **sizes) -> DataFrame:
+    """``id, partition``: train maximises the determinant of its information matrix, by Fedorov exchange (1972) on principal scores.
+
+    A pass visits every record of the design; a ``ConvergenceWarning`` tells of a limit that is hit before a pass makes no swap.
+    """
     k = resolve_sizes(vectors.count(), **sizes).train
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -237,23 +272,16 @@ def d_optimal(vectors: DataFrame, n_components: int = 5, ridge: float = 1e-8, pa
         x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
         u, s, _ = np.linalg.svd(x, full_matrices=False)
         z = np.hstack([np.ones((len(x), 1)), (u * s)[:, :n_components]])
-        inside = np.zeros(len(x), bool)
-        inside[np.argsort(-(z * z).sum(1), kind="stable")[:k]] = True
-        for _ in range(passes):
-            inv = np.linalg.inv(z[inside].T @ z[inside] + ridge * np.eye(z.shape[1]))
-            g = np.einsum("ij,jk,ik->i", z, inv, z)
-            out, come = np.flatnonzero(inside), np.flatnonzero(~inside)
-            if not len(come):
-                break
-            cross = z[out] @ inv @ z[come].T
-            gain = g[come][None, :] - g[out][:, None] - (g[out][:, None] * g[come][None, :] - cross**2)
-            i, j = np.unravel_index(gain.argmax(), gain.shape)
-            if gain[i, j] <= 1e-9:
-                break
-            inside[out[i]], inside[come[j]] = False, True
-        return pd.DataFrame({"id": pdf["id"], "partition": np.where(inside, "train", "test")})
-
-    return single_task(vectors, kernel, SPLIT, DENSE)
+        design, settled, swaps = fedorov_exchange(z, np.argsort(-(z * z).sum(1), kind="stable")[:k], ridge, passes)
+        part = np.full(len(x), "test", dtype=object)
+        part[design] = "train"
+        return pd.DataFrame({"id": pdf["id"], "partition": part, "settled": settled, "swaps": swaps})
+
+    found = Scratch(vectors.sparkSession, "d_optimal").keep(single_task(vectors, kernel, f"{SPLIT}, settled boolean, swaps long", DENSE))
+    open_ = found.where(~F.col("settled")).select("swaps").first()
+    if open_ is not None:
+        warnings.warn(ConvergenceWarning(f"d_optimal: {passes} passes and {open_.swaps} swaps, and the last pass still swapped", passes=passes, swaps=open_.swaps), stacklevel=2)
+    return found.select("id", "partition")
 
 
 def support_points(vectors: DataFrame, iterations: int = 100, seed: int = 0, **sizes) -> DataFrame:

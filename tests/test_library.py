@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import warnings
 
 import duckdb
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from sunder import cli, contract, registry
-from sunder.errors import ConfigurationError, DegenerateGroupingError, EmptyPartitionError, InputError, MissingDependencyError, ScalabilityError, UnknownOperatorError
+from sunder.errors import ConfigurationError, ConvergenceWarning, DegenerateGroupingError, EmptyPartitionError, InputError, MissingDependencyError, ScalabilityError, UnknownOperatorError
 from sunder.functions import features
 from sunder.functions.sizes import floor_round, resolve_sizes
 from sunder.operators import audit, baseline, embedding, lineage, pairs, property as prop, similarity as sim, task
@@ -460,3 +461,27 @@ def test_entities_are_not_folded(spark, tmp_path):
     assert {i: (r.partition, r.group) for i, r in run("group_assignment_entities").items()} == {i: (side[part[i]], group[i]) for i in bought}
     part, group = _largest_first(bought, [20, 20, 20])
     assert {i: (r.fold, r.group) for i, r in run("group_k_fold_entities").items()} == {i: (part[i], group[i]) for i in bought}
+
+
+def test_d_optimal_ends_where_no_swap_helps(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_exponential((300, 6)).round(6)
+    rows = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, v array<double>")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", ConvergenceWarning)
+        out = {r.id: r.partition for r in embedding.d_optimal(rows, train=0.5, valid=0.0, test=0.5).collect()}
+    x = (v - v.mean(0)) / v.std(0)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    z = np.hstack([np.ones((300, 1)), (u * s)[:, :5]])
+    inside = np.array([out[i] == "train" for i in range(300)])
+    assert inside.sum() == 150
+    info = z[inside].T @ z[inside] + 1e-8 * np.eye(6)
+    base = np.linalg.slogdet(info)[1]
+    for i in np.flatnonzero(inside):
+        less = info - np.outer(z[i], z[i])
+        for j in np.flatnonzero(~inside):
+            assert np.linalg.slogdet(less + np.outer(z[j], z[j]))[1] <= base + 1e-9
+    start = np.argsort(-(z * z).sum(1), kind="stable")[:150]
+    assert embedding.fedorov_exchange(z, start, 1e-8, 100)[2] > 20
+    with pytest.warns(ConvergenceWarning):
+        embedding.d_optimal(rows, passes=1, train=0.5, valid=0.0, test=0.5)
