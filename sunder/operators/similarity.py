@@ -12,7 +12,7 @@ from sunder.errors import ConfigurationError, ConstraintError, ScalabilityError,
 from sunder.functions.hashing import hash_key
 from sunder.functions.sizes import resolve_sizes
 from sunder.plans.components import connected_components
-from sunder.plans.distance import distance_sums, nearest
+from sunder.plans.distance import distance_sums, nearest, squared_distance_sums
 from sunder.plans.groups import assign_groups
 from sunder.plans.independent import centres
 from sunder.plans.rank import value_rank
@@ -149,23 +149,30 @@ def leave_one_cluster_out(keys: DataFrame, max_folds: int = 50, min_size: int =
     return keys.join(F.broadcast(folds), "key", "left").select("id", F.coalesce("fold", F.lit(-1)).alias("fold"))
 
 
-def minimal_test_dissimilarity(vectors: DataFrame, labels: DataFrame, **sizes) -> DataFrame:
-    """``id, partition``: of each of n_test equal bins of falling label, the record with the least total distance tests."""
+def _totals(vectors: DataFrame, squared: bool) -> DataFrame:
+    return squared_distance_sums(vectors) if squared else distance_sums(vectors)
+
+
+def minimal_test_dissimilarity(vectors: DataFrame, labels: DataFrame, squared: bool = False, **sizes) -> DataFrame:
+    """``id, partition``: of each of n_test equal bins of falling label, the record with the least total distance tests.
+
+    With ``squared``, squared distances are added: a surrogate without pairs, which orders records by their distance to the centroid.
+    """
     n = vectors.count()
     n_test = resolve_sizes(n, **sizes).test
     ranked = value_rank(labels.select("id", "y"), F.col("y"), "id", descending=True)
     size, longer = divmod(n, n_test)
     pos, edge = F.col("pos"), longer * (size + 1)
     bins = F.when(pos < edge, F.floor(pos / (size + 1))).otherwise(longer + F.floor((pos - edge) / size))
-    rows = ranked.select("id", bins.alias("bin")).join(distance_sums(vectors), "id")
+    rows = ranked.select("id", bins.alias("bin")).join(_totals(vectors, squared), "id")
     nth = F.row_number().over(W.partitionBy("bin").orderBy("total", "id"))
     return rows.select("id", F.when(nth == 1, "test").otherwise("train").alias("partition"))
 
 
-def perimeter_outliers(vectors: DataFrame, **sizes) -> DataFrame:
-    """``id, partition``: the records with the largest mean distance are tested."""
+def perimeter_outliers(vectors: DataFrame, squared: bool = False, **sizes) -> DataFrame:
+    """``id, partition``: the records with the largest mean distance are tested; ``squared`` as in ``minimal_test_dissimilarity``."""
     n = vectors.count()
-    ranked = value_rank(distance_sums(vectors), F.col("total"), "id", descending=True)
+    ranked = value_rank(_totals(vectors, squared), F.col("total"), "id", descending=True)
     return ranked.select("id", F.when(F.col("pos") < resolve_sizes(n, **sizes).test, "test").otherwise("train").alias("partition"))
 
 

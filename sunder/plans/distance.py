@@ -88,6 +88,23 @@ def nearest(query: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def distance_sums(vectors: DataFrame) -> DataFrame:
+    """``id, total``: the sum of distances to all records, over pairs of blocks.
+
+    Both orders of a pair are computed and every sum runs in one order, so that equal vectors have equal sums.
+    """
+
+    def kernel(a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "total": []}).astype({"id": "int64"})
+        d = np.sqrt(np.maximum(_squared(a, b.sort_values("id", ignore_index=True)), 0))
+        return pd.DataFrame({"id": a["id"], "total": d.sum(axis=1)})
+
+    each = _block_join(vectors, vectors, kernel, "id long, total double", False)
+    parts = each.groupBy("id").agg(F.array_sort(F.collect_list("total")).alias("t"))  # one number per block
+    return parts.select("id", F.aggregate("t", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+def squared_distance_sums(vectors: DataFrame) -> DataFrame:
     """``id, total``: the sum of squared distances to all records, in closed form from two sums."""
     dims = vectors.select(F.size("v").alias("k")).first()
     if dims is None:

@@ -415,14 +415,27 @@ def _(spark, sf):
 _TOTALS = f"v AS ({_VEC}), tot AS (SELECT x.id, any_value(x.y) AS y, sum({_D2}) AS total FROM v x CROSS JOIN v y GROUP BY x.id)"
 
 
+def _classes(spark, sf):
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("y"))
+
+
 @query("minimal_test_set_dissimilarity", f"""WITH {_TOTALS}, b AS (SELECT *, ntile((SELECT CAST(floor(0.2 * count(*) + 0.5) AS BIGINT) FROM embeddings)) OVER (ORDER BY y DESC, id) AS bin FROM tot)
 SELECT id, CASE WHEN row_number() OVER (PARTITION BY bin ORDER BY total, id) = 1 THEN 'test' ELSE 'train' END AS partition FROM b""")
 def _(spark, sf):
-    y = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("y"))
-    return sim.minimal_test_dissimilarity(_vectors(spark, sf), y)
+    return sim.minimal_test_dissimilarity(_vectors(spark, sf), _classes(spark, sf), squared=True)  # as its SQL adds them
+
+
+@query("minimal_test_set_distance")
+def _(spark, sf):
+    return sim.minimal_test_dissimilarity(_vectors(spark, sf), _classes(spark, sf))
 
 
 @query("perimeter", f"""WITH {_TOTALS} SELECT id, CASE WHEN row_number() OVER (ORDER BY total DESC, id) <= (SELECT CAST(floor(0.2 * count(*) + 0.5) AS BIGINT) FROM embeddings) THEN 'test' ELSE 'train' END AS partition FROM tot""")
+def _(spark, sf):
+    return sim.perimeter_outliers(_vectors(spark, sf), squared=True)  # as its SQL adds them
+
+
+@query("perimeter_distance")
 def _(spark, sf):
     return sim.perimeter_outliers(_vectors(spark, sf))
 

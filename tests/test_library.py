@@ -485,3 +485,24 @@ def test_d_optimal_ends_where_no_swap_helps(spark):
     assert embedding.fedorov_exchange(z, start, 1e-8, 100)[2] > 20
     with pytest.warns(ConvergenceWarning):
         embedding.d_optimal(rows, passes=1, train=0.5, valid=0.0, test=0.5)
+
+
+def test_distances_are_added_not_their_squares(spark, monkeypatch):
+    from sunder.plans import distance
+
+    monkeypatch.setattr(distance, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    # A tight cluster and a long tail; the last two are equal vectors.
+    v = np.vstack([rng.normal(0, 1, (50, 3)), rng.exponential(9, (20, 3)) ** 1.5]).round()
+    v[69] = v[68]
+    rows = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, v array<double>")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    total = {r.id: r.total for r in distance.distance_sums(rows.repartition(5)).collect()}
+    assert [total[i] for i in range(70)] == pytest.approx(d.sum(1)) and total[68] == total[69]
+    tested = lambda out: {r.id for r in out.collect() if r.partition == "test"}
+    rank = lambda t: sorted(range(70), key=lambda i: (-round(t[i], 6), i))
+    assert tested(sim.perimeter_outliers(rows, test=35)) == set(rank(d.sum(1))[:35]) != set(rank((d**2).sum(1))[:35])
+    y = spark.createDataFrame([(i, float(i % 7)) for i in range(70)], "id long, y double")
+    order = sorted(range(70), key=lambda i: (-(i % 7), i))
+    best = lambda t: {min(order[5 * k : 5 * k + 5], key=lambda i: (round(t[i], 6), i)) for k in range(14)}
+    assert tested(sim.minimal_test_dissimilarity(rows, y, test=14)) == best(d.sum(1)) != best((d**2).sum(1))
