@@ -284,25 +284,36 @@ def d_optimal(vectors: DataFrame, n_components: int = 5, ridge: float = 1e-8, pa
     return found.select("id", "partition")
 
 
-def support_points(vectors: DataFrame, iterations: int = 100, seed: int = 0, **sizes) -> DataFrame:
-    """``id, partition``: test records nearest to the support points of the data (Mak and Joseph 2018), by fixed-point steps on the energy distance."""
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
+
+
+def support_points(vectors: DataFrame, labels: DataFrame | None = None, iterations: int = 500, tolerance: float = 1e-6, seed: int = 0, **sizes) -> DataFrame:
+    """``id, partition``: test records nearest to the support points of the data (Mak and Joseph 2018), by fixed-point steps on the energy distance.
+
+    ``labels``: ``id`` and numeric columns, which join the vectors.  The steps end when the energy falls by at most ``tolerance`` of itself.
+    """
     k = resolve_sizes(vectors.count(), **sizes).test
+    if labels is not None:
+        extra = F.array(*[F.col(c).cast("double") for c in labels.columns if c != "id"])
+        vectors = vectors.join(labels.select("id", extra.alias("y")), "id").select("id", F.concat("v", "y").alias("v"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         x = np.stack(pdf["v"].to_numpy())
         x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
         rng, n = np.random.default_rng(seed), len(x)
-        p = x[rng.choice(n, k, replace=False)] + rng.normal(0, 1e-3, (k, x.shape[1]))
+        lo, hi, energy = x.min(0), x.max(0), np.inf
+        p = np.clip(x[rng.choice(n, k, replace=False)] + rng.normal(0, 1e-3, (k, x.shape[1])), lo, hi)
         for _ in range(iterations):
-            to_x = np.maximum(np.linalg.norm(p[:, None] - x[None], axis=-1), 1e-9)
-            diff = p[:, None] - p[None]
-            apart = np.maximum(np.linalg.norm(diff, axis=-1), 1e-9)
-            push = (diff / apart[..., None]).sum(1) * n / k
-            after = ((x[None] / to_x[..., None]).sum(1) + push) / (1 / to_x).sum(1)[:, None]
-            if np.abs(after - p).max() < 1e-6:
+            to_x, apart = np.sqrt(_gaps(p, x)), np.sqrt(_gaps(p, p))
+            np.fill_diagonal(apart, 0)
+            before, energy = energy, 2 * to_x.mean() - apart.mean()
+            if np.isfinite(before) and before - energy <= tolerance * abs(before):
                 break
-            p = after
+            np.fill_diagonal(apart, np.inf)
+            pull, push = 1 / np.maximum(to_x, 1e-9), 1 / np.maximum(apart, 1e-9)
+            p = np.clip((pull @ x + (p * push.sum(1)[:, None] - push @ p) * n / k) / pull.sum(1)[:, None], lo, hi)
         free, tested = np.ones(n, bool), []
         for row in p:
             i = int(np.where(free, ((x - row) ** 2).sum(1), np.inf).argmin())
@@ -360,7 +371,7 @@ def adversarial_auc(vectors: DataFrame, split: DataFrame, seed: int = 0) -> tupl
     return auc, scored.select("id", vector_to_array("probability")[1].alias("p"))
 
 
-def adversarial(vectors: DataFrame, split: DataFrame, target_auc: float = 0.75, tolerance: float = 0.02, max_iter: int = 5, swap: float = 0.05, seed: int = 0) -> DataFrame:
+def adversarial(vectors: DataFrame, split: DataFrame, target_auc: float = 0.75, tolerance: float = 0.02, max_iter: int = 50, swap: float = 0.05, seed: int = 0) -> DataFrame:
     """``id, partition``: test records that look like train are swapped for train ones that look like test, until the AUC is met."""
     n_test = split.where("partition = 'test'").count()
     k, scratch = max(1, int(swap * n_test)), Scratch(vectors.sparkSession, "adversarial")

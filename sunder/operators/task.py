@@ -100,7 +100,7 @@ def ave_bias(vectors: DataFrame, classes: DataFrame, split: DataFrame, n_bins: i
     return out.withColumn("bias", (F.col("aa") - F.col("ai")) + (F.col("ii") - F.col("ia")))
 
 
-def ave_split(vectors: DataFrame, classes: DataFrame, target: float = 0.0, seed: int = 0, population: int = 40, generations: int = 30, **sizes) -> DataFrame:
+def ave_split(vectors: DataFrame, classes: DataFrame, target: float = 0.0, seed: int = 0, population: int = 200, generations: int = 150, **sizes) -> DataFrame:
     """``id, partition``: a genetic search for a split whose bias is near the target."""
     n_test = resolve_sizes(vectors.count(), **sizes).test
 

@@ -1,9 +1,11 @@
 """Contracts, arithmetic, invariance, hand-made expectations and SQL twins of the library."""
 
+import inspect
 import itertools
 import math
 import random
 import warnings
+from unittest.mock import MagicMock
 
 import duckdb
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from sunder import cli, contract, registry
+from sunder import cli, contract, queries, registry
 from sunder.errors import ConfigurationError, ConvergenceWarning, DegenerateGroupingError, EmptyPartitionError, InputError, MissingDependencyError, ScalabilityError, UnknownOperatorError
 from sunder.functions import features
 from sunder.functions.sizes import floor_round, resolve_sizes
@@ -506,3 +508,36 @@ def test_distances_are_added_not_their_squares(spark, monkeypatch):
     order = sorted(range(70), key=lambda i: (-(i % 7), i))
     best = lambda t: {min(order[5 * k : 5 * k + 5], key=lambda i: (round(t[i], 6), i)) for k in range(14)}
     assert tested(sim.minimal_test_dissimilarity(rows, y, test=14)) == best(d.sum(1)) != best((d**2).sum(1))
+
+
+def test_searches_run_at_the_reference_size(monkeypatch):
+    default = lambda f, name: inspect.signature(f).parameters[name].default
+    assert (default(task.ave_split, "population"), default(task.ave_split, "generations")) == (200, 150)
+    assert default(embedding.support_points, "iterations") == 500 and default(embedding.adversarial, "max_iter") == 50
+    seen = {}
+    stand_in = lambda name: lambda *a, **b: seen.update({name: b})
+    for module, f in ((task, "ave_split"), (embedding, "som_keys"), (embedding, "adversarial"), (embedding, "support_points")):
+        monkeypatch.setattr(module, f, stand_in(f))
+    for name in ("_vectors", "_labels", "_t"):
+        monkeypatch.setattr(queries, name, lambda *a: MagicMock())
+    monkeypatch.setattr(baseline, "random_split", lambda *a: None)
+    for name in ("ave", "self_organizing_map", "adversarial", "support_points"):
+        QUERIES[name](None, "")
+    assert seen == {"ave_split": {}, "som_keys": {}, "adversarial": {}, "support_points": {}}
+
+
+def test_support_points_settle_and_see_labels(spark):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(120, 2)))], "id long, v array<double>")
+    tested = lambda *a, **b: {r.id for r in embedding.support_points(rows, *a, **b).collect() if r.partition == "test"}
+    assert tested(iterations=2000) == tested() and len(tested()) == 24
+    y = spark.createDataFrame([(i, float(rng.exponential())) for i in range(120)], "id long, y double")
+    assert tested(y) != tested()
+
+
+def test_links_between_seven_and_nine_tenths(spark, tmp_path):
+    names = [(1, "abcdefghij"), (2, "abcdefghxy"), (3, "zzzzzzzzzz"), (4, "klmnopqrst"), (5, "klmnopqxyz")]
+    spark.createDataFrame(names, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    group = {r.id: r.group for r in QUERIES["sequence_identity_7"](spark, str(tmp_path)).collect()}
+    # 8 of 10 places is a link, 7 of 10 is not.
+    assert group[1] == group[2] and len({group[k] for k in (1, 3, 4, 5)}) == 4
