@@ -3,43 +3,40 @@ r"""N-gram Jaccard join with signature trees.
 A document is the set of its distinct word shingles.  Two documents link when
 ``100 * intersection >= percent * union``.  The join is exact:
 
-1. The tree's upper levels are spread over the cluster.  A node of the first
-   level is a range of set sizes; ranges grow by the factor that still allows a
-   link, so partners lie in the same or the next one.  A node of the second
-   level is one segment of a range: shingles are dealt by hash to more segments
-   than two partners can differ in, one and a few spare ones, so partners agree
-   wholly in more segments than there are spare ones.  Documents meet below a
-   node only if they agree in its segment.  A document leaves its empty segments
-   out unless it has more of them than spare ones: partners then agree in
-   another segment too, or both have that many and keep them.
-2. Below such a node, documents form a signature tree: leaves and inner nodes
-   hold the OR of their documents' token bitmaps and the range of their sizes.
-   A dual traversal drops every pair of nodes whose largest possible overlap is
-   below the smallest one a link needs.
-3. Pairs that survive are compared as full sets, and links become components.
-
-Equal sets are one node from the start, so copies never meet as pairs.  A node
-above ``HOT`` different sets is first compared with pivots (its members of highest
-degree), and its tree is then searched only across components: where all
-members are in one component already, no pair can add anything.  A large tree
-that remains is cut in blocks, and pairs of blocks are searched in parallel.
+1. Equal sets become one member from the start, so copies never meet as pairs.
+2. Trees are spread over the cluster by rare shingles.  Shingles have one order
+   for all documents: those of many documents last (by counts over all of them, in
+   ``CELLS`` cells), the others by hash.  Sets that link share one of the first
+   ``n - ceil(n * percent / 100) + 1`` shingles of either, so a tree is the members
+   that have one such shingle; trees with the same members are one tree.
+3. Leaves of a tree hold a bitmap of their whole set, as wide as the set is large
+   (``LOAD`` shingles to a bit at most), inner nodes the OR of their children's bitmaps and
+   the range of their sizes.  A dual traversal drops every pair of nodes whose
+   largest possible overlap is below the smallest one that a link needs.
+   Bitmaps of unlike width are compared at the smaller one, to which the wider is folded.
+4. Each tree's member of highest degree, its pivot, meets the tree first.  Pairs
+   that survive are compared as full sets, and links become components.  Then
+   trees meet themselves, but only across components: where two members are in
+   one component already, their pair cannot add anything.  That is the plan for
+   trees of every size; members are dealt to blocks of ``BLOCK`` by hash, and
+   blocks meet in parallel, so that no task gathers a large tree.
+
+The order of shingles and the choice of pivots decide how much work there is, never the result.
+Links inside a component are therefore not counted, only components are returned.
 
 Defined cases: null and empty texts, and texts without a word, have no shingle
 and link with nothing; with fewer words than a shingle the whole sequence is
-the one shingle; rows with the same id are one document if their sets are equal
-and else are linked to whatever either links; a row with a null id links with
-nothing and has a null component; further columns are ignored; an empty table
-gives an empty result.  Shingles are compared as 64-bit hashes, sets as 128-bit
-hashes.
+the one shingle; rows with the same id, or without an id, are documents of their
+own; a component without any id is null; further columns are ignored, whatever
+their names; an empty table gives an empty result.  Shingles are compared as 64-bit
+hashes, sets as 128-bit hashes, texts of one id as 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -47,34 +44,29 @@ from sunder.llm import textkernel as tk
 from sunder.plans.components import connected_components
 from sunder.plans.scratch import Scratch
 
-HOT = 64
-LEAF = 16
 BLOCK = 1024
-WIDE = 1024  # bits of the bitmaps of large nodes' members
+FAN = 8
+CELLS = 1 << 22
+HEAVY = 512  # a cell is heavy with more than one of so many documents
+LOAD = 0.75
+NAMED = 1 << 16  # members of a tree that are held to name it; a larger one has its shingle's name
+SEEN = 1 << 18  # sets that a task remembers, to give the shingles of equal ones once
+PAIRS = 1 << 14  # pairs of nodes that are compared at once
 _U = np.uint64
-
-
-@cache
-def _ranges(percent: int, up_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Largest size of each range, and of pairs whose smaller set is in it the segments, and how many of them are spare."""
-    top = [0]
-    while top[-1] < up_to * 100 // percent + 2:
-        top.append(max(top[-1] + 1, top[-1] * 100 // percent))
-    top = np.array(top, np.int64)
-    # |x| + |y| - 2 |x & y| <= (|x| + |y|) * (100 - percent) / (100 + percent)
-    segments = (top[:-1] + top[1:]) * (100 - percent) // (100 + percent) + 1
-    # More than the empty segments that chance leaves to the smallest set of a range.
-    empty = segments * np.exp(-(np.concatenate(([0], top[:-2])) + 1) / segments)
-    spare = np.where(segments > 1, np.ceil(empty + 4 * np.sqrt(empty)), 0).astype(np.int64)
-    return top, segments + spare, spare
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _sets(raw, offsets, i, j, size) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the distinct shingles of rows ``i`` to ``j``, ascending."""
     w = tk.words(raw, offsets, i, j, lower=True)
     r, s = tk.shingles(w, j - i, size)
-    order = np.lexsort((s, r))
-    r, s = r[order], s[order]
+    if len(r) and np.any(r[1:] < r[:-1]):
+        order = np.argsort(r, kind="stable")
+        r, s = r[order], s[order]
+    cut = np.searchsorted(r, np.arange(j - i + 1))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if b > a + 1:
+            s[a:b].sort()
     if len(r):
         new = np.ones(len(r), bool)
         new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
@@ -82,27 +74,6 @@ def _sets(raw, offsets, i, j, size) -> tuple[np.ndarray, np.ndarray]:
     return r, s
 
 
-def _segment_keys(rows, sets, ranges, segments, spare, n_rows) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets per row, and a key of (range, segment, content) for the segments that a row meets others in."""
-    count = np.where(ranges >= 0, segments[np.maximum(ranges, 0)], 0)
-    base = np.concatenate(([0], np.cumsum(count)))
-    live = ranges[rows] >= 0
-    r, s = rows[live], sets[live]
-    # Shingles ascend within a row, so segments cut by the leading bits ascend as well.
-    seg = ((s >> _U(32)) * count[r].astype(np.uint64)) >> _U(32)
-    flat = base[r] + seg.astype(np.int64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tk.mix(s ^ _U(0x5BD1E995)))))
-    every = np.arange(base[-1])
-    lo, hi = np.searchsorted(flat, every, "left"), np.searchsorted(flat, every, "right")
-    owner = np.repeat(np.arange(n_rows), count)
-    place = (ranges[owner].astype(np.uint64) << _U(32)) + (every - base[owner]).astype(np.uint64)
-    keys = tk.mix(sums[hi] - sums[lo] + tk.mix(place + _U(1)))
-    filled = hi > lo
-    n_filled = np.bincount(owner[filled], minlength=n_rows)
-    kept = filled | (count - n_filled > spare[np.maximum(ranges, 0)])[owner]
-    return np.concatenate(([0], np.cumsum(np.bincount(owner[kept], minlength=n_rows)))), keys[kept]
-
-
 def _per_row(ufunc, values, starts, n_rows, which):
     out = np.zeros(n_rows, values.dtype)
     if len(which):
@@ -110,10 +81,36 @@ def _per_row(ufunc, values, starts, n_rows, which):
     return out
 
 
-def _profile(size: int, percent: int):
-    """Per document: set size, set hashes, bitmap and segment keys."""
+def widths(n: np.ndarray) -> np.ndarray:
+    """Words of 64 bits of the bitmaps of sets of these sizes: powers of two."""
+    words = np.maximum(1, np.ceil(n / LOAD / 64))
+    return (1 << np.ceil(np.log2(words)).astype(np.int64)).astype(np.int64)
+
+
+def bitmaps(rows: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A bitmap of each set; a shingle's bit in a narrower one is its bit in a wider one, folded."""
+    w = widths(n)
+    base = np.concatenate(([0], np.cumsum(w)))
+    flat = np.zeros(base[-1], np.uint64)
+    h = tk.mix(s ^ _U(0x27D4EB2F))
+    word = base[rows] + ((h >> _U(6)) & (w[rows] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_or.at(flat, word, np.left_shift(_U(1), h & _U(63)))
+    return [flat[base[k] : base[k + 1]].tobytes() for k in range(len(n))]
+
+
+def _hashes(rows, s, n_rows, which, starts) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(_per_row(np.add, tk.mix(s ^ _U(salt)), starts, n_rows, which) for salt in (0x1B873593, 0xCC9E2D51))
+
+
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s & _U(CELLS - 1)).astype(np.int64)
+
+
+def _profile(size: int):
+    """Per row: set size, set hashes and bitmap.  At the end, with n = -1: cells that many of the task's rows have, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, n_docs = np.zeros(CELLS, np.int32), 0
         for batch in batches:
             raw, offsets = tk.buffers(batch.column("text"))
             for i, j in tk.row_slices(offsets):
@@ -121,174 +118,250 @@ def _profile(size: int, percent: int):
                 rows, s = _sets(raw, offsets, i, j, size)
                 n = np.bincount(rows, minlength=n_rows)
                 which = np.flatnonzero(n)
-                starts = np.searchsorted(rows, which)
-                add = lambda salt: _per_row(np.add, tk.mix(s ^ _U(salt)), starts, n_rows, which)  # noqa: E731, B023
-                level = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
-                m = tk.mix(s ^ _U(0x27D4EB2F))
-                share = np.minimum(1.0, 64.0 / np.exp2(level))[rows]
-                taken = (m >> _U(40)).astype(np.float64) < share * (1 << 24)
-                bit = np.left_shift(_U(1), m & _U(63))
-                high = (m & _U(64)) > 0
-                bits = [_per_row(np.bitwise_or, np.where(taken & (high == side), bit, _U(0)), starts, n_rows, which) for side in (False, True)]
-                top, segments, spare = _ranges(percent, int(n.max(initial=1)))
-                own = np.where(n > 0, np.searchsorted(top, n), -1)
-                lists = []
-                for ranges in (own, np.where(own > 1, own - 1, -1)):
-                    base, keys = _segment_keys(rows, s, ranges, segments, spare, n_rows)
-                    lists.append(pa.ListArray.from_arrays(pa.array(base, pa.int32()), pa.array(keys.view(np.int64))))
+                s1, s2 = _hashes(rows, s, n_rows, which, np.searchsorted(rows, which))
+                np.add.at(cells, _cell(s), 1)
+                n_docs += n_rows
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column("doc_id").slice(i, n_rows), "n": pa.array(n.astype(np.int64))}
-                    | {k: pa.array(v.view(np.int64)) for k, v in (("s1", add(0x1B873593)), ("s2", add(0xCC9E2D51)), ("b1", bits[0]), ("b2", bits[1]))}
-                    | {"own": lists[0], "below": lists[1]}
+                    {c: batch.column(c).slice(i, n_rows) for c in ("doc_id", "th")}
+                    | {"n": pa.array(n.astype(np.int64)), "s1": pa.array(s1.view(np.int64)), "s2": pa.array(s2.view(np.int64)), "bits": pa.array(bitmaps(rows, s, n), pa.binary())}
                 )
+        at = np.flatnonzero(cells > 2 * cells.mean() + n_docs / (2 * HEAVY) + 4)
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_pydict(
+            {"doc_id": none, "th": none, "n": pa.array(np.full(len(at), -1)), "s1": pa.array(at.astype(np.int64)), "s2": pa.array(cells[at].astype(np.int64)), "bits": pa.nulls(len(at), pa.binary())}
+        )
+
+    return run
+
+
+def _prefixes(size: int, percent: int, heavy: np.ndarray, level: np.ndarray):
+    """The shingles by which a set's trees are found, and the set's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros(CELLS, np.uint8)
+        last[heavy] = level
+        seen: set[int] = set()
+        for batch in batches:
+            raw, offsets = tk.buffers(batch.column("text"))
+            for i, j in tk.row_slices(offsets):
+                n_rows = j - i
+                rows, s = _sets(raw, offsets, i, j, size)
+                n = np.bincount(rows, minlength=n_rows)
+                which = np.flatnonzero(n)
+                s1, _ = _hashes(rows, s, n_rows, which, np.searchsorted(rows, which))
+                fresh = np.zeros(n_rows, bool)
+                for k, x in zip(which.tolist(), s1[which].tolist(), strict=True):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[k] = True
+                if len(seen) > SEEN:
+                    seen.clear()
+                keep = fresh[rows]
+                rows, s = rows[keep], s[keep]
+                late = last[_cell(s)]
+                if late.any():
+                    order = np.lexsort((late, rows))
+                    rows, s = rows[order], s[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                keep = place <= n[rows] - -(-percent * n[rows] // 100)
+                yield pa.RecordBatch.from_pydict({"token": pa.array(s[keep].view(np.int64)), "s1": pa.array(s1[rows[keep]].view(np.int64))})
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, s1): each distinct one whose sig has another s1.  Holds back one row."""
-    held: tuple[int, int, bool] | None = None  # the last row, and whether its sig was seen before it
+def _named(token: np.ndarray, s1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows of whole trees: the trees with several members, named by their members."""
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (s1[1:] != s1[:-1])
+    token, s1 = token[new], s1[new]
+    if not len(token):
+        return token, s1
+    starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    size = np.diff(np.append(starts, len(token)))
+    name = tk.mix(np.add.reduceat(tk.mix(s1.view(np.uint64)), starts) + size.astype(np.uint64))
+    several = np.repeat(size > 1, size)
+    return np.repeat(name, size)[several].view(np.int64), s1[several]
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (token, s1): the members of each tree that has several.  Holds back the last token's rows, ``NAMED`` at most."""
+    none = np.zeros(0, np.int64)
+    held_t, held_s, large, last = none, none, None, None
 
-    def out(sig, s1):
-        return pa.RecordBatch.from_pydict({"sig": pa.array(sig, pa.int64()), "s1": pa.array(s1, pa.int64())})
+    def out(tree, s1):
+        return pa.RecordBatch.from_pydict({"tree": pa.array(tree, pa.int64()), "s1": pa.array(s1, pa.int64())})
 
     for batch in batches:
-        sig, s1 = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("sig", "s1"))
-        if not len(sig):
+        t, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "s1"))
+        if large is not None:
+            more = int(np.searchsorted(t, large, "right"))
+            if more:
+                keep = s[:more][np.concatenate(([s[0] != last], s[1:more] != s[: more - 1]))]
+                last = int(s[more - 1])
+                yield out(np.full(len(keep), large), keep)
+                t, s = t[more:], s[more:]
+            if len(t):
+                large = None
+        if not len(t):
             continue
-        before = False
-        if held is not None:
-            sig, s1, before = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], s1)), held[2]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (s1[1:] != s1[:-1])
-        sig, s1 = sig[new], s1[new]
-        same = sig[1:] == sig[:-1]
-        has = np.zeros(len(sig), bool)
-        has[0] = before
-        has[1:] |= same
-        earlier = has.copy()
-        has[:-1] |= same
-        held = (int(sig[-1]), int(s1[-1]), bool(earlier[-1]))
-        yield out(sig[:-1][has[:-1]], s1[:-1][has[:-1]])
-    if held is not None and held[2]:
-        yield out([held[0]], [held[1]])
-
-
-class _Node:
-    """A signature tree node: documents or children, OR of bitmaps, range of sizes."""
-
-    __slots__ = ("bits", "comp", "high", "items", "leaf", "levels", "low", "slack")
-
-    def __init__(self, items: list, leaf: bool):
-        self.items, self.leaf = items, leaf
-        if leaf:  # items: (id, size, bits, component)
-            bits, low, high = 0, items[0][1], items[0][1]
-            slack, comps, levels = 0, set(), set()
-            for _, n, b, c in items:
-                bits |= b
-                low, high = min(low, n), max(high, n)
-                slack = max(slack, n - b.bit_count())
-                comps.add(c)
-                levels.add(n.bit_length())
-            self.comp = comps.pop() if len(comps) == 1 else None
-        else:
-            bits, low, high = 0, min(x.low for x in items), max(x.high for x in items)
-            slack, levels = max(x.slack for x in items), set().union(*(x.levels for x in items))
-            for x in items:
-                bits |= x.bits
-            comps = {x.comp for x in items}
-            self.comp = comps.pop() if len(comps) == 1 else None
-        self.bits, self.low, self.high, self.slack, self.levels = bits, low, high, slack, levels
-
-
-def build_tree(items: list) -> _Node:
-    """A tree over ``(id, size, bits, component)``, sorted such that like documents are near."""
-    items = sorted(items, key=lambda x: (x[1].bit_length(), x[3], x[2], x[1], x[0]))
-    nodes = [_Node(items[k : k + LEAF], True) for k in range(0, len(items), LEAF)]
-    while len(nodes) > 1:
-        nodes = [_Node(nodes[k : k + 8], False) for k in range(0, len(nodes), 8)]
-    return nodes[0]
-
-
-def _least_overlap(n: int, m: int, percent: int) -> int:
+        t, s = np.concatenate((held_t, t)), np.concatenate((held_s, s))
+        at = int(np.searchsorted(t, t[-1]))
+        yield out(*_named(t[:at], s[:at]))
+        held_t, held_s = t[at:], np.unique(s[at:])
+        held_t = held_t[: len(held_s)]
+        if len(held_s) > NAMED:
+            large, last = int(held_t[0]), int(held_s[-1])
+            yield out(held_t, held_s)
+            held_t, held_s = none, none
+    yield out(*_named(held_t, held_s))
+
+
+def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """The smallest intersection with which sets of these sizes link."""
     return -(-percent * (n + m) // (100 + percent))
 
 
-def candidate_pairs(x: _Node, y: _Node, percent: int) -> Iterator[tuple]:
-    """Dual traversal: pairs of documents of different components that the bounds allow."""
-    if x.comp is not None and x.comp == y.comp:
-        return
-    if 100 * x.high < percent * y.low or 100 * y.high < percent * x.low:
-        return
-    if len(x.levels) == len(y.levels) == 1 and x.levels == y.levels:
-        common = (x.bits & y.bits).bit_count()
-        if min(common + min(x.slack, y.slack), x.high, y.high) < _least_overlap(x.low, y.low, percent):
-            return
-    if x.leaf and y.leaf:
-        for k, (a, n, p, c) in enumerate(x.items):
-            for b, m, q, d in x.items[k + 1 :] if x is y else y.items:
-                if c == d or 100 * min(n, m) < percent * max(n, m):
-                    continue
-                need = _least_overlap(n, m, percent)
-                if n.bit_length() == m.bit_length() and ((p & ~q).bit_count() > n - need or (q & ~p).bit_count() > m - need):
-                    continue
-                yield (a, b) if a < b else (b, a)
-    elif x is y:
-        for k, u in enumerate(x.items):
-            for v in x.items[k:]:
-                yield from candidate_pairs(u, v, percent)
-    elif y.leaf or (not x.leaf and x.high - x.low >= y.high - y.low):
-        for u in x.items:
-            yield from candidate_pairs(u, y, percent)
-    else:
-        for v in y.items:
-            yield from candidate_pairs(x, v, percent)
-
-
-def _bits(b1: int, b2: int) -> int:
-    return (b1 & (1 << 64) - 1) | (b2 & (1 << 64) - 1) << 64
-
-
-def _pairs_batch(pairs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+class Forest:
+    """Signature trees over members of one bitmap width.
+
+    Leaves come first; then levels of nodes that hold the OR of up to ``FAN`` children's bitmaps, the range
+    of their sizes, the most shingles that a leaf has above its bits, and their component (or -1).
+    """
+
+    def __init__(self, tree: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray):
+        """Members sorted by ``tree``, like ones near each other."""
+        slack = n - np.bitwise_count(bits).sum(axis=1)
+        level = {"bits": bits, "low": n, "high": n, "slack": slack, "comp": comp}
+        levels, starts, counts = [level], [np.zeros(len(n), np.int64)], [np.zeros(len(n), np.int64)]
+        base, owner = 0, tree
+        while len(owner) and np.any(owner[1:] == owner[:-1]):
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            first = np.flatnonzero(place % FAN == 0)
+            size = np.diff(np.append(first, len(owner)))
+            one = np.minimum.reduceat(level["comp"], first)
+            up = {
+                "bits": np.bitwise_or.reduceat(level["bits"], first, axis=0),
+                "low": np.minimum.reduceat(level["low"], first),
+                "high": np.maximum.reduceat(level["high"], first),
+                "slack": np.maximum.reduceat(level["slack"], first),
+                "comp": np.where(one == np.maximum.reduceat(level["comp"], first), one, -1),
+            }
+            starts.append(base + first)
+            counts.append(size)
+            base += len(owner)
+            owner, level = owner[first], up
+            levels.append(level)
+        self.size = base + len(owner)
+        for k in level:
+            setattr(self, k, np.concatenate([x[k] for x in levels]))
+        self.start, self.count = np.concatenate(starts), np.concatenate(counts)
+        self.roots, self.of = np.arange(base, self.size), owner
+
+    def meet(self, x: np.ndarray, y: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Dual traversal from the pairs of nodes (x, y): pairs of leaves of different components that the bounds allow."""
+        todo = [(x, y)]
+        while todo:
+            x, y = todo.pop()
+            if len(x) > PAIRS:
+                half = len(x) // 2
+                todo += [(x[half:], y[half:]), (x[:half], y[:half])]
+                continue
+            keep = ~((self.comp[x] == self.comp[y]) & (self.comp[x] >= 0))
+            keep &= (100 * self.high[x] >= percent * self.low[y]) & (100 * self.high[y] >= percent * self.low[x])
+            x, y = x[keep], y[keep]
+            common = np.bitwise_count(self.bits[x] & self.bits[y]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(np.minimum(self.high[x], self.high[y]), common + np.minimum(self.slack[x], self.slack[y]))
+            keep = most >= _least_overlap(self.low[x], self.low[y], percent)
+            x, y = x[keep], y[keep]
+            nx, ny = self.count[x], self.count[y]
+            leaf = (nx == 0) & (ny == 0)
+            yield x[leaf & (x != y)], y[leaf & (x != y)]
+            x, y, nx, ny = x[~leaf], y[~leaf], nx[~leaf], ny[~leaf]
+            if not len(x):
+                continue
+            # Each pair becomes the pairs of children; a leaf stands for itself.
+            times = np.maximum(nx, 1) * np.maximum(ny, 1)
+            which = np.repeat(np.arange(len(x)), times)
+            k = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            down = np.maximum(ny, 1)[which]
+            u = np.where(nx[which] > 0, self.start[x[which]] + k // down, x[which])
+            v = np.where(ny[which] > 0, self.start[y[which]] + k % down, y[which])
+            keep = (x[which] != y[which]) | (u <= v)
+            todo.append((u[keep], v[keep]))
+
+
+def _matrix(bits: list, width: int, fold: int) -> np.ndarray:
+    """Bitmaps of ``width << fold`` words, folded to ``width``."""
+    flat = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), 1 << fold, width)
+    return np.bitwise_or.reduce(flat, axis=1)
+
+
+def candidate_pairs(tree: np.ndarray, side: np.ndarray, n: np.ndarray, bits: list, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs of members of a tree that the bounds allow.
+
+    ``side`` 0: members meet each other; 1 and 2: those of 1 meet those of 2.
+    """
+    width = np.array([len(x) // 8 for x in bits], np.int64)
+    # Wider bitmaps by at most this power of two can belong to sets that link.
+    reach = 1
+    while (1 << reach) * percent < 100:
+        reach += 1
+    for w in np.unique(width):
+        for fold in range(reach + 1):
+            # Trees of this width, and of one that is folded to it.
+            own, other = np.flatnonzero(width == w), np.flatnonzero(width == w << fold)
+            if fold and not len(other):
+                continue
+            both = own if fold == 0 else np.concatenate((own, other))
+            kind = side[both] + 3 * np.repeat([0, 1], [len(own), len(both) - len(own)])
+            rows = np.concatenate((_matrix([bits[k] for k in own], w, 0), _matrix([bits[k] for k in other], w, fold))) if fold else _matrix([bits[k] for k in own], w, 0)
+            order = np.lexsort((rows[:, 0], n[both], comp[both], kind, tree[both]))
+            both, rows, kind = both[order], rows[order], kind[order]
+            name = np.cumsum(np.concatenate(([0], (tree[both][1:] != tree[both][:-1]) | (kind[1:] != kind[:-1]))))
+            forest = Forest(name, n[both], rows, comp[both])
+            first = np.searchsorted(name, forest.of)
+            root = {(t, k): r for t, k, r in zip(tree[both][first].tolist(), kind[first].tolist(), forest.roots.tolist(), strict=True)}
+            x, y = [], []
+            for (t, k), r in root.items():
+                meets = {0: (0,), 1: (2,)} if fold == 0 else {0: (3,), 1: (5,), 2: (4,)}
+                for other_kind in meets.get(k, ()):
+                    if (t, other_kind) in root:
+                        x.append(r)
+                        y.append(root[t, other_kind])
+            for u, v in forest.meet(np.array(x, np.int64), np.array(y, np.int64), percent):
+                if len(u):
+                    yield both[u], both[v]
 
 
 def _search(percent: int):
-    """Candidates below each node; rows come sorted by sig, at most ``HOT`` of each."""
+    """Candidates of trees whose rows come together, by (tree, x, y); a few thousand members at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, items, out = None, [], set()
-        for batch in batches:
-            for sig, a, n, b1, b2 in zip(*(batch.column(k).to_pylist() for k in ("sig", "rep", "n", "b1", "b2")), strict=True):
-                if sig != now:
-                    if len(items) > 1:
-                        tree = build_tree(items)
-                        out.update(candidate_pairs(tree, tree, percent))
-                    now, items = sig, []
-                items.append((a, n, _bits(b1, b2), a))
-            if len(out) > 100_000:
-                yield _pairs_batch(list(out))
-                out.clear()
-        if len(items) > 1:
-            tree = build_tree(items)
-            out.update(candidate_pairs(tree, tree, percent))
-        yield _pairs_batch(list(out))
-
-    return run
+        rest: pa.Table | None = None
 
+        def found(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            col = lambda c: part.column(c).to_numpy()
+            tree, x, y = col("tree"), col("x"), col("y")
+            change = np.concatenate(([0], (tree[1:] != tree[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            u, comp = col("u"), col("comp")
+            for p, q in candidate_pairs(np.cumsum(change), col("side"), col("n"), part.column("bits").to_pylist(), comp, percent):
+                a, b = u[p], u[q]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-def _search_blocks(percent: int):
-    """Candidates between two blocks of one node, across components only."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        item = lambda d: list(zip(d["rep"].tolist(), d["n"].tolist(), [int.from_bytes(x, "little") for x in d["bits"]], d["comp"].tolist(), strict=True))
-        x, y = item(pdf[pdf["block"] == pdf["x"]]), item(pdf[pdf["block"] == pdf["y"]])
-        if not x or not y:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        left = build_tree(x)
-        right = left if pdf["x"].iloc[0] == pdf["y"].iloc[0] else build_tree(y)
-        return pd.DataFrame(sorted(set(candidate_pairs(left, right, percent))), columns=["a", "b"], dtype="int64")
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if table.num_rows < 2 * BLOCK:
+                rest = table
+                continue
+            keys = np.stack([table.column(c).to_numpy() for c in ("tree", "x", "y")])
+            end = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))
+            if len(end):
+                yield from found(table.slice(0, end[-1] + 1).combine_chunks())
+                table = table.slice(end[-1] + 1)
+            rest = table
+        if rest is not None and rest.num_rows:
+            yield from found(rest.combine_chunks())
 
     return run
 
@@ -301,15 +374,7 @@ def _set_bytes(size: int):
                 rows, s = _sets(raw, offsets, i, j, size)
                 cut = np.searchsorted(rows, np.arange(j - i + 1))
                 values = [s[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)]
-                share = np.minimum(1.0, WIDE / 2 / np.exp2(np.floor(np.log2(np.maximum(np.diff(cut), 1)))))[rows]
-                m = tk.mix(s ^ _U(0x165667B1))
-                taken = (m >> _U(40)).astype(np.float64) < share * (1 << 24)
-                flags = np.zeros((j - i, WIDE), bool)
-                flags[rows[taken], (m[taken] & _U(WIDE - 1)).astype(np.int64)] = True
-                bits = [x.tobytes() for x in np.packbits(flags, axis=1, bitorder="little")]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column("doc_id").slice(i, j - i), "tokens": pa.array(values, pa.binary()), "bits": pa.array(bits, pa.binary())}
-                )
+                yield pa.RecordBatch.from_pydict({"u": batch.column("u").slice(i, j - i), "tokens": pa.array(values, pa.binary())})
 
     return run
 
@@ -323,101 +388,121 @@ def _verify(percent: int):
             x_col, y_col = batch.column("x"), batch.column("y")
             for k in range(batch.num_rows):
                 x, y = (np.frombuffer(c[k].as_buffer(), np.uint64) for c in (x_col, y_col))
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                at = np.searchsorted(y, x)
+                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots: int = 1) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram")
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    profile = scratch.keep(
-        docs.mapInArrow(_profile(size, percent), "doc_id long, n long, s1 long, s2 long, b1 long, b2 long, own array<long>, below array<long>")
-    )
-    known = profile.where("n > 0 and doc_id is not null")
-    reps = known.groupBy("s1", "s2").agg(*[F.min(c).alias(a) for c, a in (("doc_id", "rep"), ("n", "n"), ("b1", "b1"), ("b2", "b2"))])
-    # Segments that at least two different sets agree in.
-    spread = known.select("s1", F.explode(F.concat("own", "below")).alias("sig")).repartition("sig").sortWithinPartitions("sig", "s1")
-    met = scratch.keep(spread.mapInArrow(_shared, "sig long, s1 long").join(reps, "s1").select("sig", "rep", "n", "b1", "b2"))
-    big = scratch.keep(met.groupBy("sig").count().where(F.col("count") > HOT))
-    hot_exists = bool(big.take(1))
-    small = met.join(big, "sig", "left_anti") if hot_exists else met
-    pairs = small.repartition("sig").sortWithinPartitions("sig").mapInArrow(_search(percent), "a long, b long")
-    hot = tried = None
-    if hot_exists:
-        degree = met.groupBy("rep").count().withColumnRenamed("count", "degree")
-        hot = scratch.keep(met.join(big, "sig").join(degree, "rep"))
-        tried = scratch.keep(_pivots(hot))
-        pairs = pairs.unionByName(_to_pivots(hot, tried))
-    pairs = scratch.keep(pairs.distinct())
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    if hot_exists:
-        nodes = nodes.unionByName(hot.select(F.col("rep").alias("doc_id")))
-    # A document id may be on several rows; the sets of all of them stand for it.
-    sets = scratch.keep(docs.join(nodes.distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_set_bytes(size), "doc_id long, tokens binary, bits binary"))
-
-    def linked(found: DataFrame) -> DataFrame:
-        x = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-        y = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-        return scratch.keep(found.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(_verify(percent), "a long, b long").distinct())
-
-    links = linked(pairs)
-    # Every copy hangs on its set's first document; an id with several sets joins them.
-    copies = known.select("doc_id", "s1", "s2").distinct().join(reps, ["s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    if hot_exists:
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("th", F.xxhash64("text"))
+
+
+def one_of_each(docs: DataFrame, *columns: str) -> DataFrame:
+    """One row of those with the same id and text, combined before the shuffle; ``columns`` are those of the smallest row."""
+    return docs.groupBy("doc_id", "th").agg(F.min(F.struct(*columns)).alias("row")).select("doc_id", "th", "row.*")
+
+
+class _Join:
+    """The steps of one join; ``profile`` has a row per document, ``sets`` one per distinct set."""
+
+    def __init__(self, docs: DataFrame, size: int, percent: int):
+        spark = docs.sparkSession
+        self.docs, self.size, self.percent = docs, size, percent
+        self.scratch = scratch = Scratch(spark, "ngram")
+        kept = scratch.keep(docs.select("doc_id", "th", "text").mapInArrow(_profile(size), "doc_id long, th long, n long, s1 long, s2 long, bits binary"))
+        self.profile = kept.where("n >= 0")
+        total = self.profile.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+        bar = total.docs / HEAVY + 4 * total.shingles / CELLS
+        # Fewer than CELLS / 4 cells can be above four times the mean.
+        cells = kept.where("n < 0").groupBy("s1").agg(F.sum("s2").alias("c")).where(F.col("c") > bar).toArrow()
+        heavy, count = (cells.column(c).to_numpy() for c in ("s1", "c"))
+        self.heavy, self.level = heavy, (1 + np.floor(np.log2(count / max(bar, 1e-9)))).clip(1, 255).astype(np.uint8)
+        # Of a set: its rows' smallest id, and the row that stands for it.
+        row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+        sets = self.profile.where("n > 0").groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min(row).alias("row"), F.min("bits").alias("bits"))
+        self.sets = scratch.keep(sets.withColumn("u", F.monotonically_increasing_id()))
+
+    def links(self) -> DataFrame:
+        """Links enough for the components."""
+        scratch, percent = self.scratch, self.percent
+        spread = self.docs.select("text").mapInArrow(_prefixes(self.size, percent, self.heavy, self.level), "token long, s1 long")
+        found = spread.repartition("token").sortWithinPartitions("token", "s1").mapInArrow(_trees, "tree long, s1 long").distinct()
+        members = scratch.keep(found.join(self.sets.select("s1", "u", "n"), "s1").select("tree", "u", "n"))
+        degree = members.groupBy("u").agg(F.count("*").alias("degree"))
+        pivot = members.join(degree, "u").groupBy("tree").agg(F.count("*").alias("size"), F.max(F.struct("degree", F.col("u").alias("u"), "n")).alias("p"))
+        trees = scratch.keep(pivot.select("tree", "size", F.col("p.u").alias("pivot")))
+        maps = self.sets.select("u", "bits")
+        # The pivot meets each block of its tree.
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("u"), blocks).cast("int")
+        own = members.join(trees, "tree").where("u <> pivot").select("tree", block.alias("x"), F.lit(0).alias("y"), F.lit(2).alias("side"), "u", "n")
+        pivots = trees.join(self.sets.select("u", "n"), F.col("pivot") == F.col("u"))
+        pivots = pivots.select("tree", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("side"), "u", "n")
+        first = self.search(own.unionByName(pivots).join(maps, "u").withColumn("comp", F.col("u")))
+        links = self.linked(first)
         labels = scratch.keep(connected_components(links, scratch))
-        for step in range(pivots + 1):
-            mixed = scratch.keep(_mixed(hot, labels))
-            if not mixed.take(1):
-                break
-            if step < pivots:
-                # A pivot of a node is compared with all others there; the next one is another document.
-                fresh = _pivots(mixed.join(tried.select("sig", F.col("b").alias("rep")), ["sig", "rep"], "left_anti"))
-                fresh = scratch.keep(fresh)
-                tried = tried.unionByName(fresh)
-                more = _to_pivots(mixed, fresh, across=True)
-            else:
-                more = _in_blocks(mixed.join(sets.select(F.col("doc_id").alias("rep"), "bits"), "rep"), percent)
-            more = linked(scratch.keep(more.distinct()))
-            links = links.unionByName(more)
-            labels = scratch.keep(connected_components(links, scratch))
-        links = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = scratch.keep(connected_components(links.unionByName(copies), scratch))
-    keyed = profile.select("doc_id", "n", "s1", "s2")
-    out = keyed.join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    scratch.drop(met, big, sets)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _pivots(hot: DataFrame) -> DataFrame:
-    """The member of highest degree of each node."""
-    return hot.groupBy("sig").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("b"))
-
-
-def _to_pivots(hot: DataFrame, pivots: DataFrame, across: bool = False) -> DataFrame:
-    """Pairs of each member and its node's pivot; with ``across``, of different components."""
-    met = hot.join(pivots, "sig").where("rep <> b")
-    if across:
-        own = hot.select("sig", F.col("rep").alias("b"), F.col("comp").alias("pivot_comp"))
-        met = met.join(own, ["sig", "b"]).where("comp <> pivot_comp")
-    return met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-
-
-def _mixed(hot: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with components, of the nodes that hold more than one component."""
-    now = hot.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    open_nodes = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    return now.join(open_nodes, "sig", "left_semi")
-
-
-def _in_blocks(mixed: DataFrame, percent: int) -> DataFrame:
-    """Search the trees of large nodes, cut in blocks, by pairs of blocks."""
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    rows = mixed.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    rows = rows.select("sig", "x", "y", "block", "rep", "n", "bits", "comp")
-    return rows.groupBy("sig", "x", "y").applyInPandas(_search_blocks(percent), "a long, b long")
+        # Trees that hold several components meet themselves.
+        now = members.join(labels.select(F.col("node").alias("u"), "component"), "u", "left").withColumn("comp", F.coalesce("component", "u")).drop("component")
+        now = scratch.keep(now)
+        open_trees = now.groupBy("tree").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
+        open_trees = scratch.keep(open_trees.select("tree", "size"))
+        rows = now.join(open_trees, "tree").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        meets = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+        rows = rows.select("tree", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), meets.alias("side"), "u", "n", "comp")
+        second = self.search(rows.join(maps, "u"))
+        links = links.unionByName(self.linked(second.join(first, ["a", "b"], "left_anti")))
+        scratch.drop(members, trees, now, open_trees)
+        return links
+
+    def search(self, rows: DataFrame) -> DataFrame:
+        rows = rows.select("tree", "x", "y", "side", "u", "n", "comp", "bits").repartition("tree", "x", "y").sortWithinPartitions("tree", "x", "y")
+        return self.scratch.keep(rows.mapInArrow(_search(self.percent), "a long, b long").distinct())
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs whose full sets link."""
+        need = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+        need = self.scratch.keep(self.sets.join(need, "u").select("u", F.col("row.doc_id").alias("need_id"), F.col("row.th").alias("need_th")))
+        texts = one_of_each(self.docs.select("doc_id", "th", "text"), "text")
+        texts = texts.join(need, texts["doc_id"].eqNullSafe(need["need_id"]) & (texts["th"] == need["need_th"])).select("u", "text")
+        sets = self.scratch.keep(texts.mapInArrow(_set_bytes(self.size), "u long, tokens binary"))
+        x, y = (sets.select(F.col("u").alias(k), F.col("tokens").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        out = self.scratch.keep(pairs.join(x, "a").join(y, "b").mapInArrow(_verify(self.percent), "a long, b long"))
+        self.scratch.drop(sets, need)
+        return out
+
+    def classes(self) -> DataFrame:
+        """``s1, s2, first, row``: of each set its component's smallest id and the row that stands for the component."""
+        labels = self.scratch.keep(connected_components(self.links(), self.scratch))
+        known = self.sets.select("u", "s1", "s2", "row").join(labels.select(F.col("node").alias("u"), "component"), "u", "left")
+        known = self.scratch.keep(known.select("s1", "s2", "row", F.coalesce("component", "u").alias("component")))
+        # Rows without an id come last.
+        best = self.scratch.keep(known.groupBy("component").agg(F.min("row").alias("best")))
+        return self.scratch.keep(known.join(best, "component").select("s1", "s2", F.col("best.doc_id").alias("first"), "best"))
+
+
+def _plain(docs: DataFrame, *carry: str) -> DataFrame:
+    extra = [F.struct(*[docs[c] for c in carry]).alias("carry")] if carry else []
+    return _keyed(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *extra))
+
+
+def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every row of ``docs(doc_id, text)``."""
+    join = _Join(_plain(docs), size, percent)
+    classes = join.classes().select("s1", "s2", "first")
+    rows = join.profile.select("doc_id", "n", "s1", "s2")
+    met = rows.where("n > 0").join(classes, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
+    return met.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def first_of_components(docs: DataFrame, size: int = 3, percent: int = 90, carry: tuple = ()) -> DataFrame:
+    """``doc_id, text`` and ``carry`` as a struct: of each component one row, that with the smallest id; rows without a word all stay."""
+    plain = _plain(docs, *carry)
+    columns = ("text", "carry") if carry else ("text",)
+    best = _Join(plain, size, percent).classes().select(F.col("best.doc_id").alias("best_id"), F.col("best.th").alias("best_th")).distinct()
+    worded = F.coalesce(F.col("text").rlike(_WORD), F.lit(False))
+    rows = one_of_each(plain.where(worded), *columns)
+    rows = rows.join(best, rows["doc_id"].eqNullSafe(best["best_id"]) & (rows["th"] == best["best_th"]), "left_semi")
+    return rows.select("doc_id", *columns).unionByName(plain.where(~worded).select("doc_id", *columns))

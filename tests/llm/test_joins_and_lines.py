@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sunder.llm import line_dedup, ngram_join, quality_rules
@@ -62,36 +63,39 @@ def test_line_rules(spark, line, bad):
 
 
 def brute_components(rows, size=3, percent=90):
+    """Rows are documents of their own, whatever their ids."""
     sets = []
     for i, text, *_ in rows:
         w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in words(text)]
         sets.append((i, set(zip(*(w[k:] for k in range(size)), strict=False)) if len(w) >= size else ({tuple(w)} if w else set())))
-    comp = {i: i for i, _ in sets}
+    comp = list(range(len(sets)))
 
-    def root(i):
-        while comp[i] != i:
-            i = comp[i]
-        return i
+    def root(k):
+        while comp[k] != k:
+            k = comp[k]
+        return k
 
-    for (i, x), (j, y) in itertools.combinations(sets, 2):
+    for (j, (_, x)), (k, (_, y)) in itertools.combinations(enumerate(sets), 2):
         if x and y and 100 * len(x & y) >= percent * len(x | y):
-            a, b = sorted((root(i), root(j)))
+            a, b = sorted((root(j), root(k)))
             comp[b] = a
-    return [(i, len(x), root(i)) for i, x in sets]
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return [(i, len(x), least.get(root(k))) for k, (i, x) in enumerate(sets)]
 
 
-@pytest.mark.parametrize("seed, percent", [(1, 90), (2, 90), (3, 80)])
-def test_ngram_join(spark, seed, percent):
+@pytest.mark.parametrize("seed, percent, size", [(1, 90, 3), (2, 90, 3), (3, 80, 5), (4, 40, 2)])
+def test_ngram_join(spark, seed, percent, size):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, DOCS).repartition(5)
-    same([tuple(r) for r in ngram_join.ngram_components(docs, percent=percent).collect()], brute_components(rows, percent=percent))
+    same([tuple(r) for r in ngram_join.ngram_components(docs, size, percent).collect()], brute_components(rows, size, percent))
 
 
-def test_ngram_join_hot_nodes(spark, monkeypatch):
-    """Large groups of near copies, whose members link only through some of them, go through pivots and blocks."""
-    monkeypatch.setattr(ngram_join, "HOT", 4)
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    r = random.Random(5)
+def near_groups(seed):
+    """Groups of near copies, whose members link only through some of them."""
+    r = random.Random(seed)
     base = [f"w{k}" for k in range(120)]
     rows = []
     for k in range(90):
@@ -99,21 +103,73 @@ def test_ngram_join_hot_nodes(spark, monkeypatch):
         for _ in range(r.randint(0, 3)):
             w[r.randrange(len(w))] = f"x{r.randrange(500)}"
         rows.append((k, " ".join(w), None, None, 0))
-    docs = spark.createDataFrame(rows, DOCS)
+    return rows
+
+
+def test_ngram_join_large_trees(spark, monkeypatch):
+    """Blocks of a tree meet in parallel, trees of many members are not held, memories of a task overflow."""
+    for name, value in (("BLOCK", 8), ("NAMED", 5), ("SEEN", 10), ("PAIRS", 16)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = near_groups(5)
     expected = brute_components(rows)
     assert 2 < len({c for *_, c in expected}) < 80
-    for pivots in (0, 1, 3):
-        same([tuple(x) for x in ngram_join.ngram_components(docs, pivots=pivots).collect()], expected)
+    same([tuple(x) for x in ngram_join.ngram_components(spark.createDataFrame(rows, DOCS)).collect()], expected)
+
+
+def test_ngram_join_repeated_and_null_ids(spark):
+    rows = [(None if k % 3 == 0 else k // 4, t, *x) for k, (_, t, *x) in enumerate(near_groups(6))]
+    rows += rows[:9] + [(None, "none here at all", None, None, 0)] * 3 + [(4, None, None, None, 0), (None, "", None, None, 0)]
+    for n in (1, 7):
+        out = ngram_join.ngram_components(spark.createDataFrame(rows, DOCS).repartition(n)).collect()
+        same([tuple(x) for x in out], brute_components(rows))
+
+
+def test_first_of_components(spark):
+    rows = [(None if k % 3 == 0 else k // 4, t, *x) for k, (_, t, *x) in enumerate(near_groups(6))]
+    rows += rows[:9] + [(None, "none here at all", "l", "s", 0)] * 3 + [(4, None, None, None, 0), (None, "", "l", None, 0), (None, "", "l", None, 0)]
+    out = ngram_join.first_of_components(spark.createDataFrame(rows, DOCS).repartition(4), carry=("lang", "source")).collect()
+    worded = [r for r in rows if words(r[1])]
+    texts = {t: c for (_, t, *_), (_, _, c) in zip(worded, brute_components(worded), strict=True)}
+    kept = [r for r in out if words(r.text)]
+    # Every class has one row, whose id is the class's smallest one; rows without a word all stay.
+    assert sorted(map(repr, (r.doc_id for r in kept))) == sorted(map(repr, (texts[r.text] for r in kept)))
+    every = ngram_join.ngram_components(spark.createDataFrame([(k, r[1], *r[2:]) for k, r in enumerate(worded)], DOCS)).collect()
+    assert len(kept) == len({r.component_id for r in every})
+    same([(r.doc_id, r.text) for r in out if not words(r.text)], [(4, None), (None, ""), (None, "")])
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("n", [50, 240, 600, 1000, 5000])
+def test_bitmaps_prune(n, percent):
+    """Unrelated sets of one tree hardly ever survive, whatever their size; sets that link always do."""
+    r = np.random.default_rng(n)
+    sizes = r.integers(n, n * 100 // percent, 120)
+    s = r.integers(0, 1 << 63, sizes.sum(), dtype=np.uint64)
+    rows = np.repeat(np.arange(120), sizes)
+    # The last twenty are near copies of the first.
+    cut = np.searchsorted(rows, np.arange(121))
+    for k in range(100, 120):
+        m = min(sizes[k], sizes[k - 100])
+        s[cut[k] : cut[k] + m] = s[cut[k - 100] : cut[k - 100] + m]
+    bits = ngram_join.bitmaps(rows, s, sizes)
+    zero = np.zeros(120, np.int64)
+    got = {(min(p, q), max(p, q)) for x, y in ngram_join.candidate_pairs(zero, zero, sizes.astype(np.int64), bits, np.arange(120), percent) for p, q in zip(x.tolist(), y.tolist(), strict=True)}
+    true = {(k - 100, k) for k in range(100, 120)}
+    fit = {(a, b) for a, b in true if 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b])}
+    assert fit <= got
+    # 119 * 60 pairs; those of sets of 50 are few in bits.
+    assert len(got - true) < (0.01 if n > 50 else 0.05) * 119 * 60
 
 
 def test_ngram_join_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert ngram_join.ngram_components(empty).collect() == []
+    assert ngram_join.first_of_components(empty).collect() == []
     rows = [(None, "a b c d", "x", "y", 1), (7, "a b c d", "x", "y", 1), (7, "a b c d", "x", "y", 1), (9, None, "x", "y", 1), (8, "A b C d", "x", "y", 1), (10, "", "x", "y", 1)]
-    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "'q' sig", "1 rep", "2 n", "3 s1", "4 component")
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "'q' tree", "1 th", "2 n", "3 s1", "4 component", "5 u", "6 bits")
     same(
         [tuple(x) for x in ngram_join.ngram_components(docs).collect()],
-        [(None, 2, None), (7, 2, 7), (7, 2, 7), (8, 2, 7), (9, 0, 9), (10, 0, 10)],
+        [(None, 2, 7), (7, 2, 7), (7, 2, 7), (8, 2, 7), (9, 0, 9), (10, 0, 10)],
     )
 
 
