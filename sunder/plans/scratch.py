@@ -1,8 +1,8 @@
 """Intermediate tables that outlive a lost executor.
 
 Iterative plans cut their lineage by writing Parquet below the folder that the
-cluster names in ``spark.checkpoint.dir``.  Only where that is unset (tests,
-local runs) a temporary folder of this machine is used instead.
+cluster names in ``spark.checkpoint.dir``.  Only where that is unset and the master is
+local (tests, local runs) a temporary folder of this machine is used instead.
 """
 
 from __future__ import annotations
@@ -14,12 +14,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sunder.errors import ConfigurationError
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark.sparkContext, "_sunder_scratch", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="sunder-")
