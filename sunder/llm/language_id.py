@@ -4,7 +4,9 @@ Each language has a probability for every piece of a fixed public vocabulary.
 A word's probability is the sum over all its segmentations into pieces of the
 product of their probabilities, by a forward pass over its characters; a
 text's is the product over its words.  The language under which the whole text is
-likeliest wins; the score is its posterior with equal priors.
+likeliest wins; the score is its posterior with equal priors.  Words are summed whole, however
+long they are: those of up to ``SHORT`` characters many at a time as products, longer
+ones one by one in logarithms, which cannot underflow.
 
 Piece probabilities are learned by expectation maximisation (forward and
 backward passes give the expected count of each piece) from the words of at most
@@ -14,13 +16,14 @@ scored.
 
 Defined cases: a null text, one without a letter, or a corpus without a
 labelled document gives ``und`` and score 0; languages tie in code point order;
-a word of more than 32 characters is scored in parts of 32; rows with a null id
-are predicted but not learned from; repeated rows are predicted alike; further
+rows with a null id are predicted but not learned from; rows with one id are documents
+of their own; rows equal in id, language and text are learned from once and predicted alike; further
 columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,21 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sunder.llm import textkernel as tk
+from sunder.llm.rows import plain
 from sunder.llm.sentencepiece import MARK, PieceModel, default_model
 
-PART = 32
+SHORT = 32
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15 | 1)
 FLOOR = 1e-7  # probability of a character without a piece, in every language
 
 
 class Vocabulary:
-    """Pieces of up to ``PART`` characters in two hash tables over their characters."""
+    """Pieces in two hash tables over their characters."""
 
     SIZE, MORE = 1 << 20, 1 << 17
 
     def __init__(self, pieces: list[str]):
-        self.pieces = [p for p in dict.fromkeys(pieces) if 0 < len(p) <= PART]
+        self.pieces = [p for p in dict.fromkeys(pieces) if p]
+        self.ids = {p: k for k, p in enumerate(self.pieces)}
         self.longest = max(map(len, self.pieces), default=1)
         keys = np.array([self._key(p) for p in self.pieces], np.uint64)
         n = len(keys)
@@ -104,11 +109,49 @@ def _with_floor(prob: np.ndarray) -> np.ndarray:
     return np.vstack([prob, np.zeros((1, prob.shape[1])), np.full((1, prob.shape[1]), FLOOR)])
 
 
+def _long_words(words: list[str]) -> tuple[list[int], list[int]]:
+    """Positions of the words that are summed many at a time, and of those that are not."""
+    long = [k for k, x in enumerate(words) if len(x) > SHORT]
+    return ([k for k, x in enumerate(words) if len(x) <= SHORT] if long else list(range(len(words)))), long
+
+
+def _edges(vocab: Vocabulary, word: str) -> list[tuple[int, int, int]]:
+    """(start, end, piece) of all pieces in a word, by end; a character without one has the number of pieces plus 1."""
+    ids, none, out = vocab.ids, len(vocab.pieces) + 1, []
+    for end in range(1, len(word) + 1):
+        for start in range(max(0, end - vocab.longest), end - 1):
+            piece = ids.get(word[start:end])
+            if piece is not None:
+                out.append((start, end, piece))
+        out.append((end - 1, end, ids.get(word[end - 1], none)))
+    return out
+
+
+def _forward(edges: list, logs: list[float], n: int, backward: bool = False) -> list[float]:
+    """Logarithms of the sums over all segmentations up to each place, or from it."""
+    sums: list[list[float]] = [[] for _ in range(n + 1)]
+    out = [0.0] * (n + 1)
+    done = n if backward else 0
+    for start, end, piece in reversed(edges) if backward else edges:
+        here, there = (end, start) if backward else (start, end)
+        while done != here:
+            done += -1 if backward else 1
+            top = max(sums[done])
+            out[done] = top + math.log(sum([math.exp(x - top) for x in sums[done]]))
+        sums[there].append(out[here] + logs[piece])
+    while done != (0 if backward else n):
+        done += -1 if backward else 1
+        top = max(sums[done])
+        out[done] = top + math.log(sum([math.exp(x - top) for x in sums[done]]))
+    return out
+
+
 def log_likelihoods(vocab: Vocabulary, prob: np.ndarray, words: list[str]) -> np.ndarray:
-    """Log probability of each word (already marked, at most ``PART`` + 1 characters) in each language."""
+    """Log probability of each word (already marked) in each language."""
     out = np.zeros((len(words), prob.shape[1]))
     table, none = _with_floor(prob), len(vocab.pieces)
-    for at, rows in _by_length(words):
+    short, long = _long_words(words)
+    for at, rows in _by_length([words[k] for k in short]):
         m, n = rows.shape
         alpha = np.zeros((n + 1, m, prob.shape[1]))
         alpha[0] = 1.0
@@ -120,7 +163,13 @@ def log_likelihoods(vocab: Vocabulary, prob: np.ndarray, words: list[str]) -> np
                 hit = np.flatnonzero(piece != none)
                 if len(hit):
                     alpha[end, hit] += alpha[start, hit] * table[piece[hit]]
-        out[at] = np.log(alpha[n])
+        out[np.asarray(short)[at]] = np.log(alpha[n])
+    if long:
+        with np.errstate(divide="ignore"):
+            logs = [np.log(table[:, c]).tolist() for c in range(prob.shape[1])]
+        for k in long:
+            edges = sorted(_edges(vocab, words[k]))
+            out[k] = [_forward(edges, x, len(words[k]))[-1] for x in logs]
     return out
 
 
@@ -128,7 +177,8 @@ def expected_counts(vocab: Vocabulary, prob: np.ndarray, words: list[str], weigh
     """Expected number of each piece in the words, one language: ``prob`` and the result have a row per piece."""
     total = np.zeros(len(vocab.pieces) + 2)
     table, none = _with_floor(prob[:, None])[:, 0], len(vocab.pieces)
-    for at, rows in _by_length(words):
+    short, long = _long_words(words)
+    for at, rows in _by_length([words[k] for k in short]):
         m, n = rows.shape
         found = []
         alpha, beta = np.zeros((n + 1, m)), np.zeros((n + 1, m))
@@ -142,29 +192,25 @@ def expected_counts(vocab: Vocabulary, prob: np.ndarray, words: list[str], weigh
                 alpha[end, hit] += alpha[start, hit] * table[piece[hit]]
         for start, end, hit, piece in sorted(found, key=lambda x: -x[1]):
             beta[start, hit] += table[piece] * beta[end, hit]
-        scale = weights[at] / alpha[n]
+        scale = weights[np.asarray(short)[at]] / alpha[n]
         for start, end, hit, piece in found:
             total += np.bincount(piece, alpha[start, hit] * table[piece] * beta[end, hit] * scale[hit], len(total))
+    if long:
+        with np.errstate(divide="ignore"):
+            logs = np.log(table).tolist()
+        for k in long:
+            n, edges = len(words[k]), _edges(vocab, words[k])
+            alpha, beta = _forward(sorted(edges), logs, n), _forward(sorted(edges, key=lambda x: (x[1], x[0])), logs, n, backward=True)
+            for start, end, piece in edges:
+                total[piece] += weights[k] * math.exp(alpha[start] + logs[piece] + beta[end] - alpha[n])
     return total[:none]
 
 
-def marked_parts(word: str) -> list[str]:
-    """A word with its mark, in parts of ``PART`` characters."""
-    if len(word) < PART:
-        return [MARK + word]
-    word = MARK + word
-    return [word[k : k + PART] for k in range(0, len(word), PART)]
-
-
 def train(vocab: Vocabulary, counts: dict[str, dict[str, int]], rounds: int = 4, smoothing: float = 0.05) -> np.ndarray:
     """Piece probabilities, a column for each language in order, from word counts by language."""
     out = []
     for lang in sorted(counts):
-        parts: dict[str, float] = {}
-        for word, k in counts[lang].items():
-            for x in marked_parts(word):
-                parts[x] = parts.get(x, 0.0) + k
-        words, weights = list(parts), np.fromiter(parts.values(), float, len(parts))
+        words, weights = [MARK + x for x in counts[lang]], np.fromiter(counts[lang].values(), float, len(counts[lang]))
         prob = np.full(len(vocab.pieces), 1.0 / len(vocab.pieces))
         for _ in range(rounds):
             got = expected_counts(vocab, prob, words, weights) + smoothing
@@ -191,10 +237,7 @@ def _score(pieces: list[str], prob: np.ndarray, langs: list[str]):
                 words = [raw[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(w.starts[first], w.ends[first], strict=True)]
                 scores = np.zeros((len(words), len(langs)))
                 if langs:
-                    short = [k for k, x in enumerate(words) if len(x) < PART]
-                    scores[short] = log_likelihoods(vocab, prob, [MARK + words[k] for k in short])
-                    for k in (k for k, x in enumerate(words) if len(x) >= PART):
-                        scores[k] = log_likelihoods(vocab, prob, marked_parts(words[k])).sum(axis=0)
+                    scores = log_likelihoods(vocab, prob, [MARK + x for x in words])
                 total = np.stack([np.bincount(w.rows, scores[back, c], n) for c in range(len(langs))], axis=1) if langs else np.zeros((n, 0))
                 sums = np.concatenate(([0], np.cumsum(letters[raw[a : offsets[j]]])))
                 some = sums[offsets[i + 1 : j + 1] - a] > sums[offsets[i:j] - a]
@@ -222,12 +265,14 @@ def held_out():
 
 def learn(docs: DataFrame, per_language: int) -> dict[str, dict[str, int]]:
     """Word counts by language of at most ``per_language`` documents each."""
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit("lang"), "doc_id"), "doc_id")
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    chosen = chosen.select("doc_id", "lang").distinct()
-    # At most per_language rows of each language, whatever the corpus.
-    words = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("word"))
+    rows = plain(docs, ("lang",)).withColumn("lang", F.col("carry.lang"))
+    known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit("lang"), "kid"), "kid", "th")
+    chosen = known.select("kid", "th", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    # At most per_language rows of each language, whatever the corpus; equal rows are one.
+    chosen = F.broadcast(chosen.select("kid", "th", "lang").distinct())
+    texts = known.join(chosen, ["kid", "th", "lang"]).groupBy("kid", "th", "lang").agg(F.min("text").alias("text"))
+    words = texts.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("word"))
     out: dict[str, dict[str, int]] = {}
     table = words.groupBy("lang", "word").count().toArrow()
     for lang, word, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "count")), strict=True):

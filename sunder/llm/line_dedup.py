@@ -2,8 +2,8 @@ r"""Line dedup by winnowing over line hashes.
 
 A run is a stretch of consecutive lines of a document.  A line is deleted if it
 lies in a run of at least ``min_words`` words whose lines occur, in that order,
-at an earlier place as well; places are ordered by (doc_id, line).  Lines
-without a word take no part: they neither break a run nor count in it, and go
+at an earlier place as well; places are ordered by (doc_id, hash of the row, line).
+Lines without a word take no part: they neither break a run nor count in it, and go
 with the run around them.
 
 1. Winnowing.  A window is a shortest run with ``min_words`` words, cut at its
@@ -19,16 +19,20 @@ with the run around them.
 
 Places are only ever reduced to the first of equal ones, by aggregates that
 combine before the shuffle, so a line that a third of all documents share makes
-no pairs.
+no pairs.  First places are written before windows are joined to them, so that
+Spark can split the windows of a common passage over tasks.
 
 Defined cases: a null text stays null and counts 0 lines, an empty one has one
-line without a word; rows with the same id are one document, whose rows are all
-cut where any is; rows with a null id come first in order; an empty table gives
-an empty result; columns in ``carry`` pass through, whatever their names.
+line without a word; rows with the same id or without one are documents of their
+own; of rows equal in id, text and ``carry`` the first keeps its text and the others
+lose what is long enough to be a repeated run; rows with a null id come first in order; an
+empty table gives an empty result; columns in ``carry`` pass through, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sunder.llm import textkernel as tk
+from sunder.llm.rows import distinct_rows, plain
 from sunder.plans.scratch import Scratch
 
 _U = np.uint64
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def windows_of(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, min_words: int) -> dict[str, np.ndarray]:
@@ -82,60 +88,78 @@ def _windows(min_words: int):
             raw, offsets = tk.buffers(batch.column("text"))
             for i, j in tk.row_slices(offsets):
                 x = windows_of(raw, offsets, i, j, min_words)
-                ids = batch.column("doc_id").slice(i, j - i).take(pa.array(x.pop("row")))
-                cols = {k: pa.array(v.astype(np.int32) if k in "sep" else v.view(np.int64)) for k, v in x.items()}
-                yield pa.RecordBatch.from_pydict({"doc_id": ids} | cols)
+                row = pa.array(x.pop("row"))
+                keys = {c: batch.column(c).slice(i, j - i).take(row) for c in ("doc_id", "kid", "th")}
+                yield pa.RecordBatch.from_pydict(keys | {k: pa.array(v.astype(np.int32) if k in "sep" else v.view(np.int64)) for k, v in x.items()})
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove the lines that ``spans`` cover, with wordless lines inside a span."""
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        n_lines, removed, words = [], [], []
-        for k, spans in enumerate(batch.column("spans").to_pylist()):
-            text = texts[k]
-            n_lines.append(0 if text is None else text.count("\n") + 1)
-            if not spans or text is None:
-                removed.append(0)
-                words.append(0)
-                continue
-            lines = text.split("\n")
-            gone = np.zeros(len(lines) + 1, np.int64)
-            for x in spans:
-                if x["s"] < len(lines):
-                    gone[x["s"]] += 1
-                    gone[min(x["e"] + 1, len(lines))] -= 1
-            gone = np.cumsum(gone)[:-1] > 0
-            texts[k] = "\n".join(x for x, out in zip(lines, gone, strict=True) if not out)
-            removed.append(int(gone.sum()))
-            words.append(sum(len(x.split()) for x, out in zip(lines, gone, strict=True) if out))
-        cols = {c: batch.column(c) for c in ("doc_id", "carry") if c in batch.schema.names}
-        yield pa.RecordBatch.from_pydict(
-            cols
-            | {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64())}
-            | {"n_removed_lines": pa.array(removed, pa.int64()), "n_removed_words": pa.array(words, pa.int64())}
-        )
+def _without(text: str, gone: np.ndarray) -> tuple[str, int, int]:
+    """The text without some of its lines, how many these are, and their words."""
+    lines = text.split("\n")
+    words = sum(len(_WORD.findall(x)) for x, out in zip(lines, gone, strict=True) if out)
+    return "\n".join(x for x, out in zip(lines, gone, strict=True) if not out), int(gone.sum()), words
+
+
+def _cut(min_words: int):
+    """Remove the lines that ``spans`` cover; ``again`` is what is left of a row that equals an earlier one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, n_lines = {"once": [], "again": []}, []
+            times = batch.column("times").to_pylist()
+            for k, spans in enumerate(batch.column("spans").to_pylist()):
+                text = batch.column("text")[k].as_py()
+                n = 0 if text is None else text.count("\n") + 1
+                n_lines.append(n)
+                left = same = (text, 0, 0)
+                if spans:
+                    gone = np.zeros(n + 1, np.int64)
+                    for x in spans:
+                        gone[x["s"]] += 1
+                        gone[x["e"] + 1] -= 1
+                    left = _without(text, np.cumsum(gone)[:-1] > 0)
+                if times[k] > 1 and text is not None:
+                    some = [i for i, x in enumerate(text.split("\n")) if _WORD.search(x)]
+                    if len(_WORD.findall(text)) >= min_words:
+                        at = np.arange(n)
+                        same = _without(text, (at >= some[0]) & (at <= some[-1]))
+                rows["once"].append(left)
+                rows["again"].append(same)
+            cols = {c: batch.column(c) for c in ("doc_id", "carry", "times") if c in batch.schema.names} | {"n_lines": pa.array(n_lines, pa.int64())}
+            for name, values in rows.items():
+                parts = zip(*values, strict=True) if values else ((), (), ())
+                cols[name] = pa.StructArray.from_arrays([pa.array(v, kind) for v, kind in zip(parts, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["text", "lines", "words"])
+            yield pa.RecordBatch.from_pydict(cols)
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, carry: tuple = ()) -> DataFrame:
     """``doc_id``, the text without later repeated runs, ``n_lines, n_removed_lines, n_removed_words``, and ``carry`` as a struct."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
-    extra = [F.struct(*[docs[c] for c in carry]).alias("carry")] if carry else []
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *extra)
+    scratch = Scratch(docs.sparkSession, "lines")
+    rows = plain(docs, carry, *carry)
     seen = scratch.keep(
-        docs.select("doc_id", "text").mapInArrow(_windows(min_words), "doc_id long, s int, e int, p int, f long, k1 long, k2 long")
+        rows.select("doc_id", "kid", "th", "text").mapInArrow(_windows(min_words), "doc_id long, kid long, th long, s int, e int, p int, f long, k1 long, k2 long")
     )
-    place = F.struct("doc_id", "p")
-    shared = seen.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("f")
-    met = seen.join(shared, "f", "left_semi").select("doc_id", "s", "e", "k1", "k2")
-    met = scratch.keep(met)
-    start = F.struct("doc_id", "s")
-    first = met.groupBy("k1", "k2").agg(F.min(start).alias("lo"), F.max(start).alias("hi")).where("lo <> hi").select("k1", "k2", "lo")
+    place = F.struct("doc_id", "th", "p")
+    shared = scratch.keep(seen.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("f"))
+    met = scratch.keep(seen.join(shared, "f", "left_semi").drop("p", "f"))
+    scratch.drop(seen, shared)
+    start = F.struct("doc_id", "th", "s")
+    first = met.groupBy("k1", "k2").agg(F.min(start).alias("lo"), F.max(start).alias("hi")).where("lo <> hi")
+    first = scratch.keep(first.select("k1", "k2", "lo"))
     later = met.join(first, ["k1", "k2"]).where(start != F.col("lo"))
-    spans = later.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "span_id"), F.col("doc_id").eqNullSafe(F.col("span_id")), "left").drop("span_id")
-    schema = "doc_id long, " + (f"carry {docs.schema['carry'].dataType.simpleString()}, " if carry else "")
-    return joined.mapInArrow(_cut, schema + "text string, n_lines long, n_removed_lines long, n_removed_words long")
+    # At most one span for each pair of a row's lines, however often the row is there.
+    spans = later.groupBy("kid", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    kept = ["doc_id", "text", *(["carry"] if carry else [])]
+    joined = distinct_rows(rows, *kept).join(spans, ["kid", "th"], "left").select(*kept, "times", "spans")
+    part = "struct<text:string,lines:long,words:long>"
+    schema = "doc_id long, " + (f"carry {rows.schema['carry'].dataType.simpleString()}, " if carry else "") + f"times long, n_lines long, once {part}, again {part}"
+    cut = joined.mapInArrow(_cut(min_words), schema).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    own = F.when(F.col("nth") == 1, F.col("once")).otherwise(F.col("again"))
+    cut = cut.withColumn("own", own)
+    return cut.select(
+        "doc_id", *(["carry"] if carry else []), F.col("own.text").alias("text"), "n_lines", F.col("own.lines").alias("n_removed_lines"), F.col("own.words").alias("n_removed_words")
+    )

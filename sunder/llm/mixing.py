@@ -13,11 +13,13 @@ residual of a source is drawn alone, so a source's words differ from its target
 by less than one document's words.  Draws are hashes of the seed and the ids, so
 reruns agree whatever the partitioning.
 
+Rows equal in id, source and text (and ``carry``) are drawn as one: their number times
+the ratio is their share, and the copies that it comes to are dealt evenly among them.
+
 Defined cases: a null text has size 0 and is taken 0 words; null sources are
-one source, the last in order; documents with the same id are separate rows
-(rows that are equal in id, source and size are drawn one after the other in
-the same group); an empty table gives an empty result; further columns are
-ignored.
+one source, the last in order; rows with the same id or without one are documents of
+their own, told apart by a 64-bit hash of their text; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +30,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from sunder.llm.rows import NO_ID, distinct_rows, plain
 from sunder.plans.scratch import Scratch
 
 WORDS = r"[^\x20\x09-\x0D]+"
 # The weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 FAN = 8
-NO_ID = -(1 << 63)
 GROUP = 4096
 
 
@@ -79,8 +81,8 @@ def pivot(ids, sizes, shares, seed: int, level: int) -> tuple[np.ndarray, int]:
 
 def _round_group(seed: int, level: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "row"], kind="stable", ignore_index=True)
-        ids, sizes = pdf["doc_id"].tolist(), pdf["size"].tolist()
+        pdf = pdf.sort_values(["h", "kid", "th"], kind="stable", ignore_index=True)
+        ids, sizes = pdf["h"].tolist(), pdf["size"].tolist()
         p, held = pivot(ids, sizes, pdf["share"], seed, level)
         if last and held >= 0:
             p[held] = float(_draw(seed, ids[held], -1, level) < p[held])
@@ -118,42 +120,25 @@ def source_targets(sizes: DataFrame, total_percent: int = 150, limit: int = 2, w
     return per.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 8, total_percent: int = 150, limit: int = 2, keep: tuple = ()) -> DataFrame:
-    """Copies of every row of ``docs(doc_id, text, source)`` in the mix.
-
-    Returns ``doc_id, size, source_size, target, copies, taken`` and the columns
-    named in ``keep``, one row per row of ``docs``.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    # A null id would turn its group's ids into floats in pandas.
-    sizes = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        *[F.col(c).alias(f"keep_{c}") for c in keep],
-    )
-    sizes = scratch.keep(sizes)
-    targets = scratch.keep(source_targets(sizes, total_percent, limit))
-    rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"]), "left").drop(targets["source"])
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("whole", F.floor(ratio)).withColumn("share", ratio - F.floor(ratio))
-    rows = rows.withColumn("row", F.xxhash64(*[f"keep_{c}" for c in keep]) if keep else F.lit(0).cast("long"))
-    n = sizes.count()
-    buckets = 1
+def _shares(rows: DataFrame, seed: int, total_percent: int, limit: int) -> DataFrame:
+    """``kid, th, source, size, times, source_size, target, copies``: what the mix takes of equal rows in all."""
+    scratch = Scratch(rows.sparkSession, "mix")
+    sizes = scratch.keep(rows.groupBy("kid", "th", "source", "size").agg(F.count("*").alias("times")))
+    words = sizes.select("source", (F.col("size") * F.col("times")).alias("size"))
+    targets = scratch.keep(source_targets(words, total_percent, limit))
+    units = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"]), "left").drop(targets["source"])
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("times")).otherwise(0.0)
+    units = units.withColumn("whole", F.floor(ratio)).withColumn("share", ratio - F.floor(ratio))
+    n, buckets = sizes.count(), 1
     while buckets * GROUP < n:
         buckets *= FAN
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    kept = [f"keep_{c}" for c in keep]
-    # Only what the draw needs goes through the reduction.
-    state = ["doc_id", "source", "size", "source_size", "target", "whole", "share", "row", "h", "bucket", *kept]
-    open_rows, decided, level = rows.select(*state), [], 0
-    schema = None
+    units = units.withColumn("h", F.xxhash64(F.lit(seed), "kid", "th")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    state = ["kid", "th", "source", "size", "times", "source_size", "target", "whole", "share", "h", "bucket"]
+    open_rows, decided, level = units.select(*state), [], 0
     while True:
         last = buckets == 1
         frame = open_rows.withColumn("done", F.lit(False))
-        schema = frame.schema
-        out = scratch.keep(frame.groupBy("source", "bucket").applyInPandas(_round_group(seed, level, last), schema))
+        out = scratch.keep(frame.groupBy("source", "bucket").applyInPandas(_round_group(seed, level, last), frame.schema))
         decided.append(out.where("done"))
         if last:
             break
@@ -163,8 +148,28 @@ def mix_sources(docs: DataFrame, seed: int = 8, total_percent: int = 150, limit:
     final = decided[0]
     for more in decided[1:]:
         final = final.unionByName(more)
-    copies = (F.col("whole") + F.col("share")).cast("long")
-    return final.select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
-        *[F.col(f"keep_{c}").alias(c) for c in keep],
-    )
+    scratch.drop(sizes, targets)
+    return final.withColumn("copies", (F.col("whole") + F.col("share")).cast("long"))
+
+
+def _sized(docs: DataFrame, carry: tuple) -> DataFrame:
+    rows = plain(docs.withColumn("source", F.col("source").cast("string")), ("source", *carry), "source", *carry)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    return rows.withColumn("source", F.col("carry.source")).withColumn("size", size)
+
+
+def mix_sources(docs: DataFrame, seed: int = 8, total_percent: int = 150, limit: int = 2) -> DataFrame:
+    """``doc_id, size, source_size, target, copies, taken`` of every row of ``docs(doc_id, text, source)``."""
+    units = _shares(_sized(docs, ()), seed, total_percent, limit)
+    rows = units.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    copies = F.floor(F.col("copies") / F.col("times")) + (F.col("nth") < F.col("copies") % F.col("times")).cast("long")
+    rows = rows.withColumn("copies", copies)
+    return rows.select(F.nullif("kid", F.lit(NO_ID)).alias("doc_id"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, carry: tuple = (), seed: int = 8, total_percent: int = 150, limit: int = 2) -> DataFrame:
+    """The mix itself: ``doc_id, text`` and a struct ``carry`` of the source and ``carry``, a row for each copy."""
+    rows = _sized(docs, carry)
+    taken = _shares(rows.select("kid", "th", "source", "size"), seed, total_percent, limit).where("copies > 0").select("kid", "th", "copies")
+    one = distinct_rows(rows, "doc_id", "text", "carry").join(taken, ["kid", "th"])
+    return one.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "text", "carry")

@@ -2,14 +2,16 @@
 
 Blum and Mitchell, "Combining Labeled and Unlabeled Data with Co-Training"
 (1998).  Two naive Bayes classifiers see a document each in their own way: one its
-text (shares of symbols, capitals, repeats, word and line lengths, ...), the other
-its page metadata (source, language, stated length).  Each is calibrated on
+text (which words and pairs of words it has, hashed, and its shape: shares of symbols,
+capitals, repeats, word and line lengths, ...), the other its page metadata alone (source,
+language, stated length).  The mean log odds of a text's words and pairs weigh as much as
+``TEXT_FEATURES`` of its shape.  Each view is calibrated on
 labelled documents that it was not fitted on.  In every round each view labels
 the unlabelled documents that it is sure of, and those labels are added to what
 the other view is fitted on.  At the end the calibrated log odds of both views
 are added, the prior counted once.
 
-Features are small integers, computed once from the whole text and stored.  A
+Features are small integers and ``CONTENT`` bits, computed once from the whole text and stored.  A
 round is two passes over them: a histogram for calibration and counts for
 fitting, both of a size that depends on the features alone.  Every labelled row
 and every confident document takes part.
@@ -35,8 +37,12 @@ from sunder.plans.scratch import Scratch
 BINS = 16
 TEXT_FEATURES = 14
 SOURCES, LANGS, LENGTHS = 1024, 64, 32
-META_FEATURES = 4
-SIZE = {"t": BINS * TEXT_FEATURES, "m": SOURCES + LANGS + LENGTHS + BINS}
+META_FEATURES = 3
+WORDS = PAIRS = 4096
+CONTENT = WORDS + PAIRS
+SHAPE = BINS * TEXT_FEATURES
+SIZE = {"t": SHAPE + CONTENT, "m": SOURCES + LANGS + LENGTHS}
+SLICE = 2048  # rows whose bits are unpacked at once
 HIST, STEP = 240, 0.25  # bins of log odds, and their width
 
 
@@ -57,11 +63,11 @@ _SETS = [
 ]
 
 
-def text_features(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> np.ndarray:
+def text_features(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, w: tk.Spans) -> np.ndarray:
     """A row of ``TEXT_FEATURES`` bins for each of rows ``i`` to ``j``."""
     n, a = j - i, offsets[i]
     part = raw[a : offsets[j]]
-    w, ln = tk.words(raw, offsets, i, j), tk.lines(raw, offsets, i, j)
+    ln = tk.lines(raw, offsets, i, j)
     lo, hi = offsets[i:j] - a, offsets[i + 1 : j + 1] - a
     size = np.maximum(hi - lo, 1)
     n_words = np.bincount(w.rows, minlength=n)
@@ -93,28 +99,37 @@ def text_features(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> np.nd
     return np.stack(out, axis=1) + BINS * np.arange(TEXT_FEATURES)
 
 
+def content_bits(w: tk.Spans, n: int) -> list[bytes]:
+    """Of each row, ``CONTENT`` bits: which hashed words and pairs of neighbouring words it has."""
+    flags = np.zeros((n, CONTENT), bool)
+    flags[w.rows, (w.hashes & np.uint64(WORDS - 1)).astype(np.int64)] = True
+    if len(w.rows) > 1:
+        inside = w.rows[1:] == w.rows[:-1]
+        pair = tk.mix(w.hashes[:-1] + tk.mix(w.hashes[1:]))[inside]
+        flags[w.rows[1:][inside], WORDS + (pair & np.uint64(PAIRS - 1)).astype(np.int64)] = True
+    return [x.tobytes() for x in np.packbits(flags, axis=1)]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = tk.buffers(batch.column("text"))
         for i, j in tk.row_slices(offsets):
             cols = {c: batch.column(c).slice(i, j - i) for c in ("doc_id", "m")}
-            t = text_features(raw, offsets, i, j).astype(np.int16)
+            w = tk.words(raw, offsets, i, j)
+            t = text_features(raw, offsets, i, j, w).astype(np.int16)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, t.size + 1, TEXT_FEATURES), pa.int32()), pa.array(t.ravel()))
-            yield pa.RecordBatch.from_pydict(cols | {"t": flat})
+            yield pa.RecordBatch.from_pydict(cols | {"t": flat, "w": pa.array(content_bits(w, j - i), pa.binary())})
 
 
 def _metadata():
-    """Bins of source, language, stated length, and stated against real length."""
+    """Bins of source, language and stated length; nothing is read from the text."""
     bucket = lambda c, n, salt: F.pmod(F.xxhash64(F.lit(salt), F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(n)).cast("smallint")
     stated = F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0))
     length = F.when(stated < 0, 0).otherwise(F.least(F.lit(LENGTHS - 1), 1 + F.floor(F.log2(1 + stated))))
-    gap = F.abs(stated - F.coalesce(F.length("text"), F.lit(0)))
-    off = F.least(F.lit(BINS - 1), F.floor(F.log2(1 + gap)))
     return F.array(
         bucket("source", SOURCES, "source"),
         (bucket("lang", LANGS, "lang") + SOURCES).cast("smallint"),
         (length + SOURCES + LANGS).cast("smallint"),
-        (off + SOURCES + LANGS + LENGTHS).cast("smallint"),
     )
 
 
@@ -132,12 +147,21 @@ class View:
             x = counts[:, at : at + width] + 0.5
             out[at : at + width] = np.log(x[1] / x[1].sum()) - np.log(x[0] / x[0].sum())
             at += width
+        # What is left are bits: a document has each or not.
+        n = counts[:, : widths[0]].sum(axis=1, keepdims=True)
+        x = (counts[:, at:] + 0.5) / (n + 1)
+        out[at:] = np.log(x[1]) - np.log(x[0])
         return cls(out)
 
-    def raw(self, features: np.ndarray) -> np.ndarray:
-        return self.weights[features].sum(axis=1)
+    def raw(self, features: tuple) -> np.ndarray:
+        """``features``: bins, and bits or None."""
+        bins, bits = features
+        out = self.weights[bins].sum(axis=1)
+        if bits is not None:
+            out += TEXT_FEATURES * (bits @ self.weights[SHAPE:].astype(np.float32)) / np.maximum(1, bits.sum(axis=1))
+        return out
 
-    def odds(self, features: np.ndarray) -> np.ndarray:
+    def odds(self, features: tuple) -> np.ndarray:
         return self.scale * self.raw(features) + self.shift
 
     def calibrate(self, hist: np.ndarray) -> None:
@@ -157,11 +181,27 @@ class View:
         self.scale, self.shift = max(0.0, float(b[0])), float(b[1])
 
 
-WIDTHS = {"t": [BINS] * TEXT_FEATURES, "m": [SOURCES, LANGS, LENGTHS, BINS]}
+WIDTHS = {"t": [BINS] * TEXT_FEATURES, "m": [SOURCES, LANGS, LENGTHS]}
 
 
-def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {v: batch.column(v).flatten().to_numpy().astype(np.int64).reshape(batch.num_rows, -1) for v in ("t", "m")}
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, tuple]]]:
+    """Rows, a few at a time, and the features of each view: bins, and bits (as floats) or None."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(k, SLICE)
+            x = {v: (batch.column(v).flatten().to_numpy().astype(np.int64).reshape(batch.num_rows, -1), None) for v in ("t", "m")}
+            packed = np.frombuffer(b"".join(batch.column("w").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            x["t"] = (x["t"][0], np.unpackbits(packed, axis=1).astype(np.float32))
+            yield batch, x
+
+
+def _counted(features: tuple, which: np.ndarray, size: int) -> np.ndarray:
+    """How many of the rows ``which`` have each feature."""
+    bins, bits = features
+    out = np.bincount(bins[which].ravel(), minlength=size)
+    if bits is not None and which.any():
+        out[SHAPE:] += (which.astype(np.float32) @ bits).astype(np.int64)
+    return out
 
 
 def _emit(view: str, cls: int, kind: str, values: np.ndarray) -> pa.RecordBatch:
@@ -175,19 +215,16 @@ def _label_counts(views: dict[str, View] | None, sure: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {(v, c, k): np.zeros(SIZE[v], np.int64) for v in ("t", "m") for c in (0, 1) for k in ("label", "pseudo")}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _arrays(batch)
+        for batch, x in _slices(batches):
             y = batch.column("y").fill_null(-1).to_numpy()
             fit = batch.column("fit").to_numpy(zero_copy_only=False)
             for view, other in (("t", "m"), ("m", "t")):
                 for c in (0, 1):
-                    total[view, c, "label"] += np.bincount(x[view][fit & (y == c)].ravel(), minlength=SIZE[view])
+                    total[view, c, "label"] += _counted(x[view], fit & (y == c), SIZE[view])
                     if views is not None:
                         odds = views[other].odds(x[other])
                         confident = (y < 0) & ((odds >= sure) if c else (odds <= -sure))
-                        total[view, c, "pseudo"] += np.bincount(x[view][confident].ravel(), minlength=SIZE[view])
+                        total[view, c, "pseudo"] += _counted(x[view], confident, SIZE[view])
         for (v, c, k), values in total.items():
             yield _emit(v, c, k, values)
 
@@ -199,14 +236,11 @@ def _histograms(views: dict[str, View]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {(v, c): np.zeros(HIST, np.int64) for v in ("t", "m") for c in (0, 1)}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _arrays(batch)
+        for batch, x in _slices(batches):
             y = batch.column("y").fill_null(-1).to_numpy()
             fit = batch.column("fit").to_numpy(zero_copy_only=False)
             for (v, c), values in total.items():
-                odds = views[v].raw(x[v][~fit & (y == c)])
+                odds = views[v].raw(x[v])[~fit & (y == c)]
                 values += np.bincount(np.clip(odds / STEP + HIST / 2, 0, HIST - 1).astype(np.int64), minlength=HIST)
         for (v, c), values in total.items():
             yield _emit(v, c, "hist", values)
@@ -216,8 +250,7 @@ def _histograms(views: dict[str, View]):
 
 def _scores(views: dict[str, View], prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _arrays(batch) if batch.num_rows else {v: np.zeros((0, 1), np.int64) for v in ("t", "m")}
+        for batch, x in _slices(batches):
             t, m = views["t"].odds(x["t"]), views["m"].odds(x["m"])
             sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             both = sigmoid(t + m - prior)
@@ -228,12 +261,15 @@ def _scores(views: dict[str, View], prior: float):
     return run
 
 
-def co_train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 3, confidence: float = 0.98) -> DataFrame:
-    """``doc_id, text_score, meta_score, score, keep`` of every row of ``docs(doc_id, text, lang, source, n_chars)``."""
+def co_train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = 3, confidence: float = 0.98, pseudo_weight: float = 1.0) -> DataFrame:
+    """``doc_id, text_score, meta_score, score, keep`` of every row of ``docs(doc_id, text, lang, source, n_chars)``.
+
+    The pseudo-labels of a class weigh together at most ``pseudo_weight`` times as much as its labels.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "cotrain")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c] for c in ("lang", "source", "n_chars")])
-    feats = docs.select("doc_id", "text", _metadata().alias("m")).mapInArrow(_features, "doc_id long, m array<smallint>, t array<smallint>")
+    feats = docs.select("doc_id", "text", _metadata().alias("m")).mapInArrow(_features, "doc_id long, m array<smallint>, t array<smallint>, w binary")
     given = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col(label)).alias("mean"))
     given = given.where("doc_id is not null and mean is not null").select("doc_id", (F.col("mean") > 0.5).cast("int").alias("y"))
     fit = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)) == 0
@@ -262,8 +298,8 @@ def co_train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds:
         fitted = {}
         for v in SIZE:
             pseudo = np.stack([counts.get((v, c, "pseudo"), zero[v]) for c in (0, 1)])
-            # Pseudo-labels of a class weigh at most as much as its labels.
-            mass = labelled[v].sum(axis=1, keepdims=True) / np.maximum(pseudo.sum(axis=1, keepdims=True), 1)
+            docs_of = lambda x: x[:, : WIDTHS[v][0]].sum(axis=1, keepdims=True)  # noqa: B023, E731
+            mass = pseudo_weight * docs_of(labelled[v]) / np.maximum(docs_of(pseudo), 1)
             fitted[v] = View.fit(labelled[v] + pseudo * np.minimum(1.0, mass), WIDTHS[v])
         hist = gather(_histograms(fitted))
         none = np.zeros(HIST)

@@ -6,10 +6,14 @@ the document-wide base rules, is rejected.
 
 Line rules (a line without a word always passes):
 
-* punctuation: more than 3 symbols ``#*$%&|<>`` or exclamation marks to 10 words;
-* navigation: at least two ``|`` or ``»`` and at least one for every 4 words, or
-  at least 5 words whose ASCII letters are capitals for over nine tenths;
-* boilerplate: a licence, cookie, script or rights notice (``BOILERPLATE``);
+* punctuation: more than 3 symbols ``#*$%&|<>`` or exclamation marks to 10 words; or an
+  ellipsis at the end of at most 12 words, as of a teaser;
+* navigation: at least two ``|`` or ``»`` and at least one for every 4 words; at
+  least 5 words whose ASCII letters are capitals for over nine tenths; a
+  bullet before at most 4 words without a full stop; or one of at least 4 lines
+  with a word in a row, of at most 4 words each, that end without punctuation;
+* boilerplate: a licence, cookie, script or rights notice, or a call to act, where
+  it is most of the line (``NOTICES``: the phrases, and the most words that the line may have);
 * repetition: at least 10 words, of which fewer than a quarter differ from
   the word before.
 
@@ -29,12 +33,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from sunder.llm import textkernel as tk
 
-# Phrases that mark a boilerplate line.
-BOILERPLATE = (
-    r"(?i)(licensed under|released under the|all rights reserved|cookie policy|"
-    r"uses cookies|privacy policy|terms of use|terms of service|javascript|"
-    r"lorem ipsum|copyright \(c\)|spdx-license-identifier)"
+_GAP = r"[\x20\x09-\x0D]*"
+# Phrases that mark a boilerplate line, and the most words of such a line.
+NOTICES = (
+    (
+        r"(?i)(licensed under|released under the|all rights reserved|cookie policy|uses? cookies|lorem ipsum|copyright \(c\)|"
+        r"spdx-license-identifier|(enable|requires?|turn on) javascript|javascript (is|must be) (enabled|disabled|required))",
+        24,
+    ),
+    (r"(?i)(privacy policy|terms of use|terms of service)", 10),
+    (rf"(?i)^{_GAP}(read more|continue reading|click here|share this|follow us|sign up|log in|subscribe)\b", 6),
 )
+# Characters that end a sentence or close one, and bullets.
+ENDED = rf"[.!?:;,\"')\]”’»…。！？]{_GAP}$"
+ELLIPSIS = rf"(\.\.\.|…){_GAP}$"
+BULLET = rf"^{_GAP}[-*•·‣◦▪►][\x20\x09]"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 
@@ -60,6 +73,19 @@ def _between(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return sums[ends] - sums[starts]
 
 
+def _in_menu(rows: np.ndarray, in_line: np.ndarray, ended: np.ndarray) -> np.ndarray:
+    """Lines that stand in a row of at least 4 short ones without an end; lines without a word do not count."""
+    out = np.zeros(len(rows), bool)
+    some = np.flatnonzero(in_line)
+    if len(some):
+        short = (in_line[some] <= 4) & ~ended[some]
+        start = np.ones(len(some), bool)
+        start[1:] = (short[1:] != short[:-1]) | (rows[some][1:] != rows[some][:-1])
+        run = np.cumsum(start) - 1
+        out[some] = short & (np.bincount(run)[run] >= 4)
+    return out
+
+
 def judge(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, max_lost: float) -> dict:
     """Counts and verdicts of rows ``i`` to ``j``, and what concerns their lines."""
     n, a = j - i, offsets[i]
@@ -88,11 +114,18 @@ def judge(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, max_lost: float)
     whole = pa.LargeStringArray.from_buffers(
         len(s), pa.py_buffer(np.append(s, len(part)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part))
     )
-    phrase = pc.match_substring_regex(whole, BOILERPLATE).to_numpy(zero_copy_only=False)
+    match = lambda pattern: pc.match_substring_regex(whole, pattern).to_numpy(zero_copy_only=False)
+    ended = match(ENDED)
+    phrase = np.zeros(len(s), bool)
+    for pattern, most in NOTICES:
+        phrase |= (in_line <= most) & match(pattern)
     failed = (in_line > 0) & (
         (10 * (symbols + bangs) > 3 * in_line)
+        | ((in_line <= 12) & match(ELLIPSIS))
         | ((pipes_all >= 2) & (4 * pipes_all >= in_line))
         | ((in_line >= 5) & (10 * upper > 9 * letters))
+        | ((in_line <= 5) & ~ended & match(BULLET))
+        | _in_menu(ln.rows, in_line, ended)
         | phrase
         | ((in_line >= 10) & (4 * changed < in_line))
     )

@@ -71,6 +71,12 @@ QUERIES = {
     )
 }
 
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
 _W = r"[^\x20\x09-\x0D]+"
 
 #: Document-wide counts, and the line rules of quality_rules, over RE2.
@@ -98,12 +104,21 @@ g AS (
          len(list_filter(range(1, len(w) + 1), lambda k: k = 1 OR w[k] <> w[k - 1])) AS changed,
          row_number() OVER (PARTITION BY r, line ORDER BY i) AS nth
   FROM l1
+), m0 AS (
+  SELECT r, i, n <= 4 AND NOT regexp_matches(line, '{_quoted(quality_rules.ENDED)}') AS short FROM l2 WHERE n > 0
+), m1 AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) - row_number() OVER (PARTITION BY r, short ORDER BY i) AS island FROM m0
+), m2 AS (
+  SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, short, island) AS c FROM m1) WHERE short AND c >= 4
 ), l3 AS (
-  SELECT *, n > 0 AND (10 * (symbols + bangs) > 3 * n OR (pipes >= 2 AND 4 * pipes >= n)
+  SELECT l2.*, n > 0 AND (10 * (symbols + bangs) > 3 * n OR (pipes >= 2 AND 4 * pipes >= n)
+            OR (n <= 12 AND regexp_matches(line, '{_quoted(quality_rules.ELLIPSIS)}'))
             OR (n >= 5 AND 10 * upper_n > 9 * letters)
-            OR regexp_matches(line, '{quality_rules.BOILERPLATE}')
+            OR (n <= 5 AND NOT regexp_matches(line, '{_quoted(quality_rules.ENDED)}') AND regexp_matches(line, '{_quoted(quality_rules.BULLET)}'))
+            OR m2.i IS NOT NULL
+            OR {" OR ".join(f"(n <= {most} AND regexp_matches(line, '{_quoted(p)}'))" for p, most in quality_rules.NOTICES)}
             OR (n >= 10 AND 4 * changed < n)) AS failed
-  FROM l2
+  FROM l2 LEFT JOIN m2 ON m2.r = l2.r AND m2.i = l2.i
 ), a AS (
   SELECT r, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (failed) AS BIGINT) AS n_removed_lines,
          CAST(coalesce(sum(n) FILTER (failed), 0) AS BIGINT) AS removed_words, CAST(sum(symbols) AS BIGINT) AS n_symbols,
@@ -122,21 +137,22 @@ FROM b
 #: All pairs by shared shingles, then reachability.
 _OP5 = rf"""
 WITH RECURSIVE t AS (
-  SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS w FROM documents
+  SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS w FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN list_aggregate(w, 'string_agg', ' ')
+  SELECT DISTINCT r, CASE WHEN len(w) < 3 THEN list_aggregate(w, 'string_agg', ' ')
          ELSE w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] END AS g
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS k FROM t WHERE len(w) > 0)
-), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS k FROM t WHERE len(w) > 0)
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 i AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+  SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL
 ), e AS (
-  SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)
+  SELECT x, y FROM i JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * c >= 90 * (p.n + q.n - c)
 ), reach(x, y) AS (
-  SELECT doc_id, doc_id FROM n UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y
+  SELECT r, r FROM n UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y
 )
-SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, t.doc_id) AS component_id
-FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON m.x = t.doc_id
+SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CASE WHEN n.n IS NULL THEN t.doc_id ELSE m.c END AS component_id
+FROM t LEFT JOIN n USING (r) LEFT JOIN (SELECT x, min(t.doc_id) AS c FROM reach JOIN t ON t.r = reach.y GROUP BY x) m ON m.x = t.r
 """
 
 ORACLE_SQL: dict[str, str] = {

@@ -153,7 +153,7 @@ def test_bitmaps_prune(n, percent):
         s[cut[k] : cut[k] + m] = s[cut[k - 100] : cut[k - 100] + m]
     bits = ngram_join.bitmaps(rows, s, sizes)
     zero = np.zeros(120, np.int64)
-    got = {(min(p, q), max(p, q)) for x, y in ngram_join.candidate_pairs(zero, zero, sizes.astype(np.int64), bits, np.arange(120), percent) for p, q in zip(x.tolist(), y.tolist(), strict=True)}
+    got = {(min(p, q), max(p, q)) for x, y, _ in ngram_join.candidate_pairs(zero, zero, sizes.astype(np.int64), bits, np.arange(120), percent) for p, q in zip(x.tolist(), y.tolist(), strict=True)}
     true = {(k - 100, k) for k in range(100, 120)}
     fit = {(a, b) for a, b in true if 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b])}
     assert fit <= got
@@ -161,6 +161,24 @@ def test_bitmaps_prune(n, percent):
     assert len(got - true) < (0.01 if n > 50 else 0.05) * 119 * 60
 
 
+def test_spanning_forest():
+    r = np.random.default_rng(1)
+    for n, m in ((30, 60), (50, 20), (5, 0), (40, 800)):
+        p, q = r.integers(0, n, m), r.integers(0, n, m)
+        p, q = p[p != q], q[p != q]
+        weight = r.integers(0, 4, len(p)).astype(float)
+        taken = ngram_join.spanning(p, q, weight, n)
+
+        def parts(p, q):
+            part = list(range(n))  # noqa: B023
+            for a, b in zip(p, q, strict=True):
+                x, y = part[a], part[b]
+                part = [min(x, y) if z in (x, y) else z for z in part]
+            return part
+
+        assert parts(p, q) == parts(p[taken], q[taken]) and taken.sum() == n - len(set(parts(p, q)))
+
+
 def test_ngram_join_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert ngram_join.ngram_components(empty).collect() == []
@@ -173,26 +191,25 @@ def test_ngram_join_edges(spark):
     )
 
 
-def brute_lines(rows, min_words):
-    """Delete a line if it lies in a run of enough words that occurs at an earlier place too."""
-    docs = []
-    for i, text, *_ in sorted(rows, key=lambda r: r[0]):
-        lines = (text or "").split("\n")
-        docs.append((i, lines, [k for k, x in enumerate(lines) if words(x)]))
-    seen, gone = {}, {i: set() for i, *_ in docs}
-    for i, lines, full in docs:
+def brute_lines(rows, min_words, hashes=None):
+    """Delete a line if it lies in a run of enough words that occurs at an earlier place too; a text per row."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, (hashes or {}).get(rows[k][1], 0)))
+    seen, out = {}, [None] * len(rows)
+    for k in order:
+        lines, gone = (rows[k][1] or "").split("\n"), set()
+        full = [n for n, x in enumerate(lines) if words(x)]
         for a in range(len(full)):
             total = 0
             for b in range(a, len(full)):
                 total += len(words(lines[full[b]]))
                 if total >= min_words:
-                    key = tuple(lines[k] for k in full[a : b + 1])
-                    if key in seen:
-                        gone[i].update(range(full[a], full[b] + 1))
-                    seen.setdefault(key, (i, full[a]))
+                    key = tuple(lines[n] for n in full[a : b + 1])
+                    if seen.setdefault(key, (k, full[a])) != (k, full[a]):
+                        gone.update(range(full[a], full[b] + 1))
                     if b - a > 12:
                         break
-    return {i: "\n".join(x for k, x in enumerate(lines) if k not in gone[i]) for i, lines, _ in docs}
+        out[k] = None if rows[k][1] is None else "\n".join(x for n, x in enumerate(lines) if n not in gone)
+    return out
 
 
 @pytest.mark.parametrize("seed, min_words", [(1, 20), (2, 8), (4, 50)])
@@ -200,20 +217,36 @@ def test_line_dedup(spark, seed, min_words):
     rows = [x for x in corpus(seed) if x[1] is None or len(x[1]) < 8000]
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
     out = line_dedup.dedup_lines(docs, min_words, carry=("lang", "source")).collect()
-    expected = brute_lines(rows, min_words)
+    expected = dict(zip((r[0] for r in rows), brute_lines(rows, min_words), strict=True))
     by_id = {r[0]: r for r in rows}
     assert len(out) == len(rows)
     for r in out:
         text = by_id[r.doc_id][1]
-        assert (r.text or "") == expected[r.doc_id], r.doc_id
-        assert (r.text is None) == (text is None)
+        assert r.text == expected[r.doc_id], r.doc_id
         assert (r.carry.lang, r.carry.source) == (by_id[r.doc_id][2], by_id[r.doc_id][3])
         assert r.n_removed_words == len(words(text)) - len(words(r.text))
 
 
+def test_line_dedup_repeated_and_null_ids(spark):
+    rows = [x for x in corpus(7) if x[1] is None or len(x[1]) < 8000]
+    rows = [(None if k % 4 == 0 else k // 5, t, None, None, 0) for k, (_, t, *_) in enumerate(rows)]
+    rows += rows[:20] * 2 + [(7, "first\n" + rows[1][1], None, None, 0), (7, "alpha\nunique line never repeated", None, None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) h").collect()}
+    expected = brute_lines(rows, 8, hashes)
+    assert sum(x != r[1] for x, r in zip(expected, rows, strict=True)) > 20
+    for n in (1, 6):
+        out = line_dedup.dedup_lines(docs.repartition(n), 8).collect()
+        same([(r.doc_id, r.text) for r in out], [(r[0], x) for r, x in zip(rows, expected, strict=True)])
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).collect() == []
     passage = " ".join(f"w{k}" for k in range(55))
     rows = [(None, passage, "a", "b", 1), (3, f"own line\n{passage}\nend", "a", "b", 1), (4, passage + " ", "a", "b", 1), (5, None, "a", "b", 1)]
-    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 s", "2 e", "3 spans", "4 carry")
-    same([(r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect()], [(None, passage), (3, "own line\nend"), (4, passage + " "), (5, None)])
+    rows += [(6, "few\u00a0words that\nrepeat", "a", "b", 1)] * 3 + [(5, None, "a", "b", 1)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 s", "2 e", "3 spans", "4 carry", "5 th", "6 kid", "7 times")
+    out = line_dedup.dedup_lines(docs).collect()
+    same([(r.doc_id, r.text) for r in out], [(None, passage), (3, "own line\nend"), (4, passage + " "), (5, None), (5, None)] + [(6, rows[4][1])] * 3)
+    gap = [(1, "a\u00a0b c\u2028d " * 30, None, None, 0)] * 2
+    assert sorted(r.n_removed_words for r in line_dedup.dedup_lines(spark.createDataFrame(gap, DOCS)).collect()) == [0, 60]

@@ -1,5 +1,7 @@
 """Targets and pivotal rounding."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -61,9 +63,36 @@ def test_pivot_keeps_means_and_words():
     assert np.abs(mean / 4000 - share).max() < 0.03
 
 
+def test_mix_repeated_and_null_ids(spark, monkeypatch):
+    """Rows are documents of their own; equal ones share their copies evenly; partitioning changes nothing."""
+    monkeypatch.setattr(mixing, "GROUP", 8)
+    monkeypatch.setattr(mixing, "FAN", 4)
+    rows = [(None if k % 3 == 0 else k // 7, t, *x) for k, (_, t, *x) in enumerate(corpus(3, 200))]
+    rows += rows[:12] * 5
+    docs = spark.createDataFrame(rows, DOCS)
+    outs = [sorted(map(repr, mixing.mix_sources(docs.repartition(n)).collect())) for n in (1, 3, 8)]
+    assert outs[0] == outs[1] == outs[2]
+    out = mixing.mix_sources(docs).collect()
+    key = lambda i, text: (i, len(words(text)))
+    assert Counter((r.doc_id, r.size) for r in out) == Counter(key(r[0], r[1]) for r in rows)
+    assert all(0 <= r.taken <= 2 * r.size for r in out)
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    # The mix itself has the same copies.
+    mixed = mixing.mixed_rows(docs.repartition(5)).collect()
+    assert sum(r.taken for r in out) == sum(len(words(r.text)) for r in mixed) and {(r.doc_id, r.text) for r in mixed} <= {(r[0], r[1]) for r in rows}
+    for r in mixed:
+        taken[r.carry.source] += len(words(r.text))
+    assert mixing.mixed_rows(docs, carry=("lang",)).first().carry.asDict().keys() == {"source", "lang"}
+    for s, want in targets(sizes).items():
+        assert abs(taken[s] - want) <= max(len(words(r[1])) for r in rows if r[3] == s)
+
+
 def test_mix_edges(spark):
     assert mixing.mix_sources(spark.createDataFrame([], DOCS)).collect() == []
-    rows = [(1, None, "x", None, 0), (1, "a b", "x", None, 0), (1, "a b", "x", None, 0), (None, "a", "x", "s", 0)]
-    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 size", "2 share", "3 bucket", "4 h")
+    assert mixing.mixed_rows(spark.createDataFrame([], DOCS)).collect() == []
+    rows = [(1, None, "x", None, 0), (1, "a b", "x", None, 0), (1, "a b", "x", None, 0), (None, "a", "x", "s", 0), (2, "w " * 200_000, "x", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 size", "2 share", "3 bucket", "4 h", "5 kid", "6 th", "7 times")
     out = mixing.mix_sources(docs).collect()
-    assert len(out) == 4 and sum(r.taken for r in out) <= 10
+    assert len(out) == 5 and all(r.taken <= 2 * r.size for r in out)

@@ -105,6 +105,79 @@ def test_forward_sums_all_segmentations():
         assert counts[k] == pytest.approx(slope, rel=1e-3, abs=1e-6)
 
 
+def test_long_words_are_summed_whole():
+    """A word of any length: the sum over all segmentations, and the counts that it gives."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "bab", "é", "abababab"]
+    vocab = lid.Vocabulary(pieces)
+    prob = np.random.default_rng(2).random((len(pieces), 2)) / 10
+    words = ["▁" + "".join(random.Random(k).choice("abéx") for _ in range(n)) for k, n in enumerate((30, 31, 32, 33, 60, 70))] + ["▁" + "ab" * 40]
+    for w, row in zip(words, lid.log_likelihoods(vocab, prob, words), strict=True):
+        for c in range(2):
+            assert row[c] == pytest.approx(math.log(brute_probability(w, dict(zip(pieces, prob[:, c], strict=True)))))
+    for short in (1, 1000):
+        mp = pytest.MonkeyPatch()
+        mp.setattr(lid, "SHORT", short)
+        other = lid.expected_counts(vocab, prob[:, 0], words[:4], np.arange(1, 5))
+        mp.undo()
+        assert other == pytest.approx(lid.expected_counts(vocab, prob[:, 0], words[:4], np.arange(1, 5)))
+    assert np.isfinite(lid.log_likelihoods(vocab, prob, ["▁" + "ab" * 30_000])).all()
+
+
+def brute_languages(rows, pieces, rounds=4, smoothing=0.05):
+    """Predictions by plain dictionaries: word counts, expectation maximisation, posteriors."""
+    import zlib
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    counts = {}
+    for i, text, lang in {r[:3] for r in rows}:
+        if i is not None and text is not None and lang is not None and not held(i):
+            for w in text.split():
+                counts.setdefault(lang, {}).setdefault("▁" + w, 0)
+                counts[lang]["▁" + w] += 1
+    probs, longest = {}, max(map(len, pieces))
+    for lang, words in counts.items():
+        p = dict.fromkeys(pieces, 1 / len(pieces))
+        for _ in range(rounds):
+            got = dict.fromkeys(pieces, smoothing)
+            for w, k in words.items():
+                n = len(w)
+                value = lambda s, e: p.get(w[s:e], lid.FLOOR if e - s == 1 else 0.0)  # noqa: B023, E731
+                a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+                for e in range(1, n + 1):
+                    a[e] = sum(a[s] * value(s, e) for s in range(max(0, e - longest), e))
+                for s in range(n - 1, -1, -1):
+                    b[s] = sum(b[e] * value(s, e) for e in range(s + 1, min(n, s + longest) + 1))
+                for s in range(n):
+                    for e in range(s + 1, min(n, s + longest) + 1):
+                        if w[s:e] in p:
+                            got[w[s:e]] += k * a[s] * p[w[s:e]] * b[e] / a[n]
+            total = sum(got.values())
+            p = {x: v / total for x, v in got.items()}
+        probs[lang] = p
+    out = []
+    for i, text, *_ in rows:
+        if text is None or not any(c.isalpha() for c in text):
+            out.append((i, held(i), "und", 0.0))
+            continue
+        logs = {lang: sum(math.log(brute_probability("▁" + w, p)) for w in text.split()) for lang, p in sorted(probs.items())}
+        best = max(logs, key=logs.get)
+        out.append((i, held(i), best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())))
+    return out
+
+
+def test_language_id_against_brute_force(spark, model):
+    r = random.Random(4)
+    vocab = {"en": ["the", "cat", "dog", "and", "house"], "de": ["der", "hund", "und", "katze", "haus"], "fr": ["le", "chat", "chien", "et", "maison"]}
+    rows = [(k if k % 7 else None, " ".join(r.choice(vocab[lang]) for _ in range(r.randint(1, 6))), lang) for k, lang in enumerate(["en", "de", "fr"] * 12)]
+    rows += rows[:3] + [(5, "le chat", "fr"), (2, "12 !", "de"), (9, None, "en"), (11, "maison" * 9, None), (12, "chienundhouse" * 20, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = [tuple(x) for x in lid.identify_languages(docs).collect()]
+    want = brute_languages(rows, sorted(model.ids, key=model.ids.get))
+    key = lambda x: (x[0] is None, x[0] or 0, x[2], x[3])
+    for x, y in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert x[:3] == y[:3] and x[3] == pytest.approx(y[3], abs=1e-9)
+
+
 def test_language_id(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     out = lid.identify_languages(docs.repartition(4)).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -41,6 +42,79 @@ def test_edges(html, text):
     assert html_text.extract(html) == text
 
 
+LONG = "A sentence of the article that goes on for quite a while, so that nobody takes it for a menu or a label. "
+HEAD = "<!DOCTYPE html><html><head><title>T</title><script>var x = '<p>no</p>';</script><style>p{}</style></head><body>"
+MENU = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News of the day</a></li><li><a href="/c">About us</a></li></ul></nav>'
+FOOT = "<footer><p>All rights reserved by the owner of this site, 2024, everywhere and for ever.</p></footer></body></html>"
+P = lambda *names: "".join(f"<p>{LONG}{n}.</p>" for n in names)
+T = lambda *names: " ".join(f"{LONG}{n}." for n in names)
+
+#: Pages of many makes, and their main text.
+GOLD = [
+    (HEAD + MENU + f"<article><h1>Title</h1>{P('a', 'b')}</article>" + FOOT, "Title " + T("a", "b")),
+    (HEAD + MENU + f"<main><h1>Title</h1>{P('a', 'b')}</main>" + FOOT, "Title " + T("a", "b")),
+    (HEAD + MENU + f"<div id=wrapper><div class=entry><h1>Title</h1>{P('a', 'b', 'c')}</div></div>" + FOOT, "Title " + T("a", "b", "c")),
+    (HEAD + f"<div>My site, news for all</div>{MENU}<div><h1>Title</h1>{P('a', 'b', 'c')}</div><div>Powered by a tool</div>" + FOOT, "Title " + T("a", "b", "c")),
+    (HEAD + f'<div class="content has-sidebar">{P("a", "b")}</div><div class="sidebar"><p>Things to see</p></div>' + FOOT, T("a", "b")),
+    (HEAD + f'<main><div class="post-with-ads">{P("a", "b")}</div></main>' + FOOT, T("a", "b")),
+    (HEAD + f'<article><p class="notice">Mind the gap, says a notice<h2>Part</h2><div>{LONG}</div>{P("a")}</article>' + FOOT, f"Part {LONG}{T('a')}"),
+    (HEAD + MENU + f"<article>{P('a', 'b')}</article><article>{P('c')}</article>" + FOOT, T("a", "b", "c")),
+    (HEAD + MENU + f"<article><p>Short one.</p></article><article>{P('c')}</article><article><h2>Last</h2>{P('d')}</article>" + FOOT, "Short one. " + T("c") + " Last " + T("d")),
+    (HEAD + f'<article><p>{LONG}<span style="display: none">hidden words</span> end</p>{P("a")}</article>', f"{LONG}end {T('a')}"),
+    (HEAD + f"<article><p>{LONG}<svg><text>axis label</text></svg> end</p>{P('a')}</article>", f"{LONG}end {T('a')}"),
+    (HEAD + f'<article><p>{LONG}<span class="share">Share on a site</span> end</p>{P("a")}</article>', f"{LONG}end {T('a')}"),
+    (HEAD + f"<article><p>{LONG}<p>two<p>three<ul><li>one<li>two</ul>{P('a')}</article>", f"{LONG}two three one two {T('a')}"),
+    (HEAD + MENU + f"<article>{P('a')}<table><tr><th>Year<th>Sum<tr><td>2020<td>12</table>{P('b')}</article>" + FOOT, T("a") + " Year Sum 2020 12 " + T("b")),
+    (HEAD + f"<article>{P('a')}<blockquote>Short quote</blockquote><pre>x  =\n 1</pre>{P('b')}</article>", T("a") + " Short quote x = 1 " + T("b")),
+    (HEAD + f'<article>{P("a")}<ul><li><a href="/1">Another story of the site to read</a></li><li><a href="/2">One more story of it</a></li></ul>{P("b")}</article>', T("a", "b")),
+    (HEAD + f'<article>{P("a")}<div class="advertisement">Buy this thing today, it is as good as new and costs nothing at all for you, dear reader of articles</div>{P("b")}</article>', T("a", "b")),
+    (HEAD + f'<article>{P("a")}</article><section id="comments"><div class="comment">{P("x", "y", "z")}</div></section>' + FOOT, T("a")),
+    (HEAD + f'<form id="aspnet">{MENU}<article>{P("a", "b")}</article></form>' + FOOT, T("a", "b")),
+    (HEAD + f'<form id="all">{MENU}<div>{P("a", "b")}</div></form>' + FOOT, T("a", "b")),
+    (HEAD + "<nav><ul><li><a href=/>Home</a><li><a href=/x>Other</a>" + f"<article>{P('a', 'b')}</article>", T("a", "b")),
+    (HEAD + f"<header><h1>Site name</h1></header><article><header><h1>Title</h1></header>{P('a')}<footer>By someone</footer></article>", "Title " + T("a")),
+    (HEAD + f'<div role="banner">Site name and motto</div><div role="main">{P("a", "b")}</div><div role="contentinfo">Owner</div>', T("a", "b")),
+    (HEAD + f'<div class="cookie-notice"><p>We use cookies for many good reasons, all of which are told in our policy, please agree.</p></div><div>{P("a", "b")}</div>', T("a", "b")),
+    (HEAD + f"<article>{P('a')}<aside>Related matter aside</aside>{P('b')}<details><summary>More</summary>{P('c')}</details></article>", T("a", "b") + " More " + T("c")),
+    (HEAD + f"<article><p>{LONG}</div></section></b> still here{P('a')}", f"{LONG}still here {T('a')}"),
+    (HEAD + f"<table><tr><td>{MENU}</td><td>{P('a', 'b')}</td></tr></table>" + FOOT, T("a", "b")),
+    (HEAD + f"{LONG}<br>{LONG}<br><br>{LONG}" + FOOT, (LONG * 3).strip()),
+    (HEAD + f"<div><section>{P('a')}</section><section><h2>Sub</h2>{P('b')}</section></div>" + FOOT, T("a") + " Sub " + T("b")),
+    (HEAD + f"<article><p>{LONG}<b>bold<p>next</b> part</p>{P('a')}</article>", f"{LONG}bold next part {T('a')}"),
+    (HEAD + f"<article><p>{LONG}&amp;&nbsp;&eacute;&#x41;&lt;p&gt;</p>{P('a')}</article>", f"{LONG}& éA<p> {T('a')}"),
+    (HEAD + f"<article>{P('a')}<figure><img src=x><figcaption>A caption</figcaption></figure>{P('b')}</article>", T("a") + " A caption " + T("b")),
+    (HEAD + f'<div hidden><p>{LONG}</p></div><div>{P("a", "b")}</div><template><p>{LONG}</p></template><noscript>Turn it on</noscript>', T("a", "b")),
+    (HEAD + f'<aside><article class="teaser"><p>A teaser of another story that can be read elsewhere</p></article></aside><article>{P("a", "b")}</article>', T("a", "b")),
+    (HEAD + '<div class="sidebar"><p>Only a sidebar is here to read.</p></div>', "Only a sidebar is here to read."),
+]
+
+
+def word_f1(got, want):
+    got, want = Counter(got.split()), Counter(want.split())
+    both = sum((got & want).values())
+    return 2 * both / max(1, sum(got.values()) + sum(want.values()))
+
+
+def test_gold_pages():
+    scores = [word_f1(html_text.extract(page), " ".join(text.split())) for page, text in GOLD]
+    wrong = {k: (round(s, 3), html_text.extract(GOLD[k][0])) for k, s in enumerate(scores) if s < 1}
+    assert len(GOLD) >= 30 and not wrong
+
+
+def test_ratios_decide(monkeypatch):
+    """Without the clusters, boxes of little text that no tag or class tells apart would stay."""
+    page, text = GOLD[3]
+    assert html_text.extract(page) == " ".join(text.split())
+    monkeypatch.setattr(html_text, "threshold", lambda values: 0.0)
+    assert "My site" in html_text.extract(page) and "Powered by" in html_text.extract(page)
+    assert sum(html_text.extract(p) != " ".join(t.split()) for p, t in GOLD) >= 3
+
+
+def test_very_long_page():
+    page = HEAD + MENU + "<article>" + P("a") * 20_000 + "</article>" + FOOT
+    assert html_text.extract(page) == " ".join([T("a")] * 20_000)
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").selectExpr("*", "1 text", "2 n_chars")
     out = html_text.extract_pages(pages).collect()
@@ -95,21 +169,51 @@ VEC = "vec_id long, embedding array<float>"
 
 
 def brute_top(rows, k=10):
-    seen = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        seen[i] = min(seen.get(i, tuple(v)), tuple(v))
-    z = {i: [math.floor(x) * 1024 + math.floor((x - math.floor(x)) * 1024) for x in v] for i, v in seen.items()}
+    """Rows are rows of their own, whatever their ids."""
+    rows = [(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    z = [[math.floor(x) * 1024 + math.floor((x - math.floor(x)) * 1024) for x in v] for _, v in rows]
     out = []
-    for q in z:
+    for n, (q, _) in enumerate(rows):
         if q % 100 == 0:
             held = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
-            s = sorted((-held(sum(a * b for a, b in zip(z[q], c, strict=True))), i) for i, c in z.items() if i != q and len(c) == len(z[q]))
-            out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s[:k])]
+            s = sorted((-held(sum(a * b for a, b in zip(z[n], c, strict=True))), i) for j, ((i, _), c) in enumerate(zip(rows, z, strict=True)) if j != n and len(c) == len(z[n]))
+            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])]
     return out
 
 
+def test_top_k_repeated_ids(spark, monkeypatch):
+    """Rows that share an id, equal ones too, are candidates and queries of their own."""
+    monkeypatch.setattr(topk, "ROW_BLOCK", 40)
+    r = random.Random(8)
+    rows = [(r.choice([0, 1, 2, 3, 100, 200]), [float(r.randint(-2, 2)) for _ in range(4)]) for _ in range(150)]
+    rows += rows[:5] * 14
+    for n in (1, 5):
+        vectors = spark.createDataFrame(rows, VEC).repartition(n)
+        same([tuple(x) for x in topk.exact_top_k(vectors).collect()], brute_top(rows))
+
+
+def test_top_k_saves_work(monkeypatch):
+    """Of clustered rows, most tiles are skipped; of others, most entries never see their last slice."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    for spread, share in ((0.05, 0.3), (10.0, 0.99)):
+        centre = r.normal(size=(16, 32))
+        rows = (centre[r.integers(0, 16, 4000)] + spread * r.normal(size=(4000, 32))) / max(1, spread)
+        table = pa.table({"r_vec_id": np.arange(4000), "r_vh": np.arange(4000), "r_times": np.ones(4000, np.int64), "r_embedding": pa.array(rows.tolist())})
+        scores = np.floor(rows[:20] * 1024) @ np.floor(rows * 1024).T
+        cutoff = np.sort(scores, axis=1)[:, -11]
+        queries = pa.table({"vec_id": np.arange(20), "vh": np.arange(20), "embedding": pa.array(rows[:20].tolist()), "cutoff": pa.array(cutoff.astype(np.int64))})
+        done = [0]
+        part = topk._Meet.part
+        monkeypatch.setattr(topk._Meet, "part", lambda self, who, tile, s: done.__setitem__(0, done[0] + len(who) * (tile.stop - tile.start) * (s.stop - s.start)) or part(self, who, tile, s))  # noqa: B023
+        out = topk._resolve(10, 4)(queries, table)
+        monkeypatch.undo()
+        assert out.num_rows == 200 and done[0] < share * 20 * 4000 * 32
+        want = sorted((q, int(s[c])) for q, s in enumerate(scores) for c in [x for x in np.argsort(-s, kind="stable") if x != q][:10])
+        assert sorted(zip(out["query_id"].to_pylist(), out["score"].to_pylist(), strict=True)) == want
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e6, 1e18])
 def test_top_k(spark, scale, monkeypatch):
     for name, value in (("QUERY_BLOCK", 3), ("ROW_BLOCK", 100), ("TILE", 2)):

@@ -30,7 +30,7 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in before} >= {5000 + k for k in range(20)} and {5000 + k for k in range(20)} <= {r.doc_id for r in after}
     before, after = frames["line_dedup"]
     expected = brute_lines([tuple(r) for r in before], 50)
-    assert {r.doc_id: r.text for r in after} == expected
+    assert {r.doc_id: r.text for r in after} == dict(zip((r.doc_id for r in before), expected, strict=True))
     before, after = frames["ngram_jaccard_join"]
     assert {r.doc_id for r in after} == {c for *_, c in brute_components([tuple(r) for r in before], pipeline.NEAR_WORDS, pipeline.NEAR_PERCENT)}
     before, after = frames["mix_sources"]
@@ -42,6 +42,22 @@ def test_stages(spark, tmp_path):
     assert len(before) == len(after)
 
 
+def test_repeated_and_null_ids(spark, tmp_path):
+    """Unrelated texts that share an id, or have none, go through all stages."""
+    text = lambda k: "\n".join(" ".join(f"w{k}x{n}y{j}" for j in range(12)) + "." for n in range(8))
+    rows = [(k % 3 if k % 4 else None, text(k), "en", "abc"[k % 3], 1) for k in range(24)]
+    rows += rows[:5] + [(None, text(1) + " more", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 th", "2 kid", "3 carry")
+    for name, stage in pipeline.STAGES[:3]:
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    # Line dedup empties the copies; of the rest each text is there once.
+    assert Counter(len(words(r.text)) > 0 for r in docs.collect())[True] == 24
+    mixed = pipeline.mix(spark, docs, "")
+    assert {r.text for r in mixed.collect()} <= {r.text for r in docs.collect()}
+    assert pipeline.pieces(spark, mixed, "").count() == mixed.count()
+
+
 def test_empty_and_nulls(spark, tmp_path):
     for rows in ([], [(None, None, None, None, None), (1, "", None, None, None)]):
         docs = spark.createDataFrame(rows, DOCS)
