@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import inspect
 import json
 import sys
 
+#: Operators whose sizes follow the data.
+UNSIZED = ("predefined", "deposition_date", "distinct_label")
 OK, FAILED, USAGE, INFEASIBLE, FLAGGED = 0, 1, 2, 3, 4
 
 
@@ -14,12 +17,11 @@ def _read(spark, path: str):
 
 
 def main(argv: list[str] | None = None) -> int:
-    from pyspark.sql import SparkSession, functions as F
+    from pyspark.sql import SparkSession
 
     from sunder import contract, registry
     from sunder.errors import InfeasibleError, ParameterError, SunderError
-    from sunder.operators import audit, baseline, lineage, property as prop
-    from sunder.plans.groups import assign_groups
+    from sunder.operators import audit
 
     parser = argparse.ArgumentParser(prog="sunder")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -28,7 +30,8 @@ def main(argv: list[str] | None = None) -> int:
     split.add_argument("output")
     split.add_argument("--operator", default="random")
     split.add_argument("--id", required=True)
-    split.add_argument("--column", help="key, date, label or property of the operator")
+    split.add_argument("--column", action="append", default=[], help="key, date, label, tokens or vector of the operator; may be repeated")
+    split.add_argument("--param", action="append", default=[], metavar="NAME=JSON", help="a further parameter of the operator")
     split.add_argument("--test", type=float, default=0.2)
     split.add_argument("--valid", type=float, default=0.0)
     split.add_argument("--seed", type=int, default=0)
@@ -40,29 +43,31 @@ def main(argv: list[str] | None = None) -> int:
     check.add_argument("--fail-on", choices=["duplicates", "shared"], action="append", default=[])
     listing = sub.add_parser("list")
     listing.add_argument("--json", action="store_true")
+    listing.add_argument("--family")
+    listing.add_argument("--strictness")
     args = parser.parse_args(argv)
     if args.command == "list":
-        rows = [{"id": o.id, "family": o.family, "strictness": o.strictness, "groups": o.groups} for o in registry.OPERATORS.values()]
+        rows = [{"id": o.id, "family": o.family, "strictness": o.strictness, "groups": o.groups} for o in registry.OPERATORS.values() if args.family in (None, o.family) and args.strictness in (None, o.strictness)]
         print(json.dumps(rows) if args.json else "\n".join(f"{r['id']:32}{r['family']:14}{r['strictness']}" for r in rows))
         return OK
     spark = SparkSession.builder.getOrCreate()
     try:
         df = _read(spark, args.input)
         if args.command == "split":
-            sizes = {"train": None, "valid": args.valid, "test": args.test}
             name = registry.get(args.operator).id
-            simple = {
-                "random": lambda: baseline.random_split(df, args.id, args.seed, **sizes),
-                "stratified_random": lambda: baseline.stratified_random(df, args.id, args.column, args.seed, **sizes),
-                "property": lambda: prop.property_split(df, args.id, args.column, **sizes),
-                "label_extrapolation": lambda: prop.label_extrapolation(df, args.id, args.column, **sizes),
-                "temporal": lambda: lineage.temporal(df, args.id, args.column, **sizes),
-                "source": lambda: lineage.source_split(df, args.id, args.column, **sizes),
-            }
-            grouped = registry.get(name).run is assign_groups
-            if name not in simple and not grouped:
-                raise ParameterError(f"{name} needs more than one column; call it from Python")
-            out = assign_groups(df, args.id, F.col(args.column), **sizes) if grouped else simple[name]()
+            params = {"train": None, "valid": args.valid, "test": args.test} if name not in UNSIZED else {}
+            try:
+                params |= {k: json.loads(v) for k, _, v in (x.partition("=") for x in args.param)}
+            except json.JSONDecodeError as error:
+                raise ParameterError(f"--param takes NAME=JSON: {error}") from error
+            if "seed" in inspect.signature(registry.get(name).run).parameters:
+                params.setdefault("seed", args.seed)
+            try:
+                out = registry.split(name, df, args.id, args.column, **params)
+            except TypeError as error:
+                raise ParameterError(f"{name}: {error}") from error
+            if "partition" not in out.columns or set(registry.SEVERAL) & set(out.columns):
+                raise ParameterError(f"{name} gives several splits; call it from Python")
             with open(args.output, "w") as f:
                 f.write(contract.to_json(out, name, {"id": args.id, "column": args.column, "seed": args.seed, "test": args.test, "valid": args.valid}))
             return OK

@@ -36,18 +36,29 @@ def assert_split(split: DataFrame, n: int, size_tolerance: float | None = None,
     return sizes
 
 
+BLOCK = 1 << 20
+
+
 def runs(split: DataFrame) -> DataFrame:
-    """``partition, first, last``: maximal runs of consecutive ids of a partition (gaps and islands)."""
-    w = W.partitionBy("partition").orderBy("id")
-    rows = split.select("partition", "id", (F.col("id") - F.row_number().over(w)).alias("island"))
-    return rows.groupBy("partition", "island").agg(F.min("id").alias("first"), F.max("id").alias("last")).drop("island")
+    """``partition, first, last``: runs of consecutive ids of a partition (gaps and islands), inside blocks of ``BLOCK`` ids."""
+    w = W.partitionBy("partition", "block").orderBy("id")
+    rows = split.select("partition", "id", F.floor(F.col("id") / BLOCK).alias("block"))
+    rows = rows.select("partition", "block", "id", (F.col("id") - F.row_number().over(w)).alias("island"))
+    return rows.groupBy("partition", "block", "island").agg(F.min("id").alias("first"), F.max("id").alias("last")).select("partition", "first", "last")
 
 
 def to_json(split: DataFrame, operator: str, params: dict) -> str:
     """A split as JSON: sorted keys; runs of three or more ids as ``[first, last]``.  For splits that fit the driver."""
     out: dict = {"schema": SCHEMA, "operator": operator, "params": params, **{p: [] for p in PARTITIONS}}
+    whole: list[list] = []
     for r in runs(split).orderBy("partition", "first").toLocalIterator():
-        out[r.partition] += [[r.first, r.last]] if r.last - r.first >= 2 else list(range(r.first, r.last + 1))
+        # A run goes on in the next block.
+        if whole and whole[-1][0] == r.partition and whole[-1][2] + 1 == r.first:
+            whole[-1][2] = r.last
+        else:
+            whole.append([r.partition, r.first, r.last])
+    for part, first, last in whole:
+        out[part] += [[first, last]] if last - first >= 2 else list(range(first, last + 1))
     return json.dumps(out, sort_keys=True, separators=(",", ":"))
 
 

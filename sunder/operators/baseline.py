@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sunder.errors import ConfigurationError, LabelError, ScalabilityError
 from sunder.functions.hashing import hash_key
 from sunder.functions.sizes import Sizes, resolve_sizes
-from sunder.plans.rank import hash_rank, value_rank
+from sunder.plans.rank import hash_rank, hash_rank_within, value_rank
 
 
 def by_position(pos: Column, sizes: Sizes) -> Column:
@@ -65,10 +65,8 @@ def stratified_random(df: DataFrame, id_col: str, label: str, seed: int = 0, bin
     largest = counts.agg(F.max_by("stratum", F.struct("c", F.hash("stratum"))).alias("largest"))
     counts = counts.crossJoin(F.broadcast(largest)).select("stratum", F.when(F.col("c") < min_per_stratum, F.col("largest")).otherwise(F.col("stratum")).alias("s"))
     rows = rows.join(counts, rows["stratum"].eqNullSafe(counts["stratum"])).select("id", "s")
-    size = F.count("*").over(W.partitionBy("s"))
-    pos = F.row_number().over(W.partitionBy("s").orderBy(hash_key(seed, "stratified.permutation", k, "id"), "id")) - 1
+    rows = hash_rank_within(rows, "s", hash_key(seed, "stratified.permutation", k, "id"), "id")
     train, valid = apportioned(F.col("size"), n, resolve_sizes(n, **sizes))
-    rows = rows.select("id", size.alias("size"), pos.alias("pos"))
     return rows.select("id", F.when(F.col("pos") < train, "train").when(F.col("pos") < train + valid, "valid").otherwise("test").alias("partition"))
 
 
@@ -83,9 +81,8 @@ def k_fold(df: DataFrame, id_col: str, n_splits: int = 5, seed: int = 0, shuffle
         raise ConfigurationError(f"{n_splits} folds of {n} records")
     key = hash_key(seed, "kfold.permutation", 0, "id")
     if label is not None:
-        rows = strata(df, id_col, label)
-        fold = (F.row_number().over(W.partitionBy("stratum").orderBy(key, "id")) - 1) % n_splits
-        return rows.select("id", fold.cast("int").alias("fold"))
+        rows = hash_rank_within(strata(df, id_col, label), "stratum", key, "id")
+        return rows.select("id", (F.col("pos") % n_splits).cast("int").alias("fold"))
     rows = _ids(df, id_col)
     ranked = hash_rank(rows, key, "id") if shuffle else value_rank(rows, F.col("id"), "id")
     size, longer = divmod(n, n_splits)
@@ -95,12 +92,11 @@ def k_fold(df: DataFrame, id_col: str, n_splits: int = 5, seed: int = 0, shuffle
 
 def monte_carlo(df: DataFrame, id_col: str, n_splits: int = 10, seed: int = 0, **sizes) -> DataFrame:
     """``id, repeat, partition``: independent random splits."""
-    out = None
-    for k in range(n_splits):
-        one = hash_rank(_ids(df, id_col), hash_key(seed, "montecarlo.permutation", k, "id"), "id")
-        one = one.select("id", F.lit(k).alias("repeat"), by_position(F.col("pos"), resolve_sizes(df.count(), **sizes)).alias("partition"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows, resolved = _ids(df, id_col), resolve_sizes(df.count(), **sizes)
+    # All repeats in one plan: a repeat is a stratum.
+    rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    rows = hash_rank_within(rows, "repeat", hash_key(seed, "montecarlo.permutation", F.col("repeat"), "id"), "id")
+    return rows.select("id", "repeat", by_position(F.col("pos"), resolved).alias("partition"))
 
 
 def predefined(df: DataFrame, id_col: str, assignment: str | None = None, fold_column: str | None = None, fold: int = 0) -> DataFrame:

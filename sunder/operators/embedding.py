@@ -11,8 +11,9 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from sunder.errors import ConfigurationError, ConvergenceWarning, InputError, MissingDependencyError
+from sunder.errors import ConfigurationError, ConvergenceWarning, InputError, MissingDependencyError, SunderError
 from sunder.functions.sizes import floor_round, resolve_sizes
+from sunder.operators.similarity import fill_remainder
 from sunder.plans.distance import nearest
 from sunder.plans.groups import assign_groups
 from sunder.plans.kernels import single_task
@@ -264,7 +265,8 @@ def d_optimal(vectors: DataFrame, n_components: int = 5, ridge: float = 1e-8, pa
 
     A pass visits every record of the design; a ``ConvergenceWarning`` tells of a limit that is hit before a pass makes no swap.
     """
-    k = resolve_sizes(vectors.count(), **sizes).train
+    resolved = resolve_sizes(vectors.count(), **sizes)
+    k = resolved.train
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
@@ -273,7 +275,7 @@ def d_optimal(vectors: DataFrame, n_components: int = 5, ridge: float = 1e-8, pa
         u, s, _ = np.linalg.svd(x, full_matrices=False)
         z = np.hstack([np.ones((len(x), 1)), (u * s)[:, :n_components]])
         design, settled, swaps = fedorov_exchange(z, np.argsort(-(z * z).sum(1), kind="stable")[:k], ridge, passes)
-        part = np.full(len(x), "test", dtype=object)
+        part = np.full(len(x), None, dtype=object)
         part[design] = "train"
         return pd.DataFrame({"id": pdf["id"], "partition": part, "settled": settled, "swaps": swaps})
 
@@ -281,7 +283,7 @@ def d_optimal(vectors: DataFrame, n_components: int = 5, ridge: float = 1e-8, pa
     open_ = found.where(~F.col("settled")).select("swaps").first()
     if open_ is not None:
         warnings.warn(ConvergenceWarning(f"d_optimal: {passes} passes and {open_.swaps} swaps, and the last pass still swapped", passes=passes, swaps=open_.swaps), stacklevel=2)
-    return found.select("id", "partition")
+    return fill_remainder(found, resolved, "train")
 
 
 def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -293,7 +295,8 @@ def support_points(vectors: DataFrame, labels: DataFrame | None = None, iteratio
 
     ``labels``: ``id`` and numeric columns, which join the vectors.  The steps end when the energy falls by at most ``tolerance`` of itself.
     """
-    k = resolve_sizes(vectors.count(), **sizes).test
+    resolved = resolve_sizes(vectors.count(), **sizes)
+    k = resolved.test
     if labels is not None:
         extra = F.array(*[F.col(c).cast("double") for c in labels.columns if c != "id"])
         vectors = vectors.join(labels.select("id", extra.alias("y")), "id").select("id", F.concat("v", "y").alias("v"))
@@ -319,11 +322,11 @@ def support_points(vectors: DataFrame, labels: DataFrame | None = None, iteratio
             i = int(np.where(free, ((x - row) ** 2).sum(1), np.inf).argmin())
             free[i] = False
             tested.append(i)
-        part = np.full(n, "train", dtype=object)
+        part = np.full(n, None, dtype=object)
         part[tested] = "test"
         return pd.DataFrame({"id": pdf["id"], "partition": part})
 
-    return single_task(vectors, kernel, SPLIT, 5_000)
+    return fill_remainder(single_task(vectors, kernel, SPLIT, 5_000), resolved, "test", seed)
 
 
 def wasserstein(a: DataFrame, b: DataFrame) -> float:
@@ -336,21 +339,23 @@ def wasserstein(a: DataFrame, b: DataFrame) -> float:
 def mood(vectors: DataFrame, deployment: DataFrame, candidates: dict) -> tuple[str, dict[str, float], DataFrame]:
     """Of candidate splits, the one whose test-to-train distances are most like deployment-to-data ones.
 
-    Returns its name, all scores, and its split; a candidate that fails is left out.
+    Returns its name, all scores, and its split; a candidate that cannot be made is left out, and
+    if none can, the last reason is raised.
     """
     want = nearest(deployment, vectors)
-    scores, splits = {}, {}
+    scores, splits, failed = {}, {}, ConfigurationError("no candidate split")
     for name, split in candidates.items():
         try:
             part = split(vectors)
-        except Exception as error:  # a failing candidate does not stop the others
-            scores[name] = float("inf")
-            splits[name] = error
+        except SunderError as error:  # an infeasible candidate does not stop the others
+            scores[name], failed = float("inf"), error
             continue
         side = lambda p: vectors.join(part.where(F.col("partition") == p).select("id"), "id", "left_semi")  # noqa: B023, E731
         scores[name] = wasserstein(nearest(side("test"), side("train")), want)
         splits[name] = part
-    best = min(scores, key=lambda k: (scores[k], k))
+    if not splits:
+        raise failed
+    best = min(splits, key=lambda k: (scores[k], k))
     return best, scores, splits[best]
 
 
@@ -378,10 +383,13 @@ def adversarial(vectors: DataFrame, split: DataFrame, target_auc: float = 0.75,
     for _ in range(max_iter):
         auc, p = adversarial_auc(vectors, split, seed)
         if abs(auc - target_auc) <= tolerance:
-            break
+            return split.select("id", "partition")
         up = auc < target_auc
         scored = split.join(p, "id")
         out = value_rank(scored.where("partition = 'test'"), F.col("p"), "id", "pos", descending=not up).where(F.col("pos") < k).select("id", F.lit("train").alias("to"))
         into = value_rank(scored.where("partition = 'train'"), F.col("p"), "id", "pos", descending=up).where(F.col("pos") < k).select("id", F.lit("test").alias("to"))
         split = scratch.keep(split.join(out.unionByName(into), "id", "left").select("id", F.coalesce("to", "partition").alias("partition")))
+    auc = adversarial_auc(vectors, split, seed)[0]
+    if abs(auc - target_auc) > tolerance:
+        warnings.warn(ConvergenceWarning(f"adversarial: an AUC of {auc:.3f} after {max_iter} rounds, not {target_auc}", auc=auc), stacklevel=2)
     return split.select("id", "partition")

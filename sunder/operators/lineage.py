@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sunder.errors import ColumnError, ConfigurationError, EmptyPartitionError, MissingSourceWarning
+from sunder.errors import ColumnError, ConfigurationError, EmptyPartitionError, MissingSourceWarning, ScalabilityError
 from sunder.functions.hashing import uniform
 from sunder.functions.sizes import resolve_sizes
 from sunder.plans.groups import assign_groups
@@ -19,6 +19,7 @@ from sunder.plans.scratch import Scratch
 
 DAYS = {"D": 1, "W": 7, "M": 30, "Y": 365}
 MISSING = "__MISSING__"
+MAX_PARTIES = 10_000
 
 
 def offset_days(offset: str | int) -> int:
@@ -65,6 +66,21 @@ def temporal(df: DataFrame, id_col: str, date: str, cut_date=None, valid_cut_dat
     return rows.select("id", F.col("p").alias("partition"))
 
 
+def deposition_date(df: DataFrame, id_col: str, date: str, cut_date, edges: DataFrame | None = None) -> DataFrame:
+    """``id, partition``: up to the cut trains, after it tests; train records with an edge to a test record are pruned.
+
+    ``edges``: the pairs above the similarity or identity ceiling; sizes follow the date.
+    """
+    rows = Scratch(df.sparkSession, "deposited").keep(_dated(df, id_col, date).select("id", F.when(F.col("d") <= F.lit(cut_date).cast("date"), "train").otherwise("test").alias("partition")))
+    if edges is None:
+        return rows
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    side = lambda p, c: rows.where(F.col("partition") == p).select(F.col("id").alias(c))
+    gone = both.join(side("train", "a"), "a", "left_semi").join(side("test", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+    out = rows.join(gone.withColumn("gone", F.lit(True)), "id", "left")
+    return out.select("id", F.when(F.col("gone"), "discard").otherwise(F.col("partition")).alias("partition"))
+
+
 def temporal_windows(df: DataFrame, id_col: str, date: str, mode: str = "rolling", n_windows: int = 5, window="365D") -> DataFrame:
     """``id, window, partition``: back-to-back test windows that end at the last date; others of a window are discarded."""
     if mode not in ("rolling", "expanding"):
@@ -147,6 +163,9 @@ def party_split(df: DataFrame, id_col: str, party: str) -> DataFrame:
     """``id, held_out, partition``: each party is held out in turn."""
     rows = df.select(F.col(id_col).alias("id"), F.col(party).cast("string").alias("party"))
     parties = rows.select(F.col("party").alias("held_out")).distinct()
+    # Every record is there once for each party, so these are few.
+    if parties.limit(MAX_PARTIES + 1).count() > MAX_PARTIES:
+        raise ScalabilityError(f"more than {MAX_PARTIES} parties")
     out = rows.crossJoin(F.broadcast(parties))
     return out.select("id", "held_out", F.when(F.col("party").eqNullSafe(F.col("held_out")), "test").otherwise("train").alias("partition"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from sunder.errors import ConfigurationError, ConstraintError
 from sunder.functions.hashing import hash_key
 from sunder.functions.sizes import resolve_sizes
-from sunder.plans.rank import hash_rank, value_rank
+from sunder.plans.rank import hash_rank, hash_rank_within, value_rank
 from sunder.plans.scratch import Scratch
 
 DIRECTIONS = ("high_test", "low_test", "extremes_test", "middle_test")
@@ -97,26 +97,55 @@ def distinct_label(df: DataFrame, id_col: str, label: str, resolution: float | N
     """``id, partition``: one record of each label level trains, the others are held out."""
     level = F.col(label) if resolution is None else F.floor(F.col(label) / resolution)
     rows = df.select(F.col(id_col).alias("id"), level.alias("level"))
-    first = F.row_number().over(W.partitionBy("level").orderBy(hash_key(seed, "distinct_label.pick", 0, "id"), "id"))
-    rows = rows.withColumn("nth", first)
+    # One record of a level, by an aggregate that combines before the shuffle.
+    pick = rows.groupBy("level").agg(F.min(F.struct(hash_key(seed, "distinct_label.pick", 0, "id").alias("k"), "id")).alias("first"))
+    rows = rows.join(pick.select(F.col("first.id").alias("id"), F.lit(True).alias("picked")), "id", "left").select("id", F.coalesce("picked", F.lit(False)).alias("picked"))
     if not n_valid:
-        return rows.select("id", F.when(F.col("nth") == 1, "train").otherwise("test").alias("partition"))
-    held = hash_rank(rows.where("nth > 1").select("id"), hash_key(seed, "distinct_label.valid", 0, "id"), "id")
+        return rows.select("id", F.when(F.col("picked"), "train").otherwise("test").alias("partition"))
+    held = hash_rank(rows.where("not picked").select("id"), hash_key(seed, "distinct_label.valid", 0, "id"), "id")
     rows = rows.join(held, "id", "left")
-    return rows.select("id", F.when(F.col("nth") == 1, "train").when(F.col("pos") < n_valid, "valid").otherwise("test").alias("partition"))
+    return rows.select("id", F.when(F.col("picked"), "train").when(F.col("pos") < n_valid, "valid").otherwise("test").alias("partition"))
 
 
-def stratified_distribution(df: DataFrame, id_col: str, label: str, n_bins: int = 20, seed: int = 0, **sizes) -> DataFrame:
-    """``id, partition``: every quantile bin of the label gives its share, rounded half to even, to test and valid."""
+def stratified_distribution(df: DataFrame, id_col: str, label: str, n_bins: int = 20, seed: int = 0, method: str = "histogram", n_trials: int = 50, **sizes) -> DataFrame:
+    """``id, partition`` whose labels are spread alike.
+
+    ``histogram``: every quantile bin of the label gives its share, rounded half to even, to test and valid.
+    ``moments`` and ``ks``: of ``n_trials`` random splits, the one whose sides differ least in mean and deviation
+    (in deviations of all labels), or in the Kolmogorov-Smirnov distance of test to train; equal ones go to the first.
+    """
     n = df.count()
     resolved = resolve_sizes(n, **sizes)
     rows = df.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("v"))
-    inner = rows.agg(F.percentile("v", F.array(*[F.lit(k / n_bins) for k in range(1, n_bins)]))).first()[0]
-    above = sum((F.when(F.col("v") > float(e), 1).otherwise(0) for e in sorted(set(inner))), F.lit(0))
-    w = W.partitionBy("bin")
-    rows = rows.withColumn("bin", above)
-    pos = F.row_number().over(w.orderBy(hash_key(seed, "stratdist.permutation", 0, "id"), "id")) - 1
-    rows = rows.select("id", pos.alias("pos"), F.count("*").over(w).alias("size"))
-    test = F.bround(F.col("size") * (resolved.test / n))
-    valid = F.bround(F.col("size") * (resolved.valid / n))
-    return rows.select("id", F.when(F.col("pos") < test, "test").when(F.col("pos") < test + valid, "valid").otherwise("train").alias("partition"))
+    if method == "histogram":
+        inner = rows.agg(F.percentile("v", F.array(*[F.lit(k / n_bins) for k in range(1, n_bins)]))).first()[0]
+        above = sum((F.when(F.col("v") > float(e), 1).otherwise(0) for e in sorted(set(inner))), F.lit(0))
+        rows = hash_rank_within(rows.withColumn("bin", above), "bin", hash_key(seed, "stratdist.permutation", 0, "id"), "id")
+        test = F.bround(F.col("size") * (resolved.test / n))
+        valid = F.bround(F.col("size") * (resolved.valid / n))
+        return rows.select("id", F.when(F.col("pos") < test, "test").when(F.col("pos") < test + valid, "valid").otherwise("train").alias("partition"))
+    if method not in ("moments", "ks"):
+        raise ConfigurationError(f"unknown method {method!r}")
+    trials = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
+    trials = hash_rank_within(trials, "trial", hash_key(seed, "stratdist.trial", F.col("trial"), "id"), "id")
+    part = F.when(F.col("pos") < resolved.train, "train").when(F.col("pos") < resolved.train + resolved.valid, "valid").otherwise("test")
+    trials = Scratch(df.sparkSession, "trials").keep(trials.select("id", "v", "trial", part.alias("partition")))
+    if method == "moments":
+        scale = rows.agg(F.stddev_pop("v")).first()[0] or 1.0
+        side = lambda f, p: f(F.when(F.col("partition") == p, F.col("v")))
+        gap = lambda f: F.abs(side(f, "test") - side(f, "train")) / scale
+        loss = trials.groupBy("trial").agg((gap(F.avg) + gap(F.stddev_pop)).alias("loss"))
+    else:
+        # Counts of a trial's sides at each distinct label; running sums inside ranges of the label.
+        per = trials.groupBy("trial", "v").agg(*[F.sum((F.col("partition") == p).cast("long")).alias(p) for p in ("train", "test")])
+        edges = rows.agg(F.percentile_approx("v", [k / 64 for k in range(1, 64)], 2000)).first()[0] or []
+        per = per.withColumn("b", F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e < F.col("v"))) if edges else F.lit(0))
+        before = W.partitionBy("trial").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+        base = per.groupBy("trial", "b").agg(F.sum("train").alias("x"), F.sum("test").alias("y"))
+        base = base.select("trial", "b", F.coalesce(F.sum("x").over(before), F.lit(0)).alias("x"), F.coalesce(F.sum("y").over(before), F.lit(0)).alias("y"))
+        run = W.partitionBy("trial", "b").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+        per = per.withColumn("own_x", F.sum("train").over(run)).withColumn("own_y", F.sum("test").over(run)).join(base, ["trial", "b"])
+        off = F.abs((F.col("x") + F.col("own_x")) / resolved.train - (F.col("y") + F.col("own_y")) / resolved.test)
+        loss = per.groupBy("trial").agg(F.max(off).alias("loss"))
+    best = loss.agg(F.min(F.struct(F.round("loss", 12).alias("loss"), "trial")).alias("m")).first().m.trial
+    return trials.where(F.col("trial") == best).select("id", "partition")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from sunder.plans.distance import nearest
 from sunder.plans.groups import assign_folds, group_table
 from sunder.plans.rank import value_rank
+from sunder.plans.scratch import Scratch
 
 Split = Callable[[DataFrame], DataFrame]
 
@@ -64,8 +65,9 @@ def external_holdout(df: DataFrame, id_col: str, external: DataFrame, external_i
 def applicability_domain(vectors: DataFrame, split: DataFrame, n_bands: int = 5) -> DataFrame:
     """``id, band``: test records in equal bands of their distance to the nearest train record."""
     part = lambda p: vectors.join(split.where(F.col("partition") == p).select("id"), "id", "left_semi")
-    near = nearest(part("test"), part("train"))
+    near = Scratch(vectors.sparkSession, "nearest").keep(nearest(part("test"), part("train")))
     n = near.count()
+    n_bands = max(1, min(n_bands, n))
     size, longer = divmod(n, n_bands)
     ranked = value_rank(near, F.col("d"), "id")
     pos, edge = F.col("pos"), longer * (size + 1)
@@ -73,6 +75,16 @@ def applicability_domain(vectors: DataFrame, split: DataFrame, n_bands: int = 5)
     return ranked.select("id", band.cast("int").alias("band"))
 
 
+def applicability_splits(vectors: DataFrame, split: DataFrame, n_bands: int = 5) -> DataFrame:
+    """``id, band, partition``: a split for each band, whose test records are that band's; train stays, all others are discarded."""
+    bands = Scratch(vectors.sparkSession, "bands").keep(applicability_domain(vectors, split, n_bands))
+    every = bands.select(F.col("band").alias("of")).distinct()
+    # At most n_bands rows.
+    rows = split.select("id", "partition").join(bands, "id", "left").crossJoin(F.broadcast(every))
+    part = F.when(F.col("partition") == "train", "train").when(F.col("band") == F.col("of"), "test").otherwise("discard")
+    return rows.select("id", F.col("of").alias("band"), part.alias("partition"))
+
+
 def intersection(primary: DataFrame, groups: DataFrame, conflict_policy: str = "discard") -> DataFrame:
     """``id, partition``: train records that share a group with held-out ones are discarded.
 

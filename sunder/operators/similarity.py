@@ -10,17 +10,28 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sunder.errors import ConfigurationError, ConstraintError, ScalabilityError, SplitWarning
 from sunder.functions.hashing import hash_key
-from sunder.functions.sizes import resolve_sizes
+from sunder.functions.sizes import Sizes, resolve_sizes
 from sunder.plans.components import connected_components
 from sunder.plans.distance import distance_sums, nearest, squared_distance_sums
 from sunder.plans.groups import assign_groups
 from sunder.plans.independent import centres
-from sunder.plans.rank import value_rank
+from sunder.plans.rank import hash_rank, value_rank
 from sunder.plans.scratch import Scratch
 
 MAX_KERNEL = 13_377  # records of a dense kernel, 2 GiB of distances
 
 
+def fill_remainder(split: DataFrame, sizes: Sizes, picked: str, seed: int = 0) -> DataFrame:
+    """``id, partition``: records without a partition are valid in hash order until that is full, then go to the side that was not picked for."""
+    other = "test" if picked == "train" else "train"
+    if not sizes.valid:
+        return split.select("id", F.coalesce("partition", F.lit(other)).alias("partition"))
+    split = Scratch(split.sparkSession, "remainder").keep(split.select("id", "partition"))
+    rest = hash_rank(split.where("partition is null").select("id"), hash_key(seed, "remainder.permutation", 0, "id"), "id")
+    part = F.when(F.col("pos") < sizes.valid, "valid").otherwise(other)
+    return split.join(rest, "id", "left").select("id", F.coalesce("partition", part).alias("partition"))
+
+
 def component_keys(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, key``: each record's component, itself without an edge."""
     scratch = Scratch(rows.sparkSession, "similar")
@@ -63,6 +74,11 @@ def greedy_prune(split: DataFrame, edges: DataFrame, max_discard: float = 0.1, a
     return out.select("id", F.when(F.col("gone"), "discard").otherwise(F.col("partition")).alias("partition"))
 
 
+def kept_edges(edges: DataFrame) -> DataFrame:
+    """Edges that several steps read are computed once."""
+    return edges if hasattr(edges, "_sunder_path") else Scratch(edges.sparkSession, "edges").keep(edges.select("a", "b"))
+
+
 def degrees(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, degree``: neighbours without the record itself."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
@@ -71,18 +87,20 @@ def degrees(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 def butina_keys(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, key``: centres are visited by falling degree."""
+    edges = kept_edges(edges)
     return centres(degrees(rows, edges), edges, -F.col("degree")).select("id", F.col("centre").alias("key"))
 
 
 def sphere_keys(rows: DataFrame, edges: DataFrame, seed: int | None = None) -> DataFrame:
     """``id, key``: centres are visited by id, or in hash order with a seed."""
+    edges = kept_edges(edges)
     order = F.lit(0) if seed is None else hash_key(seed, "sphere_exclusion.order", 0, "id")
     return centres(rows, edges, order).select("id", F.col("centre").alias("key"))
 
 
 def density_keys(rows: DataFrame, edges: DataFrame, min_samples: int = 5) -> DataFrame:
     """``id, key, noise``: DBSCAN; a border record joins its lowest cluster, noise is its own group."""
-    scratch = Scratch(rows.sparkSession, "density")
+    scratch, edges = Scratch(rows.sparkSession, "density"), kept_edges(edges)
     core = scratch.keep(degrees(rows, edges).where(F.col("degree") + 1 >= min_samples).select("id"))
     end = lambda c: core.select(F.col("id").alias(c))
     inner = edges.select("a", "b").join(end("a"), "a", "left_semi").join(end("b"), "b", "left_semi")
@@ -158,22 +176,35 @@ def minimal_test_dissimilarity(vectors: DataFrame, labels: DataFrame, squared: b
 
     With ``squared``, squared distances are added: a surrogate without pairs, which orders records by their distance to the centroid.
     """
-    n = vectors.count()
-    n_test = resolve_sizes(n, **sizes).test
-    ranked = value_rank(labels.select("id", "y"), F.col("y"), "id", descending=True)
-    size, longer = divmod(n, n_test)
+    resolved = resolve_sizes(vectors.count(), **sizes)
+    rows = labels.select("id", "y").join(_totals(vectors, squared), "id")
+    if resolved.valid:
+        rows = Scratch(vectors.sparkSession, "minimal").keep(rows)
+    test = _one_of_each_bin(rows, resolved.test)
+    if not resolved.valid:
+        return test.select("id", F.when(F.col("picked"), "test").otherwise("train").alias("partition"))
+    # The same over the remainder gives valid.
+    test = Scratch(vectors.sparkSession, "minimal").keep(test.select("id", "picked"))
+    valid = _one_of_each_bin(rows.join(test.where("not picked"), "id", "left_semi"), resolved.valid).select("id", F.col("picked").alias("second"))
+    part = F.when(F.col("picked"), "test").when(F.col("second"), "valid").otherwise("train")
+    return test.join(valid, "id", "left").select("id", part.alias("partition"))
+
+
+def _one_of_each_bin(rows: DataFrame, n_bins: int) -> DataFrame:
+    """``id, picked``: of each of equal bins of falling label, the record with the least total."""
+    size, longer = divmod(rows.count(), n_bins)
+    ranked = value_rank(rows, F.col("y"), "id", descending=True)
     pos, edge = F.col("pos"), longer * (size + 1)
-    bins = F.when(pos < edge, F.floor(pos / (size + 1))).otherwise(longer + F.floor((pos - edge) / size))
-    rows = ranked.select("id", bins.alias("bin")).join(_totals(vectors, squared), "id")
+    bins = F.when(pos < edge, F.floor(pos / (size + 1))).otherwise(longer + F.floor((pos - edge) / max(size, 1)))
     nth = F.row_number().over(W.partitionBy("bin").orderBy("total", "id"))
-    return rows.select("id", F.when(nth == 1, "test").otherwise("train").alias("partition"))
+    return ranked.select("id", bins.alias("bin"), "total").select("id", (nth == 1).alias("picked"))
 
 
 def perimeter_outliers(vectors: DataFrame, squared: bool = False, **sizes) -> DataFrame:
     """``id, partition``: the records with the largest mean distance are tested; ``squared`` as in ``minimal_test_dissimilarity``."""
-    n = vectors.count()
+    resolved = resolve_sizes(vectors.count(), **sizes)
     ranked = value_rank(_totals(vectors, squared), F.col("total"), "id", descending=True)
-    return ranked.select("id", F.when(F.col("pos") < resolve_sizes(n, **sizes).test, "test").otherwise("train").alias("partition"))
+    return fill_remainder(ranked.select("id", F.when(F.col("pos") < resolved.test, "test").alias("partition")), resolved, "test")
 
 
 def _dense(vectors: DataFrame, kernel, *extra: str) -> DataFrame:
@@ -203,8 +234,10 @@ def _max_min(d: np.ndarray, k: int, start: list[int]) -> list[int]:
     return picked[:k]
 
 
-def max_min(vectors: DataFrame, init: str = "index_zero", picked_goes_to: str = "train", seed: int = 0, **sizes) -> DataFrame:
-    """``id, partition``: a farthest-first pick, the rest on the other side."""
+def max_min(vectors: DataFrame, init: str = "index_zero", picked_goes_to: str = "train", seed: int = 0, swap_fraction: float = 0.0, **sizes) -> DataFrame:
+    """``id, partition``: a farthest-first pick, the rest valid in hash order and then on the other side."""
+    if not 0 <= swap_fraction < 1:
+        raise ConfigurationError("swap_fraction lies in [0, 1)")
     if init not in ("index_zero", "kennard_stone", "most_peripheral", "random"):
         raise ConfigurationError(f"unknown start {init!r}")
     resolved = resolve_sizes(vectors.count(), **sizes)
@@ -218,18 +251,27 @@ def max_min(vectors: DataFrame, init: str = "index_zero", picked_goes_to: str =
             start = [int(d.sum(axis=1).argmax())]
         elif init == "random":
             start = [int(np.random.default_rng(seed).integers(len(d)))]
-        out = np.full(len(d), "test" if picked_goes_to == "train" else "train", dtype=object)
-        out[_max_min(d, k, start)] = picked_goes_to
+        picked = _max_min(d, k, start)
+        if swap_fraction:
+            # Some picks go back for as many records that were not picked, both at random.
+            rng, m = np.random.default_rng([seed, 1]), int(swap_fraction * k)
+            rest = np.setdiff1d(np.arange(len(d)), picked)
+            m = min(m, len(rest))
+            back = rng.choice(k, m, replace=False)
+            picked = np.concatenate((np.delete(picked, back), rng.choice(rest, m, replace=False)))
+        out = np.full(len(d), None, dtype=object)
+        out[picked] = picked_goes_to
         return out
 
-    return _dense(vectors, kernel)
+    return fill_remainder(_dense(vectors, kernel), resolved, picked_goes_to, seed)
 
 
 def seeded_growth(vectors: DataFrame, cutoff: float, seed_selection: str = "most_peripheral", **sizes) -> DataFrame:
     """``id, partition``: test grows from a seed by nearness; others within ``cutoff`` (squared distance) of it are discarded."""
     if seed_selection not in ("most_central", "most_peripheral"):
         raise ConfigurationError(f"unknown start {seed_selection!r}")
-    k = max(1, resolve_sizes(vectors.count(), **sizes).test)
+    resolved = resolve_sizes(vectors.count(), **sizes)
+    k = max(1, resolved.test)
 
     def kernel(d, pdf):
         total = d.sum(axis=1)
@@ -240,17 +282,18 @@ def seeded_growth(vectors: DataFrame, cutoff: float, seed_selection: str = "most
             i = int(np.where(taken, np.inf, near).argmin())
             taken[i] = True
             near = np.minimum(near, d[i])
-        return np.where(taken, "test", np.where(near > cutoff, "train", "discard")).astype(object)
+        return np.where(taken, "test", np.where(near > cutoff, None, "discard"))
 
-    return _dense(vectors, kernel)
+    return fill_remainder(_dense(vectors, kernel), resolved, "test")
 
 
 def perimeter_pairs(vectors: DataFrame, **sizes) -> DataFrame:
-    """``id, partition``: the farthest pair of records left tests, until the test set is full."""
-    k = resolve_sizes(vectors.count(), **sizes).test
+    """``id, partition``: the farthest pair of records left tests, until the test set is full; the rest as by ``fill_remainder``."""
+    resolved = resolve_sizes(vectors.count(), **sizes)
+    k = resolved.test
 
     def kernel(d, pdf):
-        n, out = len(d), np.full(len(d), "train", dtype=object)
+        n, out = len(d), np.full(len(d), None, dtype=object)
         free = np.ones(n, bool)
         d = d.copy()
         np.fill_diagonal(d, -1.0)
@@ -269,22 +312,23 @@ def perimeter_pairs(vectors: DataFrame, **sizes) -> DataFrame:
                 far[j] = row[mate[j]]
         return out
 
-    return _dense(vectors, kernel)
+    return fill_remainder(_dense(vectors, kernel), resolved, "test")
 
 
 def spxy(vectors_with_label: DataFrame, **sizes) -> DataFrame:
     """``id, partition``: Kennard-Stone on the sum of scaled feature and label distances; input ``id, v, y``."""
-    k = resolve_sizes(vectors_with_label.count(), **sizes).train
+    resolved = resolve_sizes(vectors_with_label.count(), **sizes)
+    k = resolved.train
 
     def kernel(d, pdf):
         y = pdf["y"].to_numpy(float)
         dx, dy = np.sqrt(np.maximum(d, 0)), np.abs(y[:, None] - y[None, :])
         both = dx / (dx.max() or 1) + dy / (dy.max() or 1)
-        out = np.full(len(d), "test", dtype=object)
+        out = np.full(len(d), None, dtype=object)
         out[_max_min(both, k, list(divmod(int(both.argmax()), len(d))))] = "train"
         return out
 
-    return _dense(vectors_with_label, kernel, "y")
+    return fill_remainder(_dense(vectors_with_label, kernel, "y"), resolved, "train")
 
 
 def duplex(vectors: DataFrame, **sizes) -> DataFrame:

@@ -2,23 +2,57 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sunder.errors import ConstraintError
+from sunder.errors import ConfigurationError, ConstraintError, SizeToleranceWarning
 from sunder.functions.sizes import resolve_sizes
-from sunder.operators.similarity import component_keys
+from sunder.operators.similarity import butina_keys, component_keys, kept_edges
 from sunder.plans.distance import nearest
 from sunder.plans.groups import assign_groups
 from sunder.plans.kernels import balance, evolve, iterative_stratification, neighbours, single_task
+from sunder.plans.scratch import Scratch
 
 SPLIT = "id long, partition string"
 
 
-def hi(rows: DataFrame, edges: DataFrame, verify: bool = True, **sizes) -> DataFrame:
-    """``id, partition, group``: components of similar records stay whole; no similar pair may cross."""
-    out = assign_groups(component_keys(rows, edges), "id", F.col("key"), check=False, **sizes)
+def hi(rows: DataFrame, edges: DataFrame, coarse: DataFrame | None = None, solver: str = "greedy", size_tolerance: float = 0.05, verify: bool = True, **sizes) -> DataFrame:
+    """``id, partition, group``: no pair of ``edges`` crosses partitions.
+
+    Coarse clusters (Butina over ``coarse``, the pairs above a higher similarity; without it each
+    record is one) are joined where any pair of ``edges`` lies across them.  Their components are whole
+    groups, placed by ``greedy`` or by the balance search (``search``), which keeps sizes within the tolerance.
+    """
+    if solver not in ("greedy", "search"):
+        raise ConfigurationError(f"unknown solver {solver!r}")
+    scratch, edges = Scratch(rows.sparkSession, "hi"), kept_edges(edges)
+    clusters = rows.select("id", F.col("id").alias("key")) if coarse is None else scratch.keep(butina_keys(rows, coarse))
+    of = lambda c: clusters.select(F.col("id").alias(c), F.col("key").alias(f"of_{c}"))
+    across = edges.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    merged = component_keys(clusters.select(F.col("key").alias("id")).distinct(), across).select(F.col("id").alias("key"), F.col("key").alias("component"))
+    keys = scratch.keep(clusters.join(merged, "key").select("id", F.col("component").alias("key")))
+    if solver == "greedy":
+        out = assign_groups(keys, "id", F.col("key"), check=False, **sizes)
+    else:
+        resolved = resolve_sizes(keys.count(), **sizes)
+        share = np.array([resolved.train, resolved.valid, resolved.test], float) / resolved.total
+
+        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("first", ignore_index=True)
+            at = balance(pdf[["size"]].to_numpy(float), share)
+            return pd.DataFrame({"key": pdf["key"], "group": np.arange(len(pdf)), "partition": np.array(["train", "valid", "test"])[at]})
+
+        per = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+        out = keys.join(single_task(per, kernel, "key long, group long, partition string", 1_000_000), "key").select("id", "partition", "group")
+    out = scratch.keep(out)
+    sides = {r.partition: r["count"] for r in out.groupBy("partition").count().collect()}
+    if not sides.get("test") or not sides.get("train"):
+        raise ConstraintError("the components leave a side empty; take a higher threshold")
+    if abs(sides["test"] - resolve_sizes(sum(sides.values()), **sizes).test) > size_tolerance * sum(sides.values()):
+        warnings.warn(SizeToleranceWarning(f"test has {sides['test']} records", partition="test"), stacklevel=2)
     if verify:
         p = lambda c: out.select(F.col("id").alias(c), F.col("partition").alias(f"p{c}"))
         crossing = edges.select("a", "b").join(p("a"), "a").join(p("b"), "b").where("pa <> pb")

@@ -5,12 +5,12 @@ from __future__ import annotations
 import warnings
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sunder.errors import ConfigurationError, ConstraintError, DegenerateGroupingError, LargeGroupWarning, ScalabilityError
 from sunder.functions.hashing import hash_key
 from sunder.functions.sizes import Sizes, resolve_sizes
-from sunder.plans.rank import value_rank
+from sunder.plans.rank import value_rank, value_rank_within
 
 MAX_GROUPS = 20_000_000
 
@@ -31,16 +31,13 @@ def check_groups(groups: DataFrame, n: int, what: str) -> None:
         warnings.warn(LargeGroupWarning(f"{what}: the largest group holds {largest} of {n} records", largest=largest), stacklevel=2)
 
 
-def _fold(sizes: Sizes | None, folds: int, mode: str, n: int):
+def _fold(sizes: Sizes, mode: str):
     """Sequential by definition: each group's place depends on those before it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "first"] if mode == "random" else ["size", "first"], ascending=[mode == "random", True], kind="stable", ignore_index=True)
-        if sizes is None:
-            names, capacity = list(range(folds)), [n / folds] * folds
-        else:
-            every = [("train", sizes.train), ("valid", sizes.valid), ("test", sizes.test)]
-            names, capacity = zip(*[x for x in every if x[1] > 0], strict=True)
+        every = [("train", sizes.train), ("valid", sizes.valid), ("test", sizes.test)]
+        names, capacity = zip(*[x for x in every if x[1] > 0], strict=True)
         filled, out = [0] * len(names), []
         for m in pdf["size"].tolist():
             if mode == "balanced":
@@ -55,13 +52,57 @@ def _fold(sizes: Sizes | None, folds: int, mode: str, n: int):
     return run
 
 
-def _placed(groups: DataFrame, run, place_type: str, seed: int) -> DataFrame:
+def segments(rooms: list[float], size: int, m: int) -> tuple[list[tuple[int, int, list[int]]], list[float]]:
+    """Where ``m`` groups of one size go, each to the place with most room, the first of equals; and the rooms after them.
+
+    A segment (start, stop, cycle) sends the groups from start to stop to the places of the cycle in turn.
+    """
+    rooms, out, at = list(rooms), [], 0
+    while at < m:
+        order = sorted(range(len(rooms)), key=lambda b: (-rooms[b], b))
+        top = rooms[order[0]]
+        # Places within one size of the roomiest take turns until another one has as much room.
+        cycle = [b for b in order if rooms[b] > top - size]
+        outside = [rooms[b] for b in order if rooms[b] <= top - size]
+        turns = (m - at) // len(cycle)
+        if outside:
+            turns = min(turns, int((top - size - outside[0]) // size))
+        if turns == 0:
+            cycle, turns = cycle[:1], 1
+        for b in cycle:
+            rooms[b] -= turns * size
+        out.append((at, at + turns * len(cycle), cycle))
+        at += turns * len(cycle)
+    return out, rooms
+
+
+def _placed_by_size(groups: DataFrame, rooms: list[float], names: list, place_type: str) -> DataFrame:
+    """Largest first, equal ones by their first record: a fold over distinct sizes, of which n records have at most the root of 2 n."""
+    counts = {r["size"]: r["count"] for r in groups.groupBy("size").count().collect()}
+    rows = []
+    for size in sorted(counts, reverse=True):
+        parts, rooms = segments(rooms, size, counts[size])
+        rows += [(size, start, stop, [names[b] for b in cycle]) for start, stop, cycle in parts]
+    spark = groups.sparkSession
+    plan = spark.createDataFrame(rows, f"of_size long, start long, stop long, cycle array<{place_type}>")
+    plan = plan.groupBy("of_size").agg(F.collect_list(F.struct("start", "stop", "cycle")).alias("parts"))
+    ranked = value_rank_within(groups, "size", "first", "nth", "n_of_size").join(plan, F.col("size") == F.col("of_size"))
+    part = F.filter("parts", lambda x: (x.start <= F.col("nth")) & (F.col("nth") < x.stop))[0]
+    ranked = ranked.withColumn("part", part)
+    place = F.expr("part.cycle[CAST((nth - part.start) % size(part.cycle) AS INT)]")
+    return ranked.select("key", "group", place.alias("place"))
+
+
+def _placed(groups: DataFrame, sizes: Sizes, mode: str, n: int, seed: int) -> DataFrame:
+    if mode == "greedy_desc":
+        every = [(name, k) for name, k in (("train", sizes.train), ("valid", sizes.valid), ("test", sizes.test)) if k > 0]
+        return _placed_by_size(groups, [k for _, k in every], [name for name, _ in every], "string")
     if groups.count() > MAX_GROUPS:
         raise ScalabilityError(f"more than {MAX_GROUPS} groups")
     key_type = groups.schema["key"].dataType.simpleString()
     table = groups.withColumn("order", hash_key(seed, "group.assign", 0, "first"))
     # One row per group, not per record.
-    return table.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, f"key {key_type}, group long, place {place_type}")
+    return table.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fold(sizes, mode), f"key {key_type}, group long, place string")
 
 
 def assign_groups(df: DataFrame, id_col: str, key: Column, mode: str = "greedy_desc", seed: int = 0, check: bool = True, **sizes) -> DataFrame:
@@ -72,7 +113,7 @@ def assign_groups(df: DataFrame, id_col: str, key: Column, mode: str = "greedy_d
     n = df.count()
     if check:
         check_groups(groups, n, "group assignment")
-    placed = _placed(groups, _fold(resolve_sizes(n, **sizes), 0, mode, n), "string", seed)
+    placed = _placed(groups, resolve_sizes(n, **sizes), mode, n, seed)
     return rows.join(placed, rows["key"].eqNullSafe(placed["key"])).select("id", F.col("place").alias("partition"), "group")
 
 
@@ -81,10 +122,16 @@ def assign_folds(df: DataFrame, id_col: str, key: Column, n_splits: int = 5, aut
     rows, groups = group_table(df, id_col, key)
     n_groups = groups.count()
     if auto:
-        n_splits = n_groups
+        # Each group is a fold of its own, the largest first.
+        ranked = value_rank_within(groups, "size", "first", "nth", "n_of_size")
+        larger = W.orderBy(F.col("size").desc()).rowsBetween(W.unboundedPreceding, -1)
+        # One row per distinct size.
+        before = groups.groupBy("size").count().select("size", F.coalesce(F.sum("count").over(larger), F.lit(0)).alias("before"))
+        placed = ranked.join(before, "size").select("key", "group", (F.col("before") + F.col("nth")).cast("int").alias("place"))
+        return rows.join(placed, rows["key"].eqNullSafe(placed["key"])).select("id", F.col("place").alias("fold"), "group")
     if n_groups < n_splits:
         raise ConstraintError(f"{n_groups} groups for {n_splits} folds")
-    placed = _placed(groups, _fold(None, n_splits, "greedy_desc", df.count()), "int", 0)
+    placed = _placed_by_size(groups, [df.count() / n_splits] * n_splits, list(range(n_splits)), "int")
     return rows.join(placed, rows["key"].eqNullSafe(placed["key"])).select("id", F.col("place").alias("fold"), "group")
 
 

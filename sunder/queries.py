@@ -11,8 +11,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sunder.functions.hashing import hash_key_sql
-from sunder.operators import audit, baseline, lineage, pairs, property as prop, protocol, similarity as sim
-from sunder.plans.distance import scaled_vectors, token_edges, vector_edges
+from sunder.operators import audit, baseline, lineage, pairs, property as prop, protocol, similarity as sim, structure
+from sunder.plans.distance import scaled_vectors, token_edges, token_links, vector_edges
 from sunder.plans.groups import assign_groups
 
 QUERIES: dict = {}
@@ -151,10 +151,38 @@ def _(spark, sf):
     return sim.component_split(orders.select(F.col("o_orderkey").alias("id")), sim.shared_key_edges(orders, "o_orderkey", "keys"), check=False)
 
 
-@query("substructure", """SELECT p_partkey AS id, CASE WHEN p_type LIKE '%A%' OR p_size < 10 THEN 'test' ELSE 'train' END AS partition FROM part""")
+_MATCH = "coalesce(p_type LIKE '%A%' OR p_size < 10, FALSE)"
+
+
+@query("substructure", f"""WITH m AS (SELECT p_partkey AS id, {_MATCH} AS hit, count(*) OVER () AS n, row_number() OVER (PARTITION BY {_MATCH} ORDER BY {hash_key_sql(0, 'substructure.valid', 0, 'p_partkey')}, p_partkey) - 1 AS pos FROM part)
+SELECT id, CASE WHEN hit THEN 'test' WHEN pos < CAST(floor(0.1 * n + 0.5) AS BIGINT) THEN 'valid' ELSE 'train' END AS partition FROM m""")
+def _(spark, sf):
+    return structure.substructure(_t(spark, sf, "part"), "p_partkey", [F.col("p_type").like("%A%"), F.col("p_size") < 10], train=None, valid=0.1, test=0.2)
+
+
+@query("substructure_all", """SELECT p_partkey AS id, CASE WHEN p_type LIKE '%A%' AND p_size < 10 THEN 'train' ELSE 'test' END AS partition FROM part""")
+def _(spark, sf):
+    return structure.substructure(_t(spark, sf, "part"), "p_partkey", [F.col("p_type").like("%A%"), F.col("p_size") < 10], "all", "train")
+
+
+@query("ring_system_all_shared", greedy_sql("SELECT p_partkey AS id, p_name AS key FROM part"))
+def _(spark, sf):
+    part = _t(spark, sf, "part").select("p_partkey", F.array("p_name", "p_name").alias("keys"))
+    return assign_groups(part, "p_partkey", structure.key_set("keys"), check=False)
+
+
+@query("scaffold_empty_discard", f"""SELECT * FROM ({greedy_sql("SELECT p_partkey AS id, p_type AS key FROM part WHERE p_type NOT LIKE '%A%'")})
+UNION ALL SELECT p_partkey, 'discard', NULL FROM part WHERE p_type LIKE '%A%'""")
 def _(spark, sf):
-    hit = F.col("p_type").like("%A%") | (F.col("p_size") < 10)
-    return _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(hit, "test").otherwise("train").alias("partition"))
+    part = _t(spark, sf, "part").withColumn("key", F.when(~F.col("p_type").like("%A%"), F.col("p_type")))
+    return structure.scaffold_split(part, "p_partkey", "key", "discard", check=False)
+
+
+@query("matched_molecular_series_boundary", f"""WITH s AS ({greedy_sql("SELECT o_orderkey AS id, o_orderdate AS key FROM orders")}), c AS (SELECT s.*, concat(CAST(o_custkey AS VARCHAR), '/', o_orderpriority) AS k FROM s JOIN orders ON o_orderkey = id)
+SELECT id, CASE WHEN partition = 'test' AND k IN (SELECT k FROM c WHERE partition = 'train') THEN 'discard' ELSE partition END AS partition FROM c""")
+def _(spark, sf):
+    orders = _t(spark, sf, "orders").withColumn("contexts", F.array(F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderpriority")))
+    return structure.discard_boundary(assign_groups(orders, "o_orderkey", F.col("o_orderdate"), check=False), orders, "o_orderkey", "contexts")
 
 
 _WORDS = "list_distinct(string_split(text, ' '))"
@@ -175,19 +203,32 @@ def _(spark, sf):
 @query("similarity_threshold", greedy_sql(components_sql(f"SELECT a, b FROM ({_TOKEN_EDGES})", "SELECT doc_id AS id FROM documents")))
 def _(spark, sf):
     docs = _documents(spark, sf)
-    return sim.component_split(docs.select(F.col("doc_id").alias("id")), token_edges(docs, "doc_id", "words", 8, 10), check=False)
+    return sim.component_split(docs.select(F.col("doc_id").alias("id")), token_links(docs, "doc_id", "words", 8, 10), check=False)
+
+
+_CLIFFS = f"""e AS ({_TOKEN_EDGES}), cl AS (SELECT a, b FROM e JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE greatest(x.n_chars, y.n_chars) / least(x.n_chars, y.n_chars) >= 1.02 - 1e-9),
+  cn AS (SELECT a AS id FROM cl UNION SELECT b FROM cl)"""
+
+
+@query("activity_cliff", f"""WITH {_CLIFFS}, ck AS ({components_sql("SELECT a, b FROM cl", "SELECT id FROM cn")}),
+u AS (SELECT key, count(*) AS size FROM ck GROUP BY key), us AS (SELECT *, sum(size) OVER (ORDER BY size DESC, key) - size AS start FROM u),
+k AS (SELECT count(*) AS n, (SELECT count(*) FROM cn) AS c FROM documents),
+rest AS (SELECT doc_id AS id, row_number() OVER (ORDER BY {hash_key_sql(0, 'cliff.assign', 0, 'doc_id')}, doc_id) - 1 + (SELECT c FROM k) AS start FROM documents WHERE doc_id NOT IN (SELECT id FROM cn)),
+p AS (SELECT id, start FROM ck JOIN us USING (key) UNION ALL SELECT * FROM rest),
+t AS (SELECT greatest((SELECT max(start + size) FROM us, k WHERE start < {N_TEST}), (SELECT {N_TEST} FROM k)) AS t)
+SELECT id, CASE WHEN start < t THEN 'test' ELSE 'train' END AS partition FROM p, t""")
+def _(spark, sf):
+    docs = _documents(spark, sf)
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("y"))
+    return structure.activity_cliff(rows, token_edges(docs, "doc_id", "words", 8, 10), fold_change=1.02, scale="linear")
 
 
-@query("activity_cliff", f"""WITH e AS ({_TOKEN_EDGES}), cl AS (
-  SELECT a, b FROM e JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE abs(x.n_chars - y.n_chars) >= 20)
-SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT a FROM cl UNION SELECT b FROM cl) THEN 'test' ELSE 'train' END AS partition FROM documents""")
+@query("activity_cliff_balanced", f"""WITH {_CLIFFS}, ck AS ({components_sql("SELECT a, b FROM cl", "SELECT id FROM cn")}), g0 AS ({greedy_sql("SELECT id, key FROM ck UNION ALL SELECT doc_id, doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM cn)")})
+SELECT id, partition FROM g0""")
 def _(spark, sf):
     docs = _documents(spark, sf)
-    y = docs.select("doc_id", F.col("n_chars").alias("y"))
-    edges = token_edges(docs, "doc_id", "words", 8, 10)
-    gap = edges.join(y.toDF("a", "ya"), "a").join(y.toDF("b", "yb"), "b").where(F.abs(F.col("ya") - F.col("yb")) >= 20)
-    cliff = gap.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("cliff", F.lit(True))
-    return docs.select(F.col("doc_id").alias("id")).join(cliff, "id", "left").select("id", F.when(F.col("cliff"), "test").otherwise("train").alias("partition"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("y"))
+    return structure.activity_cliff(rows, token_edges(docs, "doc_id", "words", 8, 10), fold_change=1.02, scale="linear", target="balanced")
 
 
 # --- property -------------------------------------------------------------------------------
@@ -233,6 +274,17 @@ def _(spark, sf):
     return prop.stratified_distribution(_t(spark, sf, "orders"), "o_orderkey", "o_totalprice")
 
 
+_TRIALS = f"""t AS (SELECT o_orderkey AS id, o_totalprice AS v, k, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY {hash_key_sql(0, 'stratdist.trial', 'k', 'o_orderkey')}, o_orderkey) - 1 AS pos FROM orders CROSS JOIN range(8) AS r(k)),
+p AS (SELECT id, v, k, CASE WHEN pos < n - {N_TEST} THEN 'train' ELSE 'test' END AS partition FROM t)"""
+_MOMENTS = "(SELECT k, round((abs(avg(v) FILTER (partition = 'test') - avg(v) FILTER (partition = 'train')) + abs(stddev_pop(v) FILTER (partition = 'test') - stddev_pop(v) FILTER (partition = 'train'))) / (SELECT stddev_pop(o_totalprice) FROM orders), 12) AS loss FROM p GROUP BY k)"
+_KS = """(SELECT k, round(max(abs(x - y)), 12) AS loss FROM (SELECT k, sum(a) OVER w / sum(a) OVER (PARTITION BY k) AS x, sum(b) OVER w / sum(b) OVER (PARTITION BY k) AS y
+  FROM (SELECT k, v, CAST(count(*) FILTER (partition = 'train') AS DOUBLE) AS a, CAST(count(*) FILTER (partition = 'test') AS DOUBLE) AS b FROM p GROUP BY k, v) WINDOW w AS (PARTITION BY k ORDER BY v ROWS UNBOUNDED PRECEDING)) GROUP BY k)"""
+for _method, _loss in (("moments", _MOMENTS), ("ks", _KS)):
+    query(f"stratified_distribution_{_method}", f"WITH {_TRIALS} SELECT id, partition FROM p WHERE k = (SELECT k FROM {_loss} ORDER BY loss, k LIMIT 1)")(
+        partial(lambda m, spark, sf: prop.stratified_distribution(_t(spark, sf, "orders"), "o_orderkey", "o_totalprice", method=m, n_trials=8), _method)
+    )
+
+
 # --- lineage --------------------------------------------------------------------------------
 
 
@@ -261,7 +313,18 @@ SELECT id, k AS "window", CASE WHEN d >= s AND (d < e OR (k = 2 AND d <= e)) THE
 
 @query("deposition_date", "SELECT o_orderkey AS id, CASE WHEN CAST(o_orderdate AS DATE) <= DATE '2000-01-01' THEN 'train' ELSE 'test' END AS partition FROM orders")
 def _(spark, sf):
-    return lineage.temporal(_t(spark, sf, "orders"), "o_orderkey", "o_orderdate", cut_date="2000-01-01")
+    return lineage.deposition_date(_t(spark, sf, "orders"), "o_orderkey", "o_orderdate", "2000-01-01")
+
+
+@query("deposition_date_pruned", """WITH p AS (SELECT doc_id AS id, text, CASE WHEN doc_id <= 400 THEN 'train' ELSE 'test' END AS partition FROM documents),
+s AS (SELECT id, partition, unnest(list_distinct(string_split(text, ' '))) AS w FROM p), c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+i AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.w = y.w WHERE x.partition = 'train' AND y.partition = 'test' GROUP BY ALL),
+gone AS (SELECT DISTINCT a AS id FROM i JOIN c p ON p.id = a JOIN c q ON q.id = b WHERE k * 10 >= 8 * (p.n + q.n - k))
+SELECT id, CASE WHEN id IN (SELECT id FROM gone) THEN 'discard' ELSE partition END AS partition FROM p""")
+def _(spark, sf):
+    # A day for each document, in the order of the ids.
+    docs = _documents(spark, sf).withColumn("day", F.date_add(F.lit("2000-01-01").cast("date"), F.col("doc_id").cast("int")))
+    return lineage.deposition_date(docs, "doc_id", "day", "2001-02-04", token_edges(docs, "doc_id", "words", 8, 10))
 
 
 @query("fidelity", f"""WITH c AS (SELECT *, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS l, count(*) OVER () AS n FROM orders),
@@ -450,6 +513,13 @@ def _(spark, sf):
     return protocol.applicability_domain(_vectors(spark, sf), baseline.random_split(_t(spark, sf, "embeddings"), "vec_id"))
 
 
+@query("applicability_splits", f"""WITH {_NN}, b AS (SELECT id, CAST(ntile(5) OVER (ORDER BY d, id) - 1 AS INTEGER) AS band FROM nn)
+SELECT sp.id, CAST(k AS INTEGER) AS band, CASE WHEN partition = 'train' THEN 'train' WHEN b.band = k THEN 'test' ELSE 'discard' END AS partition
+FROM sp CROSS JOIN range(5) AS r(k) LEFT JOIN b ON b.id = sp.id""")
+def _(spark, sf):
+    return protocol.applicability_splits(_vectors(spark, sf), baseline.random_split(_t(spark, sf, "embeddings"), "vec_id"))
+
+
 for _name, _f in (("max_min", partial(sim.max_min, init="kennard_stone")), ("duplex", sim.duplex), ("max_dissimilarity", sim.max_dissimilarity)):
     query(_name)(partial(lambda f, spark, sf: f(_vectors(spark, sf)), _f))
 
@@ -621,10 +691,28 @@ def _(spark, sf):
 from sunder.operators import embedding as emb, task  # noqa: E402
 
 
-@query("hi", ORACLE_SQL["similarity_threshold"])
+#: Squared distances below which vectors are one coarse cluster, or too similar to be apart.
+COARSE, APART = 1_300_000.0, 1_400_000.0
+
+
+def _hi_sql() -> str:
+    edges = lambda cut: _VEDGES.replace(str(NEAR), str(cut))
+    clusters = _mis_sql("len(adj) DESC, id").replace(_VEDGES, edges(COARSE))
+    across = f"WITH c AS ({clusters}), e AS ({edges(APART)}) SELECT x.key AS a, y.key AS b FROM e JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.key <> y.key"
+    merged = components_sql(across, f"SELECT DISTINCT key AS id FROM ({clusters})")
+    return greedy_sql(f"SELECT c.id, m.key FROM ({clusters}) c JOIN ({merged}) m ON m.id = c.key")
+
+
+@query("hi", _hi_sql())
 def _(spark, sf):
-    docs = _documents(spark, sf)
-    return task.hi(docs.select(F.col("doc_id").alias("id")), token_edges(docs, "doc_id", "words", 8, 10))
+    rows = _vectors(spark, sf)
+    return task.hi(rows, vector_edges(rows, APART), vector_edges(rows, COARSE))
+
+
+@query("hi_search")
+def _(spark, sf):
+    rows = _vectors(spark, sf)
+    return task.hi(rows, vector_edges(rows, APART), vector_edges(rows, COARSE), "search")
 
 
 def _labels(spark, sf, cut: int | None = None):

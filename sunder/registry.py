@@ -1,4 +1,9 @@
-"""The operators by id: family, strictness, whether they form groups, and what runs them."""
+"""The operators by id: family, strictness, whether they form groups, what they take, and one way to run them.
+
+``split`` runs any operator that splits one table, whatever it works on, and holds
+its result to the contract.  ``splitter`` gives the same as a function of a table, as
+the protocols take them.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,14 @@ import difflib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from sunder.errors import UnknownOperatorError
-from sunder.operators import baseline, embedding, lineage, pairs, property as prop, protocol, similarity as sim, task
+from pyspark.sql import DataFrame, functions as F
+
+from sunder import contract
+from sunder.errors import ConfigurationError, ParameterError, UnknownOperatorError
+from sunder.functions.sizes import resolve_sizes
+from sunder.operators import baseline, embedding, lineage, pairs, property as prop, protocol, similarity as sim, structure, task
 from sunder.plans import groups
+from sunder.plans.distance import scaled_vectors, token_links, vector_edges
 
 
 @dataclass(frozen=True)
@@ -19,6 +29,9 @@ class Operator:
     run: Callable
     groups: bool = False
     seeded: bool = True
+    #: frame (a table, its id and columns), key, keys, vectors, clusters (of vectors), near (clusters by pairs of vectors),
+    #: tokens, pair (two keys), or "" for what is composed in Python.
+    takes: str = ""
 
 
 def _table() -> dict[str, Operator]:
@@ -29,9 +42,9 @@ def _table() -> dict[str, Operator]:
         ("k_fold", "baseline", "optimistic", baseline.k_fold), ("monte_carlo", "baseline", "optimistic", baseline.monte_carlo),
         ("predefined", "baseline", "moderate", baseline.predefined),
         # keys: the key is a column expression of the caller
-        ("murcko_scaffold", "scaffold", "moderate", g), ("generic_scaffold", "scaffold", "strict", g), ("scaffold_tree", "scaffold", "strict", g),
-        ("ring_system", "scaffold", "moderate", sim.component_split), ("substructure", "scaffold", "extrapolative", baseline.predefined),
-        ("matched_molecular_series", "scaffold", "strict", sim.component_split), ("activity_cliff", "scaffold", "extrapolative", sim.component_split),
+        ("murcko_scaffold", "scaffold", "moderate", structure.scaffold_split), ("generic_scaffold", "scaffold", "strict", g), ("scaffold_tree", "scaffold", "strict", g),
+        ("ring_system", "scaffold", "moderate", sim.component_split), ("substructure", "scaffold", "extrapolative", structure.substructure),
+        ("matched_molecular_series", "scaffold", "strict", sim.component_split), ("activity_cliff", "scaffold", "extrapolative", structure.activity_cliff),
         # property
         ("property", "property", "strict", prop.property_split), ("label_extrapolation", "property", "extrapolative", prop.label_extrapolation),
         ("distinct_label", "property", "optimistic", prop.distinct_label), ("stratified_distribution", "property", "optimistic", prop.stratified_distribution),
@@ -57,7 +70,7 @@ def _table() -> dict[str, Operator]:
         ("self_organizing_map", "embedding", "strict", embedding.som_keys), ("latent_space", "embedding", "strict", embedding.latent_space),
         # sequences and complexes
         ("sequence_identity", "biomolecular", "strict", sim.component_split), ("protein_family", "biomolecular", "strict", g),
-        ("binding_site", "biomolecular", "strict", sim.butina_keys), ("deposition_date", "biomolecular", "strict", lineage.temporal),
+        ("binding_site", "biomolecular", "strict", sim.butina_keys), ("deposition_date", "biomolecular", "strict", lineage.deposition_date),
         ("complex_joint", "biomolecular", "extrapolative", pairs.assign_pairs),
         # protocol
         ("group_k_fold", "protocol", "moderate", protocol.group_k_fold), ("three_way", "protocol", "moderate", protocol.three_way),
@@ -65,8 +78,16 @@ def _table() -> dict[str, Operator]:
         ("external_holdout", "protocol", "moderate", protocol.external_holdout), ("applicability_domain", "protocol", "moderate", protocol.applicability_domain),
         ("intersection", "protocol", "strict", protocol.intersection),
     ]
-    forming = {g, sim.component_split, sim.butina_keys, sim.sphere_keys, sim.density_keys, embedding.k_means_keys, embedding.spectral_keys, embedding.opti_sim, embedding.som_keys, embedding.umap_keys, lineage.source_split, task.hi, pairs.cold_entity}
-    return {i: Operator(i, family, strict, run, run in forming) for i, family, strict, run in rows}
+    forming = {g, structure.scaffold_split, sim.component_split, sim.butina_keys, sim.sphere_keys, sim.density_keys, embedding.k_means_keys, embedding.spectral_keys, embedding.opti_sim, embedding.som_keys, embedding.umap_keys, lineage.source_split, task.hi, pairs.cold_entity}
+    takes = {
+        "frame": "random stratified_random k_fold monte_carlo predefined property label_extrapolation distinct_label stratified_distribution temporal source fidelity party cold_drug cold_target group_k_fold murcko_scaffold deposition_date",
+        "key": "generic_scaffold scaffold_tree protein_family", "keys": "ring_system matched_molecular_series",
+        "vectors": "max_min minimal_test_set_dissimilarity support_points duplex d_optimal max_dissimilarity perimeter projection latent_space",
+        "clusters": "k_means_cluster opti_sim spectral self_organizing_map umap_cluster", "near": "butina sphere_exclusion density_cluster binding_site",
+        "tokens": "similarity_threshold", "pair": "cold_pair complex_joint",
+    }
+    of = {name: kind for kind, names in takes.items() for name in names.split()}
+    return {i: Operator(i, family, strict, run, run in forming, takes=of.get(i, "")) for i, family, strict, run in rows}
 
 
 OPERATORS = _table()
@@ -82,7 +103,69 @@ def get(name: str) -> Operator:
     return found
 
 
+def _columns(columns) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns or [])
+
+
+SIZES = ("train", "valid", "test")
+SEVERAL = ("fold", "repeat", "window", "held_out", "band")
+
+
+def split(name: str, df: DataFrame, id_col: str, columns=(), cutoff: float | None = None, share: tuple[int, int] = (8, 10), scale: int = 1024, check: bool = True, **params) -> DataFrame:
+    """``id, partition`` (and ``group``, or the column that numbers several splits) of a table by any operator that takes one.
+
+    ``columns``: what the operator reads beside the id: labels, dates, keys (as expressions), an array of keys, tokens or
+    components.  ``cutoff``: squared distance of near vectors, in units of 1 / ``scale``; ``share``: least Jaccard similarity of tokens.
+    """
+    op, columns = get(name), _columns(columns)
+    if not op.takes:
+        raise ParameterError(f"{op.id} works on more than one table: call it from Python")
+    if op.takes not in ("frame", "pair") and len(columns) != 1:
+        raise ConfigurationError(f"{op.id} reads one column")
+    sizes = {k: params[k] for k in SIZES if k in params}
+    ids = df.select(F.col(id_col).alias("id"))
+    grouped = lambda keys: groups.assign_groups(keys, "id", F.col("key"), check=False, **sizes)
+    own = {k: v for k, v in params.items() if k not in SIZES}
+    if op.takes == "frame":
+        out = op.run(df, id_col, *columns, **params)
+    elif op.takes == "key":
+        out = op.run(df, id_col, F.expr(columns[0]), **params)
+    elif op.takes == "keys":
+        out = sim.component_split(ids, sim.shared_key_edges(df, id_col, columns[0]), **params)
+    elif op.takes == "pair":
+        if len(columns) != 2:
+            raise ConfigurationError(f"{op.id} reads two columns")
+        out = op.run(df, id_col, F.expr(columns[0]), F.expr(columns[1]), **params)
+    elif op.takes == "tokens":
+        out = sim.component_split(ids, token_links(df, id_col, columns[0], *share), **params)
+    else:
+        vectors = scaled_vectors(df, id_col, columns[0], scale)
+        if op.takes == "vectors":
+            out = op.run(vectors, **params)
+            out = out if "partition" in out.columns else grouped(out)
+        elif op.takes == "clusters":
+            out = grouped(op.run(vectors, **own))
+        else:
+            if cutoff is None:
+                raise ConfigurationError(f"{op.id} takes a cutoff")
+            out = grouped(op.run(vectors, vector_edges(vectors, cutoff), **own))
+    if check and "partition" in out.columns and not set(SEVERAL) & set(out.columns):
+        n = df.count()
+        wanted = resolve_sizes(n, **sizes)
+        contract.assert_split(out, n, 0.05, {k: getattr(wanted, k) for k in SIZES})
+    return out
+
+
+def splitter(name: str, id_col: str, columns=(), **params) -> Callable[[DataFrame], DataFrame]:
+    """An operator as a function of a table; with a second argument, that is its seed."""
+
+    def run(df: DataFrame, seed: int | None = None) -> DataFrame:
+        return split(name, df, id_col, columns, check=False, **(params if seed is None else params | {"seed": seed}))
+
+    return run
+
+
 def table(spark, family: str | None = None, strictness: str | None = None):
     """The operators as a DataFrame."""
-    rows = [(o.id, o.family, o.strictness, o.groups) for o in OPERATORS.values() if family in (None, o.family) and strictness in (None, o.strictness)]
-    return spark.createDataFrame(rows, "id string, family string, strictness string, forms_groups boolean")
+    rows = [(o.id, o.family, o.strictness, o.groups, o.seeded, o.takes or "tables", (o.run.__doc__ or "").strip().split("\n")[0]) for o in OPERATORS.values() if family in (None, o.family) and strictness in (None, o.strictness)]
+    return spark.createDataFrame(rows, "id string, family string, strictness string, forms_groups boolean, seeded boolean, takes string, gives string")

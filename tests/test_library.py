@@ -1,5 +1,6 @@
 """Contracts, arithmetic, invariance, hand-made expectations and SQL twins of the library."""
 
+import hashlib
 import inspect
 import itertools
 import math
@@ -14,16 +15,17 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from sunder import cli, contract, queries, registry
-from sunder.errors import ConfigurationError, ConvergenceWarning, DegenerateGroupingError, EmptyPartitionError, InputError, MissingDependencyError, ScalabilityError, UnknownOperatorError
+from sunder.errors import ConfigurationError, ConstraintError, ConvergenceWarning, DegenerateGroupingError, EmptyPartitionError, InputError, MissingDependencyError, ParameterError, ScalabilityError, UnknownOperatorError
 from sunder.functions import features
 from sunder.functions.sizes import floor_round, resolve_sizes
-from sunder.operators import audit, baseline, embedding, lineage, pairs, property as prop, similarity as sim, task
+from sunder.operators import audit, baseline, embedding, lineage, pairs, property as prop, similarity as sim, structure, task
 from sunder.plans.components import connected_components
-from sunder.plans.distance import nearest, token_edges, vector_edges
-from sunder.plans.groups import assign_folds, assign_groups
+from sunder.plans.distance import nearest, token_edges, token_links, vector_edges
+from sunder.plans.groups import assign_folds, assign_groups, segments
 from sunder.plans.independent import centres
 from sunder.plans.kernels import balance, iterative_stratification
 from sunder.plans.layout import curve, fuzzy_graph, nearest_rows, umap_layout, ward_labels
+from sunder.plans.rank import hash_rank_within, value_rank
 from sunder.plans.scratch import Scratch
 from sunder.queries import ORACLE_SQL, QUERIES
 from sunder.sources import tables
@@ -292,6 +294,147 @@ def test_stream_equals_batch(spark, tmp_path):
     assert 20 < both(batch).where("p = 'test'").count() < 60
 
 
+def sequential_places(sizes, rooms):
+    """Each group in turn to the place with most room, the first of equals."""
+    rooms, out = list(rooms), []
+    for m in sizes:
+        at = max(range(len(rooms)), key=lambda b: (rooms[b], -b))
+        rooms[at] -= m
+        out.append(at)
+    return out, rooms
+
+
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=5), st.lists(st.integers(0, 300), min_size=2, max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_places_by_size_equal_the_sequential_fold(sizes, rooms):
+    for size in sizes:
+        for m in (1, 2, 7, 40):
+            parts, left = segments(rooms, size, m)
+            want, after = sequential_places([size] * m, rooms)
+            got = [cycle[(k - start) % len(cycle)] for start, stop, cycle in parts for k in range(start, stop)]
+            assert got == want and left == after and len(parts) <= 6 * len(rooms) + 6
+
+
+def test_group_placement_equals_the_sequential_fold(spark):
+    r = random.Random(3)
+    rows = [(k, r.choice([f"big{r.randint(0, 3)}", f"mid{r.randint(0, 30)}", f"one{k}"])) for k in range(700)]
+    df = spark.createDataFrame(rows, "id long, k string").repartition(5)
+    size, first = {}, {}
+    for i, k in rows:
+        size[k], first[k] = size.get(k, 0) + 1, min(first.get(k, i), i)
+    order = sorted(size, key=lambda k: (-size[k], first[k]))
+    s = resolve_sizes(700, None, 0.1, 0.2)
+    places, _ = sequential_places([size[k] for k in order], [s.train, s.valid, s.test])
+    want = {k: ("train", "valid", "test")[p] for k, p in zip(order, places, strict=True)}
+    got = {x.id: x.partition for x in assign_groups(df, "id", F.col("k"), train=None, valid=0.1, test=0.2).collect()}
+    assert got == {i: want[k] for i, k in rows}
+    places, _ = sequential_places([size[k] for k in order], [700 / 7] * 7)
+    folds = dict(zip(order, places, strict=True))
+    assert {x.id: x.fold for x in assign_folds(df, "id", F.col("k"), 7).collect()} == {i: folds[k] for i, k in rows}
+    rank = {k: n for n, k in enumerate(order)}
+    assert {x.id: x.fold for x in assign_folds(df, "id", F.col("k"), auto=True).collect()} == {i: rank[k] for i, k in rows}
+
+
+def test_ranks_of_common_values(spark):
+    """A value that most rows share is cut by the id; ranks are exact all the same."""
+    r = random.Random(1)
+    rows = [(k, 5.0 if r.random() < 0.7 else r.choice([1.0, 2.0, float(r.randint(0, 9))]), f"s{min(2, r.randint(0, 9))}") for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, v double, s string").repartition(6)
+    for down in (False, True):
+        want = {i: n for n, (i, *_) in enumerate(sorted(rows, key=lambda x: (-x[1] if down else x[1], x[0])))}
+        assert {x.id: x.pos for x in value_rank(df, F.col("v"), "id", descending=down).collect()} == want
+    out = hash_rank_within(df, "s", F.md5(F.col("id").cast("string")), "id").collect()
+    by = {}
+    for x in out:
+        by.setdefault(x.s, []).append(x)
+    for stratum in by.values():
+        assert [x.pos for x in sorted(stratum, key=lambda x: hashlib.md5(str(x.id).encode()).hexdigest())] == list(range(len(stratum)))
+        assert {x.size for x in stratum} == {len(stratum)}
+
+
+def test_valid_is_honoured_by_the_pickers(spark):
+    r = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in r.normal(size=3)], float(k % 7)) for k in range(100)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>, y double")
+    sizes = {"train": 0.7, "valid": 0.1, "test": 0.2}
+    for f in (
+        lambda: sim.max_min(vectors, **sizes), lambda: sim.max_min(vectors, picked_goes_to="test", swap_fraction=0.3, **sizes), lambda: sim.spxy(vectors, **sizes), lambda: sim.perimeter_pairs(vectors, **sizes),
+        lambda: sim.perimeter_outliers(vectors, **sizes), lambda: sim.minimal_test_dissimilarity(vectors, vectors, **sizes), lambda: embedding.d_optimal(vectors, n_components=2, **sizes),
+        lambda: embedding.support_points(vectors, iterations=5, **sizes), lambda: sim.duplex(vectors, **sizes), lambda: sim.max_dissimilarity(vectors, **sizes),
+    ):
+        counts = {x.partition: x["count"] for x in f().groupBy("partition").count().collect()}
+        assert counts == {"train": 70, "valid": 10, "test": 20}
+    grown = {x.partition: x["count"] for x in sim.seeded_growth(vectors, 0.3, **sizes).groupBy("partition").count().collect()}
+    assert grown["test"] == 20 and grown["valid"] == 10
+
+
+def test_token_edges_of_equal_sets(spark):
+    """Copies, empty sets and ties: pairs and links agree with brute force."""
+    r = random.Random(4)
+    sets = [r.sample("abcdefghij", r.randint(0, 6)) for _ in range(60)]
+    sets += [list(x) for x in sets[:15]] * 2
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, t array<string>").repartition(3)
+    want = set()
+    for (i, x), (j, y) in itertools.combinations(enumerate(map(set, sets)), 2):
+        if x and y and len(x & y) * 10 >= 7 * len(x | y):
+            want.add((i, j, len(x & y), len(x), len(y)))
+    assert {tuple(x) for x in token_edges(df, "id", "t", 7, 10).collect()} == want
+    ids = df.select("id")
+    assert sorted(sim.component_keys(ids, token_links(df, "id", "t", 7, 10)).collect()) == sorted(sim.component_keys(ids, token_edges(df, "id", "t", 7, 10)).collect())
+
+
+def test_vector_edges_meet_only_near_blocks(spark, monkeypatch):
+    from sunder.plans import distance
+
+    monkeypatch.setattr(distance, "BLOCK", 16)
+    r = np.random.default_rng(5)
+    x = np.concatenate((r.normal(size=(60, 3)), r.normal(size=(60, 3)) + 40, np.zeros((5, 3))))
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "id long, v array<double>")
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= 1.0}
+    assert {(e.a, e.b) for e in vector_edges(df, 1.0).collect()} == want
+    assert vector_edges(df.limit(0), 1.0).collect() == []
+
+
+def test_registry_runs_operators_alike(spark):
+    docs = spark.createDataFrame([(k, f"k{k % 12}", [float(k % 5), float(k % 3), 1.0], ["a", f"w{k % 9}"], float(k)) for k in range(120)], "id long, k string, v array<double>, t array<string>, y double")
+    for name, columns, more in (
+        ("random", (), {}), ("stratified_random", "k", {}), ("property", "y", {}), ("protein_family", "k", {}), ("murcko_scaffold", "k", {}), ("similarity_threshold", "t", {}),
+        ("max_min", "v", {}), ("butina", "v", {"cutoff": 1000.0}), ("k_means_cluster", "v", {}), ("cold_pair", ("k", "t[1]"), {}), ("source", "k", {}), ("opti_sim", "v", {"radius": 10.0, "n_picks": 6}),
+    ):
+        out = registry.split(name, docs, "id", columns, train=None, valid=0.0, test=0.25, **more)
+        assert out.count() == 120 and {"train", "test"} <= {x.partition for x in out.select("partition").distinct().collect()}, name
+    inner = registry.splitter("random", "id", test=0.5)
+    from sunder.operators import protocol
+
+    three = protocol.three_way(docs, "id", registry.splitter("protein_family", "id", "k"), inner)
+    assert {x.partition for x in three.select("partition").distinct().collect()} == {"train", "valid", "test"}
+    assert registry.splitter("random", "id")(docs, 3).collect() != registry.splitter("random", "id")(docs, 4).collect()
+    for bad in (("hi", ()), ("butina", "v"), ("protein_family", ())):
+        with pytest.raises(ParameterError):
+            registry.split(bad[0], docs, "id", bad[1])
+    assert registry.table(spark).where("takes = 'frame'").count() > 10
+
+
+def test_structure_operators_refuse(spark):
+    rows = spark.createDataFrame([(k, float(k + 1), "" if k % 2 else "s") for k in range(20)], "id long, y double, s string")
+    with pytest.raises(DegenerateGroupingError):
+        structure.substructure(rows, "id", [F.col("y") > 0])
+    none = rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    with pytest.raises(ConstraintError):
+        structure.activity_cliff(rows, none)
+    with pytest.raises(ConstraintError):
+        structure.scaffold_split(rows, "id", "s", "raise")
+    out = structure.scaffold_split(rows, "id", "s", "shared_group", check=False, test=0.5).collect()
+    assert len({x.group for x in out}) == 2
+    assert len({x.group for x in structure.scaffold_split(rows, "id", "s", "own_group", check=False).collect()}) == 11
+    # A unit that begins in test is whole there; valid comes next.
+    edges = spark.createDataFrame([(0, 9), (9, 19), (1, 15)], "a long, b long")
+    part = {x.id: x.partition for x in structure.activity_cliff(rows, edges, fold_change=2.0, scale="linear", train=None, valid=0.1, test=0.2).collect()}
+    assert {part[k] for k in (0, 9, 19, 1, 15)} == {"test"} and sorted(part.values()).count("valid") == 2
+    assert {x.partition for x in structure.activity_cliff(rows, edges, fold_change=2.0, scale="linear", keep_partners=False).collect()} == {"train", "test"}
+
+
 def test_cli(spark, tmp_path, capsys):
     path = str(tmp_path / "in.parquet")
     spark.range(40).withColumn("k", F.col("id") % 4).write.parquet(path)
