@@ -41,25 +41,44 @@ def test_quality_rules(spark):
     assert not out[9000].kept and out[9001].kept
 
 
-def line_judged(spark, line):
-    return spark.createDataFrame([(1, line)], "doc_id long, text string"), quality_rules
-
-
 @pytest.mark.parametrize(
-    "line, bad",
+    "text, bad",
     [
-        ("home | news | about | contact", True),
-        ("A plain sentence with words and an end.", False),
-        ("THIS IS ALL SHOUTED TEXT NOW", True),
-        ("Licensed under some terms.", True),
-        ("go go go go go go go go go go go go", True),
-        ("word*** word%%% word$$$", True),
-        ("", False),
+        ("home | news | about | contact", 1),
+        ("A plain sentence with words and an end.", 0),
+        ("THIS IS ALL SHOUTED TEXT NOW", 1),
+        ("Licensed under some terms.", 1),
+        ("go go go go go go go go go go go go", 1),
+        ("word*** word%%% word$$$", 1),
+        ("", 0),
+        ("He opened the door and then...", 1),
+        ("A long line that only pauses in the end, since it has far more words than any teaser ever would have had…", 0),
+        ("- Home page", 1),
+        ("- A whole sentence stands behind this bullet, and it ends as one.", 0),
+        ("• one two three\u3002", 0),
+        ("Home\nNews\n\nAbout us\nContact", 4),
+        ("Home\nNews\nAbout us", 0),
+        ("Yes.\nNo.\nWhy?\nSo.", 0),
+        ("Please enable JavaScript to go on.", 1),
+        ("JavaScript is a language in which many programs for pages are written, and this line says so at length.", 0),
+        ("See our Privacy Policy", 1),
+        ("The court found that the privacy policy of the firm was not what its users had been told in the years before.", 0),
+        ("Read more about it", 1),
+        ("Subscribe to the idea that long lines are whole sentences.", 0),
     ],
 )
-def test_line_rules(spark, line, bad):
-    r = quality_rules.line_first_quality(spark.createDataFrame([(1, line)], "doc_id long, text string")).first()
-    assert r.n_removed_lines == int(bad)
+def test_line_rules(spark, text, bad):
+    r = quality_rules.line_first_quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_removed_lines == bad
+
+
+def test_quality_rules_edges(spark):
+    assert quality_rules.line_first_quality(spark.createDataFrame([], DOCS), with_text=True).collect() == []
+    good = " ".join(f"w{k}" for k in range(60)) + "."
+    rows = [(1, good, "l", "s", 1), (1, good, "l", "s", 1), (None, good, None, None, None), (1, None, "l", "s", 1), (None, "", "l", "s", 1), (2, good[:-1] * 3000, "l", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 n_words", "2 kept", "3 carry")
+    out = quality_rules.line_first_quality(docs.repartition(3), carry=("lang",)).collect()
+    same([(r.doc_id, r.n_words, r.kept, r.carry.lang) for r in out], [(i, len(words(t)), t == good, x) for i, t, x, *_ in rows])
 
 
 def brute_components(rows, size=3, percent=90):

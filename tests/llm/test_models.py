@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -75,12 +76,13 @@ def test_encode_and_decode_frames(spark):
     assert spm.encode_texts(docs.limit(0)).collect() == []
 
 
-def brute_probability(word, prob):
-    """Sum over all segmentations."""
-    total = [1.0] + [0.0] * len(word)
+def brute_probability(word, prob, zero=0.0):
+    """Sum over all segmentations, in numbers of the kind of ``zero``."""
+    kind = type(zero)
+    total = [kind(1)] + [zero] * len(word)
     for e in range(1, len(word) + 1):
         for s in range(e):
-            p = prob.get(word[s:e], lid.FLOOR if e - s == 1 else 0.0)
+            p = prob.get(word[s:e], kind(lid.FLOOR) if e - s == 1 else zero)
             total[e] += total[s] * p
     return total[-1]
 
@@ -159,7 +161,8 @@ def brute_languages(rows, pieces, rounds=4, smoothing=0.05):
         if text is None or not any(c.isalpha() for c in text):
             out.append((i, held(i), "und", 0.0))
             continue
-        logs = {lang: sum(math.log(brute_probability("▁" + w, p)) for w in text.split()) for lang, p in sorted(probs.items())}
+        # Decimals do not underflow, however long the word.
+        logs = {lang: sum(float(brute_probability("▁" + w, {x: Decimal(v) for x, v in p.items()}, Decimal(0)).ln()) for w in text.split()) for lang, p in sorted(probs.items())}
         best = max(logs, key=logs.get)
         out.append((i, held(i), best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())))
     return out
@@ -211,6 +214,87 @@ def test_quality_classifier_on_held_out_labels(spark):
     assert abs(out["score"].mean() - good.mean()) < 0.03
 
 
+def brute_co_train(rows, labels, rounds=3, confidence=0.98, pseudo_weight=1.0):
+    """The same rounds over dictionaries of counts, a document at a time."""
+    import pyarrow as pa
+    from sunder.llm import textkernel as tk
+
+    raw, offsets = tk.buffers(pa.array([r["text"] for r in rows], pa.string()))
+    w = tk.words(raw, offsets, 0, len(rows))
+    shape = qc.text_features(raw, offsets, 0, len(rows), w)
+    bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in qc.content_bits(w, len(rows))]
+    view = {"t": [(list(s), [int(k) for k in np.flatnonzero(b)]) for s, b in zip(shape, bits, strict=True)], "m": [(list(r["m"]), []) for r in rows]}
+    y = [labels.get(r["doc_id"]) for r in rows]
+
+    def fit(weighted, v):
+        n, counts = [0.0, 0.0], [{}, {}]
+        for (bins, some), c, weight in weighted:
+            n[c] += weight
+            for f in bins:
+                counts[c][f] = counts[c].get(f, 0.0) + weight
+            for f in some:
+                counts[c][qc.SHAPE + f] = counts[c].get(qc.SHAPE + f, 0.0) + weight
+        out, at = {}, 0
+        for width in qc.WIDTHS[v]:
+            for f in range(at, at + width):
+                p = [(counts[c].get(f, 0.0) + 0.5) / (n[c] + 0.5 * width) for c in (0, 1)]
+                out[f] = math.log(p[1]) - math.log(p[0])
+            at += width
+        if v == "t":
+            for f in range(qc.SHAPE, qc.SHAPE + qc.CONTENT):
+                p = [(counts[c].get(f, 0.0) + 0.5) / (n[c] + 1) for c in (0, 1)]
+                out[f] = math.log(p[1]) - math.log(p[0])
+        return out
+
+    def raw_odds(weights, x):
+        bins, some = x
+        return sum(weights[f] for f in bins) + (qc.TEXT_FEATURES * sum(weights[qc.SHAPE + f] for f in some) / max(1, len(some)))
+
+    sure, odds = math.log(confidence / (1 - confidence)), None
+    for _ in range(rounds + 1):
+        new = {}
+        for v, other in (("t", "m"), ("m", "t")):
+            data = [(x, c, 1.0) for x, c, r in zip(view[v], y, rows, strict=True) if c is not None and r["fit"]]
+            for c in (0, 1):
+                extra = [] if odds is None else [x for x, z, o in zip(view[v], y, odds[other], strict=True) if z is None and (o >= sure if c else o <= -sure)]
+                if extra:
+                    weight = min(1.0, pseudo_weight * sum(d == c for _, d, _ in data) / len(extra))
+                    data += [(x, c, weight) for x in extra]
+            weights = fit(data, v)
+            hist = np.zeros((2, qc.HIST))
+            for x, c, r in zip(view[v], y, rows, strict=True):
+                if c is not None and not r["fit"]:
+                    hist[c, int(min(qc.HIST - 1, max(0, raw_odds(weights, x) / qc.STEP + qc.HIST / 2)))] += 1
+            own = qc.View(np.zeros(1))
+            own.calibrate(hist)
+            new[v] = [own.scale * raw_odds(weights, x) + own.shift for x in view[v]]
+            prior = math.log((hist[1].sum() + 1) / (hist[0].sum() + 1))
+        odds = new
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    return [(sigmoid(t), sigmoid(m), sigmoid(t + m - prior)) for t, m in zip(odds["t"], odds["m"], strict=True)]
+
+
+def test_quality_classifier_against_brute_force(spark):
+    r = random.Random(9)
+    good, bad = [f"good{k}" for k in range(30)], [f"bad{k}!" for k in range(30)]
+    rows = [(k, " ".join(r.choice(good if k % 3 or r.random() < 0.2 else bad) for _ in range(r.randint(3, 40))), "en", f"s{k % 3}" if r.random() < 0.7 else "s9", 10 * (k % 5)) for k in range(240)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = {k: int(k % 3 > 0) for k in range(0, 240) if k % 2}
+    out = {x.doc_id: x for x in qc.co_train(docs.repartition(4), spark.createDataFrame([(k, v, 0) for k, v in labels.items()], "doc_id long, quality int, toxic int")).collect()}
+    fold = "pmod(xxhash64('fold', doc_id), 2) = 0"
+    plain = docs.select("doc_id", "text", qc._metadata().alias("m")).selectExpr("*", f"{fold} AS fit").collect()
+    for x, (t, m, both) in zip(plain, brute_co_train([x.asDict() for x in plain], labels), strict=True):
+        assert (out[x.doc_id].text_score, out[x.doc_id].meta_score, out[x.doc_id].score) == pytest.approx((t, m, both), abs=1e-3)
+
+
+def test_views_are_separate(spark):
+    """No word of a text changes the metadata score, no metadata the text score."""
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.selectExpr("doc_id", "'' AS text", "lang", "source", "n_chars")
+    key = lambda d: {r.doc_id: [int(x) for x in r.m] for r in d.select("doc_id", qc._metadata().alias("m")).collect()}
+    assert key(docs) == key(rows)
+
+
 def test_quality_classifier_edges(spark):
     rows = corpus(4, 30) + [(None, "text", None, None, None), (3, "again", "en", "b", 5)]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 y", "2 fit", "3 m", "4 t")
