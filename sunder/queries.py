@@ -520,18 +520,72 @@ def _(spark, sf):
     return protocol.applicability_splits(_vectors(spark, sf), baseline.random_split(_t(spark, sf, "embeddings"), "vec_id"))
 
 
-for _name, _f in (("max_min", partial(sim.max_min, init="kennard_stone")), ("duplex", sim.duplex), ("max_dissimilarity", sim.max_dissimilarity)):
-    query(_name)(partial(lambda f, spark, sf: f(_vectors(spark, sf)), _f))
+#: All distances as rows of a matrix, records in the order of their ids.
+_MATRIX = f"""v AS ({_VEC}), o AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM v),
+pairs AS MATERIALIZED (SELECT p.rn AS i, q.rn AS j, x.y AS yi, y.y AS yj, {_D2} AS d FROM v x JOIN o p ON p.id = x.id CROSS JOIN v y JOIN o q ON q.id = y.id),
+mt AS MATERIALIZED (SELECT i, list(d ORDER BY j) AS r FROM pairs GROUP BY i), k AS (SELECT count(*) AS n, {N_TEST.replace('n)', 'count(*))').replace('* n', '* count(*)')} AS te FROM v)"""
+_LOWER = "list_transform(list_zip({a}, {b}), lambda x: least(x[1], x[2]))"
+
+
+def _farthest_first_sql(matrix: str, rows: str, picks: str, picked: str, rest: str) -> str:
+    """From the farthest pair, always the record that is farthest from those picked, the first of equals."""
+    mark = lambda near, at: f"list_transform({near}, lambda x, i: CASE WHEN list_contains({at}, i) THEN -1.0 ELSE x END)"
+    return f"""WITH RECURSIVE {matrix}, s AS (SELECT arg_min(i, (-d, i, j)) AS a, arg_min(j, (-d, i, j)) AS b FROM {rows}_pairs),
+f(c, taken, near) AS (
+  SELECT 2, [a, b], {mark(_LOWER.format(a='x.r', b='y.r'), '[a, b]')} FROM s JOIN {rows} x ON x.i = a JOIN {rows} y ON y.i = b
+  UNION ALL
+  SELECT c + 1, list_append(taken, p), {mark(_LOWER.format(a='near', b='m.r'), '[p]')} FROM (SELECT *, list_position(near, list_max(near)) AS p FROM f) g JOIN {rows} m ON m.i = p WHERE c < (SELECT {picks} FROM k)
+), z AS (SELECT unnest(taken) AS rn FROM f WHERE c = (SELECT max(c) FROM f))
+SELECT id, CASE WHEN rn IN (SELECT rn FROM z) THEN '{picked}' ELSE '{rest}' END AS partition FROM o"""
+
+
+_XY = f"""{_MATRIX}, top AS (SELECT max(sqrt(d)) AS dx, max(abs(yi - yj)) AS dy FROM pairs),
+xy_pairs AS MATERIALIZED (SELECT i, j, sqrt(d) / (CASE WHEN dx > 0 THEN dx ELSE 1 END) + abs(yi - yj) / (CASE WHEN dy > 0 THEN CAST(dy AS DOUBLE) ELSE 1 END) AS d FROM pairs, top),
+xy AS MATERIALIZED (SELECT i, list(d ORDER BY j) AS r FROM xy_pairs GROUP BY i)"""
+
+
+@query("max_min", _farthest_first_sql(f"{_MATRIX}, mt_pairs AS (SELECT i, j, d FROM pairs)", "mt", "n - te", "train", "test"))
+def _(spark, sf):
+    return sim.max_min(_vectors(spark, sf), init="kennard_stone")
 
 
-@query("spxy")
+@query("spxy", _farthest_first_sql(_XY, "xy", "n - te", "train", "test"))
 def _(spark, sf):
     y = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("y"))
     return sim.spxy(_vectors(spark, sf).join(y, "id"))
 
 
-for _name, _f in (("perimeter_pairs", sim.perimeter_pairs), ("seeded_growth", partial(sim.seeded_growth, cutoff=NEAR))):
-    query(_name)(partial(lambda f, spark, sf: f(_vectors(spark, sf)), _f))
+@query("duplex")
+def _(spark, sf):
+    return sim.duplex(_vectors(spark, sf))
+
+
+@query("max_dissimilarity", f"""WITH {_MATRIX}, s AS (SELECT arg_min(i, (-d, i, j)) AS a, arg_min(j, (-d, i, j)) AS b FROM pairs WHERE i < j),
+w AS (SELECT j AS rn, row_number() OVER (ORDER BY j <> b, d, j) AS nth FROM pairs, s WHERE i = b AND j <> a)
+SELECT id, CASE WHEN coalesce(nth <= te, FALSE) THEN 'test' ELSE 'train' END AS partition FROM k, o LEFT JOIN w USING (rn)""")
+def _(spark, sf):
+    return sim.max_dissimilarity(_vectors(spark, sf))
+
+
+@query("perimeter_pairs", f"""WITH RECURSIVE {_MATRIX}, f(gone) AS (
+  SELECT CAST([] AS BIGINT[]) UNION ALL
+  SELECT list_concat(gone, (SELECT arg_min([i, j], (-d, i, j)) FROM pairs WHERE i <> j AND NOT list_contains(gone, i) AND NOT list_contains(gone, j))) FROM f WHERE len(gone) < (SELECT te FROM k)
+), z AS (SELECT unnest(gone[1:CAST((SELECT te FROM k) AS BIGINT)]) AS rn FROM f WHERE len(gone) = (SELECT max(len(gone)) FROM f))
+SELECT id, CASE WHEN rn IN (SELECT rn FROM z) THEN 'test' ELSE 'train' END AS partition FROM o""")
+def _(spark, sf):
+    return sim.perimeter_pairs(_vectors(spark, sf))
+
+
+@query("seeded_growth", f"""WITH RECURSIVE {_MATRIX}, s AS (SELECT arg_min(i, (-t, i)) AS a FROM (SELECT i, sum(d) AS t FROM pairs GROUP BY i)),
+f(c, taken, near) AS (
+  SELECT 1, [a], r FROM s JOIN mt ON i = a
+  UNION ALL
+  SELECT c + 1, list_append(taken, p), {_LOWER.format(a='near', b='m.r')} FROM (SELECT *, list_position(hid, list_min(hid)) AS p FROM (SELECT *, list_transform(near, lambda x, i: CASE WHEN list_contains(taken, i) THEN 1e300 ELSE x END) AS hid FROM f)) g
+  JOIN mt m ON m.i = p WHERE c < (SELECT te FROM k)
+), z AS (SELECT taken, near FROM f WHERE c = (SELECT max(c) FROM f))
+SELECT id, CASE WHEN list_contains(taken, rn) THEN 'test' WHEN near[rn] > {NEAR} THEN 'train' ELSE 'discard' END AS partition FROM o, z""")
+def _(spark, sf):
+    return sim.seeded_growth(_vectors(spark, sf), NEAR)
 
 
 @query("greedy_prune", f"""WITH e AS ({_VEDGES}), both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), sp AS ({_SPLIT}),
