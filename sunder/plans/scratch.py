@@ -35,7 +35,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Writes intermediate tables and removes them when told to."""
+    """Writes intermediate tables, and removes them when told to or when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -46,6 +46,10 @@ class Scratch:
         """Write ``df`` and return a reader of what was written."""
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        if not self.paths:
+            # What a result still reads cannot go before it; what is left goes with the driver.
+            root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._sunder_path = path
