@@ -823,8 +823,8 @@ def _(spark, sf):
 
 @query("decoy_matched")
 def _(spark, sf):
-    part = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
-    return task.matched_decoys(part.where("id % 40 = 0"), part.where("id % 40 <> 0"), {"price": 50.0, "size": 3.0}, 5)
+    part = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    return task.matched_decoys(part.where("p_brand = 'Brand#11'"), part.where("p_brand <> 'Brand#11'"), {"price": 50.0, "size": 3.0})
 
 
 @query("stratified_iterative")
