@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sunder.errors import ConfigurationError, LabelError, ScalabilityError
@@ -28,12 +30,16 @@ def random_split(df: DataFrame, id_col: str, seed: int = 0, shuffle: bool = True
 
 
 def strata(df: DataFrame, id_col: str, label: str, n_bins: int = 10, binning: str = "class") -> DataFrame:
-    """``id, stratum``: the label itself, or its quantile or uniform bin."""
+    """``id, stratum``: the label itself, or its quantile, uniform or k-means bin."""
     rows = _ids(df, id_col, F.col(label).alias("y"))
     if binning == "class":
         return rows.select("id", F.col("y").cast("string").alias("stratum"))
     if rows.where(F.col("y").isNull() | F.isnan("y") | (F.abs("y") == float("inf"))).take(1):
         raise LabelError(f"{label}: binned labels are finite")
+    if binning == "kmeans":
+        data = rows.select("id", array_to_vector(F.array(F.col("y").cast("double"))).alias("features"))
+        k = max(2, min(n_bins, rows.select("y").distinct().limit(n_bins).count()))
+        return KMeans(k=k, seed=0, maxIter=50).fit(data).transform(data).select("id", F.col("prediction").cast("string").alias("stratum"))
     if binning == "quantile":
         inner = rows.agg(F.percentile("y", F.array(*[F.lit(k / n_bins) for k in range(1, n_bins)]))).first()[0]
     elif binning == "uniform":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import warnings
 
 import numpy as np
@@ -15,6 +16,7 @@ from sunder.plans.components import connected_components
 from sunder.plans.distance import distance_sums, nearest, squared_distance_sums
 from sunder.plans.groups import assign_groups
 from sunder.plans.independent import centres
+from sunder.plans.kernels import neighbours, single_task
 from sunder.plans.rank import hash_rank, value_rank
 from sunder.plans.scratch import Scratch
 
@@ -85,12 +87,37 @@ def degrees(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("id").join(ends, "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("degree"))
 
 
-def butina_keys(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, key``: centres are visited by falling degree."""
+def butina_keys(rows: DataFrame, edges: DataFrame, reorder: bool = False) -> DataFrame:
+    """``id, key``: centres are visited by falling degree.
+
+    With ``reorder`` degrees count free records only, and fall as clusters take theirs: each
+    centre depends on those before it, so that one task visits them, under a ceiling.
+    """
     edges = kept_edges(edges)
+    if reorder:
+        return single_task(rows.select("id"), _reordered, "id long, key long", 1_000_000, edges)
     return centres(degrees(rows, edges), edges, -F.col("degree")).select("id", F.col("centre").alias("key"))
 
 
+def _reordered(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    ids = np.sort(pdf["id"].to_numpy())
+    near = neighbours(ids, pairs)
+    degree, key = [len(x) for x in near], np.full(len(ids), -1)
+    queue = [(-d, i) for i, d in enumerate(degree)]
+    heapq.heapify(queue)
+    while queue:
+        d, i = heapq.heappop(queue)
+        if key[i] >= 0 or -d != degree[i]:
+            continue  # taken, or counted anew since
+        for j in [i, *(j for j in near[i] if key[j] < 0)]:
+            key[j] = i
+            for m in near[j]:
+                if key[m] < 0:
+                    degree[m] -= 1
+                    heapq.heappush(queue, (-degree[m], m))
+    return pd.DataFrame({"id": ids, "key": ids[key]})
+
+
 def sphere_keys(rows: DataFrame, edges: DataFrame, seed: int | None = None) -> DataFrame:
     """``id, key``: centres are visited by id, or in hash order with a seed."""
     edges = kept_edges(edges)

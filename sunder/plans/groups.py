@@ -105,10 +105,17 @@ def _placed(groups: DataFrame, sizes: Sizes, mode: str, n: int, seed: int) -> Da
     return table.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fold(sizes, mode), f"key {key_type}, group long, place string")
 
 
-def assign_groups(df: DataFrame, id_col: str, key: Column, mode: str = "greedy_desc", seed: int = 0, check: bool = True, **sizes) -> DataFrame:
-    """``id, partition, group``: whole groups, largest first, to the partition with most room."""
+def assign_groups(df: DataFrame, id_col: str, key: Column, mode: str = "greedy_desc", seed: int = 0, check: bool = True, discarded: Column | None = None, **sizes) -> DataFrame:
+    """``id, partition, group``: whole groups, largest first, to the partition with most room.
+
+    Records for which ``discarded`` holds are set aside first: they have no group, labels and sizes are those of the others.
+    """
     if mode not in ("greedy_desc", "balanced", "random"):
         raise ConfigurationError(f"unknown group assignment {mode!r}")
+    if discarded is not None:
+        gone = F.coalesce(discarded, F.lit(False))
+        kept = assign_groups(df.where(~gone), id_col, key, mode, seed, check, **sizes)
+        return kept.unionByName(df.where(gone).select(F.col(id_col).alias("id"), F.lit("discard").alias("partition"), F.lit(None).cast("long").alias("group")))
     rows, groups = group_table(df, id_col, key)
     n = df.count()
     if check:

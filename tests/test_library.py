@@ -416,6 +416,32 @@ def test_registry_runs_operators_alike(spark):
     assert registry.table(spark).where("takes = 'frame'").count() > 10
 
 
+def test_butina_with_reordering(spark):
+    r = random.Random(6)
+    n = 50
+    pairs = sorted({tuple(sorted(r.sample(range(n), 2))) for _ in range(90)})
+    rows, edges = spark.range(n), spark.createDataFrame(pairs, "a long, b long")
+    free, want = set(range(n)), {}
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(n)}
+    while free:
+        i = min(free, key=lambda k: (-len(near[k] & free), k))
+        for j in {i} | (near[i] & free):
+            want[j] = i
+        free -= {j for j in want}
+    assert {x.id: x.key for x in sim.butina_keys(rows, edges, reorder=True).collect()} == want
+
+
+def test_forced_discards_and_label_clusters(spark):
+    df = spark.createDataFrame([(k, k % 6, float(k // 10) * 100 + k % 3) for k in range(60)], "id long, k long, y double")
+    out = {x.id: (x.partition, x.group) for x in assign_groups(df, "id", F.col("k"), discarded=F.col("k") == 0, test=0.2).collect()}
+    assert {i for i, (p, _) in out.items() if p == "discard"} == {k for k in range(60) if k % 6 == 0} and sum(p == "test" for p, _ in out.values()) == 10
+    assert {g for p, g in out.values() if p != "discard"} == {0, 1, 2, 3, 4}
+    strata = {}
+    for x in baseline.strata(df, "id", "y", 6, "kmeans").collect():
+        strata.setdefault(x.stratum, set()).add(x.id // 10)
+    assert len(strata) == 6 and all(len(v) == 1 for v in strata.values())
+
+
 def test_structure_operators_refuse(spark):
     rows = spark.createDataFrame([(k, float(k + 1), "" if k % 2 else "s") for k in range(20)], "id long, y double, s string")
     with pytest.raises(DegenerateGroupingError):
