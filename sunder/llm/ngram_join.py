@@ -53,7 +53,6 @@ FAN = 8
 CELLS = 1 << 22
 HEAVY = 512  # a cell is heavy with more than one of so many documents
 LOAD, FINE = 0.75, 0.125
-FEW = 10_000  # rows of a few bytes that are broadcast; more are shuffled
 NAMED = 1 << 16  # members of a tree that are held to name it; a larger one has its shingle's name
 SEEN = 1 << 18  # sets that a task remembers, to give the shingles of equal ones once
 PAIRS = 1 << 14  # pairs of nodes that are compared at once
@@ -539,11 +538,7 @@ class _Join:
         """The full sets of all members of pairs, as ``found``."""
         need = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
         need = self.scratch.keep(self.sets.join(need, "u").select("u", "row.kid", "row.th"))
-        if need.count() <= FEW:
-            texts = distinct_rows(self.docs.join(F.broadcast(need.select("kid", "th")), ["kid", "th"], "left_semi"), "text")
-        else:
-            texts = distinct_rows(self.docs, "text")
-        texts = texts.join(need, ["kid", "th"]).select("u", "text")
+        texts = distinct_rows(self.docs, "text").join(need, ["kid", "th"]).select("u", "text")
         self.found = self.scratch.keep(texts.mapInArrow(_set_bytes(self.size), "u long, tokens binary, bits binary"))
         self.scratch.drop(need)
 
