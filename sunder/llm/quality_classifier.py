@@ -273,7 +273,7 @@ def co_train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds:
     given = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col(label)).alias("mean"))
     given = given.where("doc_id is not null and mean is not null").select("doc_id", (F.col("mean") > 0.5).cast("int").alias("y"))
     fit = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)) == 0
-    data = scratch.keep(feats.join(given, "doc_id", "left").withColumn("fit", F.coalesce(fit, F.lit(True))))
+    data = scratch.keep(feats.join(given.hint("merge"), "doc_id", "left").withColumn("fit", F.coalesce(fit, F.lit(True))))
     schema = "view string, cls int, kind string, i int, n long"
 
     def gather(run) -> dict[tuple[str, int, str], np.ndarray]:
