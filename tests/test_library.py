@@ -710,3 +710,13 @@ def test_links_between_seven_and_nine_tenths(spark, tmp_path):
     group = {r.id: r.group for r in QUERIES["sequence_identity_7"](spark, str(tmp_path)).collect()}
     # 8 of 10 places is a link, 7 of 10 is not.
     assert group[1] == group[2] and len({group[k] for k in (1, 3, 4, 5)}) == 4
+
+
+def test_copies_of_sequences_are_linked_once(spark):
+    names = ["abcdefghij", "abcdefghiX", "zzzzzzzzzz"]
+    rows = spark.createDataFrame([(i, names[i % 3]) for i in range(60)], "id long, s string")
+    edges = [tuple(r) for r in task.sequence_edges(rows, "id", "s", 8, 10).collect()]
+    # 57 copies and one pair of different sequences; all pairs of copies would be 970.
+    assert len(edges) == 58 and (0, 1) in edges and len(set(edges)) == 58
+    keys = {r.id: r.key for r in sim.component_keys(rows, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(k == (2 if i % 3 == 2 else 0) for i, k in keys.items())
