@@ -754,3 +754,10 @@ def test_duplex_without_all_pairs(monkeypatch):
                 sets[p].append(i)
                 free.discard(i)
     assert {i for i, p in enumerate(out) if p == "test"} == set(sets["test"])
+
+
+def test_max_dissimilarity_without_all_pairs(monkeypatch):
+    out, d = _picked(monkeypatch, sim.max_dissimilarity, _points())
+    a, b = divmod(int(np.triu(d, 1).argmax()), 400)
+    order = [b, *[int(i) for i in np.argsort(d[b], kind="stable") if i not in (a, b)]]
+    assert {i for i, p in enumerate(out) if p == "test"} == set(order[:80])
