@@ -761,3 +761,13 @@ def test_max_dissimilarity_without_all_pairs(monkeypatch):
     a, b = divmod(int(np.triu(d, 1).argmax()), 400)
     order = [b, *[int(i) for i in np.argsort(d[b], kind="stable") if i not in (a, b)]]
     assert {i for i, p in enumerate(out) if p == "test"} == set(order[:80])
+
+
+def test_max_min_without_all_pairs(monkeypatch):
+    out, d = _picked(monkeypatch, sim.max_min, _points())
+    picked = [0]
+    while len(picked) < 320:
+        near = d[picked].min(axis=0)
+        near[picked] = -1
+        picked.append(int(near.argmax()))
+    assert {i for i, p in enumerate(out) if p == "train"} == set(picked)
