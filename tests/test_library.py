@@ -771,3 +771,13 @@ def test_max_min_without_all_pairs(monkeypatch):
         near[picked] = -1
         picked.append(int(near.argmax()))
     assert {i for i, p in enumerate(out) if p == "train"} == set(picked)
+
+
+def test_perimeter_pairs_without_all_pairs(monkeypatch):
+    out, d = _picked(monkeypatch, sim.perimeter_pairs, _points())
+    free, tested = set(range(400)), []
+    while len(tested) < 80:
+        pair = max(((i, j) for i in free for j in free if i != j), key=lambda t: (d[t], -t[0], -t[1]))
+        tested += pair
+        free -= set(pair)
+    assert {i for i, p in enumerate(out) if p == "test"} == set(tested)
