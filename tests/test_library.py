@@ -781,3 +781,14 @@ def test_perimeter_pairs_without_all_pairs(monkeypatch):
         tested += pair
         free -= set(pair)
     assert {i for i, p in enumerate(out) if p == "test"} == set(tested)
+
+
+def test_seeded_growth_without_all_pairs(monkeypatch):
+    out, d = _picked(monkeypatch, lambda v: sim.seeded_growth(v, 40.0), _points())
+    taken = [int(d.sum(axis=1).argmax())]
+    while len(taken) < 80:
+        near = d[taken].min(axis=0)
+        near[taken] = np.inf
+        taken.append(int(near.argmin()))
+    near = d[taken].min(axis=0)
+    assert out == ["test" if i in taken else None if near[i] > 40 else "discard" for i in range(400)]
