@@ -792,3 +792,15 @@ def test_seeded_growth_without_all_pairs(monkeypatch):
         taken.append(int(near.argmin()))
     near = d[taken].min(axis=0)
     assert out == ["test" if i in taken else None if near[i] > 40 else "discard" for i in range(400)]
+
+
+def test_spxy_without_all_pairs(monkeypatch):
+    y = np.random.default_rng(1).integers(0, 10, 400)
+    out, d = _picked(monkeypatch, sim.spxy, _points(), y)
+    both = np.sqrt(d) / np.sqrt(d).max() + np.abs(y[:, None] - y[None]) / (y.max() - y.min())
+    picked = list(divmod(int(both.argmax()), 400))
+    while len(picked) < 320:
+        near = both[picked].min(axis=0)
+        near[picked] = -1
+        picked.append(int(near.argmax()))
+    assert {i for i, p in enumerate(out) if p == "train"} == set(picked)
