@@ -736,12 +736,12 @@ def _picked(monkeypatch, f, x, y=None, **sizes):
     return list(kernels[0](sim.Points(x), pd.DataFrame({"id": range(len(x)), "y": y if y is not None else 0}))), square[:, None] + square[None] - 2 * (x @ x.T)
 
 
-def _points(n=400):
+def _cloud(n=400):
     return np.floor(np.random.default_rng(n).normal(size=(n, 3)) * 9)
 
 
 def test_duplex_without_all_pairs(monkeypatch):
-    out, d = _picked(monkeypatch, sim.duplex, _points())
+    out, d = _picked(monkeypatch, sim.duplex, _cloud())
     free, sets = set(range(400)), {"train": [], "test": []}
     for p in sets:
         pair = max(((i, j) for i in free for j in free), key=lambda t: (d[t], -t[0], -t[1]))
@@ -757,14 +757,14 @@ def test_duplex_without_all_pairs(monkeypatch):
 
 
 def test_max_dissimilarity_without_all_pairs(monkeypatch):
-    out, d = _picked(monkeypatch, sim.max_dissimilarity, _points())
+    out, d = _picked(monkeypatch, sim.max_dissimilarity, _cloud())
     a, b = divmod(int(np.triu(d, 1).argmax()), 400)
     order = [b, *[int(i) for i in np.argsort(d[b], kind="stable") if i not in (a, b)]]
     assert {i for i, p in enumerate(out) if p == "test"} == set(order[:80])
 
 
 def test_max_min_without_all_pairs(monkeypatch):
-    out, d = _picked(monkeypatch, sim.max_min, _points())
+    out, d = _picked(monkeypatch, sim.max_min, _cloud())
     picked = [0]
     while len(picked) < 320:
         near = d[picked].min(axis=0)
@@ -774,7 +774,7 @@ def test_max_min_without_all_pairs(monkeypatch):
 
 
 def test_perimeter_pairs_without_all_pairs(monkeypatch):
-    out, d = _picked(monkeypatch, sim.perimeter_pairs, _points())
+    out, d = _picked(monkeypatch, sim.perimeter_pairs, _cloud())
     free, tested = set(range(400)), []
     while len(tested) < 80:
         pair = max(((i, j) for i in free for j in free if i != j), key=lambda t: (d[t], -t[0], -t[1]))
@@ -784,7 +784,7 @@ def test_perimeter_pairs_without_all_pairs(monkeypatch):
 
 
 def test_seeded_growth_without_all_pairs(monkeypatch):
-    out, d = _picked(monkeypatch, lambda v: sim.seeded_growth(v, 40.0), _points())
+    out, d = _picked(monkeypatch, lambda v: sim.seeded_growth(v, 40.0), _cloud())
     taken = [int(d.sum(axis=1).argmax())]
     while len(taken) < 80:
         near = d[taken].min(axis=0)
@@ -796,7 +796,7 @@ def test_seeded_growth_without_all_pairs(monkeypatch):
 
 def test_spxy_without_all_pairs(monkeypatch):
     y = np.random.default_rng(1).integers(0, 10, 400)
-    out, d = _picked(monkeypatch, sim.spxy, _points(), y)
+    out, d = _picked(monkeypatch, sim.spxy, _cloud(), y)
     both = np.sqrt(d) / np.sqrt(d).max() + np.abs(y[:, None] - y[None]) / (y.max() - y.min())
     picked = list(divmod(int(both.argmax()), 400))
     while len(picked) < 320:
