@@ -760,13 +760,14 @@ def _hi_sql() -> str:
 @query("hi", _hi_sql())
 def _(spark, sf):
     rows = _vectors(spark, sf)
-    return task.hi(rows, vector_edges(rows, APART), vector_edges(rows, COARSE))
+    # The SQL places one component that spans all records in train.
+    return task.hi(rows, vector_edges(rows, APART), vector_edges(rows, COARSE), empty="keep")
 
 
 @query("hi_search")
 def _(spark, sf):
     rows = _vectors(spark, sf)
-    return task.hi(rows, vector_edges(rows, APART), vector_edges(rows, COARSE), "search")
+    return task.hi(rows, vector_edges(rows, APART), vector_edges(rows, COARSE), "search", empty="keep")
 
 
 def _labels(spark, sf, cut: int | None = None):
@@ -782,9 +783,9 @@ def _(spark, sf):
 
 @query("scaffold_hop")
 def _(spark, sf):
-    rows, edges = _near(spark, sf)
+    rows = _vectors(spark, sf)
     part = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 37).alias("scaffold"), F.lit(True).alias("active"))
-    return task.scaffold_hop(part, vector_edges(rows, 4 * NEAR))
+    return task.scaffold_hop(part, vectors=rows, cutoff=4 * NEAR)
 
 
 def _area(c: str) -> str:

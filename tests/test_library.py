@@ -16,7 +16,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from sunder import cli, contract, queries, registry
-from sunder.errors import ConfigurationError, ConstraintError, ConvergenceWarning, DegenerateGroupingError, EmptyPartitionError, InputError, MissingDependencyError, ParameterError, ScalabilityError, UnknownOperatorError
+from sunder.errors import ConfigurationError, ConstraintError, ConvergenceWarning, DegenerateGroupingError, EmptyPartitionError, InputError, MissingDependencyError, ParameterError, ScalabilityError, SizeToleranceWarning, UnknownOperatorError
 from sunder.functions import features
 from sunder.functions.sizes import floor_round, resolve_sizes
 from sunder.operators import audit, baseline, embedding, lineage, pairs, property as prop, similarity as sim, structure, task
@@ -24,7 +24,7 @@ from sunder.plans.components import connected_components
 from sunder.plans.distance import nearest, token_edges, token_links, vector_edges
 from sunder.plans.groups import assign_folds, assign_groups, segments
 from sunder.plans.independent import centres
-from sunder.plans.kernels import balance, iterative_stratification
+from sunder.plans.kernels import NearestInside, balance, iterative_stratification, single_task
 from sunder.plans.layout import curve, fuzzy_graph, nearest_rows, umap_layout, ward_labels
 from sunder.plans.rank import hash_rank_within, value_rank
 from sunder.plans.scratch import Scratch
@@ -804,3 +804,18 @@ def test_spxy_without_all_pairs(monkeypatch):
         near[picked] = -1
         picked.append(int(near.argmax()))
     assert {i for i, p in enumerate(out) if p == "train"} == set(picked)
+
+
+def test_decoys_are_matched_without_their_pairs(spark):
+    rng = np.random.default_rng(2)
+    actives, pool = ([(int(i), float(p), float(s)) for i, (p, s) in enumerate(zip(rng.integers(0, 12, n) / 4, rng.integers(0, 4, n), strict=True))] for n in (40, 900))
+    used, want = set(), []
+    for a, p, s in actives:
+        near = sorted((sum(((x - y) / t) ** 2 for x, y, t in ((q, p, 0.5), (r, s, 1.0))), d) for d, q, r in pool if abs(q - p) <= 0.5 and abs(r - s) <= 1 and d not in used)[:30]
+        used |= {d for _, d in near}
+        want += [(a, d) for _, d in near]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, p double, s double")
+    assert sorted(map(tuple, task.matched_decoys(frame(actives), frame(pool), {"p": 0.5, "s": 1.0}, 30).collect())) == sorted(want)
+    # 3,000 actives and 3,000 decoys alike: 9,000,000 pairs, over the former ceiling of 5,000,000.
+    alike = spark.range(3000).selectExpr("id", "1.0D as p", "1.0D as s")
+    assert task.matched_decoys(alike, alike, {"p": 0.5, "s": 1.0}, 30).count() == 3000
