@@ -819,3 +819,16 @@ def test_decoys_are_matched_without_their_pairs(spark):
     # 3,000 actives and 3,000 decoys alike: 9,000,000 pairs, over the former ceiling of 5,000,000.
     alike = spark.range(3000).selectExpr("id", "1.0D as p", "1.0D as s")
     assert task.matched_decoys(alike, alike, {"p": 0.5, "s": 1.0}, 30).count() == 3000
+
+
+def test_scaffold_hop_needs_no_pairs(spark):
+    x = np.random.default_rng(4).integers(0, 20, (90, 2))
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], i % 7 if i % 11 else None, i % 5 > 0) for i in range(90)], "id long, v array<double>, scaffold long, active boolean")
+    edges = spark.createDataFrame([(i, j) for i in range(90) for j in range(i) if ((x[i] - x[j]) ** 2).sum() <= 9], "a long, b long")
+    by_pairs, by_vectors = (sorted(task.scaffold_hop(rows.drop("v"), **k).collect()) for k in ({"edges": edges}, {"vectors": rows.select("id", "v"), "cutoff": 9.0}))
+    assert by_pairs == by_vectors
+    part = {r.id: r.partition for r in by_pairs}
+    near = lambda i, j: i != j and ((x[i] - x[j]) ** 2).sum() <= 9
+    for i in range(90):
+        if part[i] == "test" and i % 5 > 0:
+            assert any(near(i, j) and part[j] == "train" and j % 5 > 0 for j in range(90))
