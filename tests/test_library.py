@@ -832,3 +832,12 @@ def test_scaffold_hop_needs_no_pairs(spark):
     for i in range(90):
         if part[i] == "test" and i % 5 > 0:
             assert any(near(i, j) and part[j] == "train" and j % 5 > 0 for j in range(90))
+
+
+def test_one_component_is_placed_as_by_the_sql(spark):
+    rows = spark.range(20)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(19)], "a long, b long")
+    with pytest.raises(ConstraintError):
+        task.hi(rows, edges)
+    with pytest.warns(SizeToleranceWarning):
+        assert {(r.partition, r.group) for r in task.hi(rows, edges, empty="keep").collect()} == {("train", 0)}
