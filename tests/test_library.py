@@ -841,3 +841,9 @@ def test_one_component_is_placed_as_by_the_sql(spark):
         task.hi(rows, edges)
     with pytest.warns(SizeToleranceWarning):
         assert {(r.partition, r.group) for r in task.hi(rows, edges, empty="keep").collect()} == {("train", 0)}
+
+
+def test_one_component_is_placed_by_the_search(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(19)], "a long, b long")
+    with pytest.warns(SizeToleranceWarning):
+        assert {(r.partition, r.group) for r in task.hi(spark.range(20), edges, solver="search", empty="keep").collect()} == {("train", 0)}
