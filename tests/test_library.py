@@ -847,3 +847,16 @@ def test_one_component_is_placed_by_the_search(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(19)], "a long, b long")
     with pytest.warns(SizeToleranceWarning):
         assert {(r.partition, r.group) for r in task.hi(spark.range(20), edges, solver="search", empty="keep").collect()} == {("train", 0)}
+
+
+def test_nearest_inside_by_brute_force():
+    rng = np.random.default_rng(6)
+    x, active = np.floor(rng.normal(size=(300, 4)) * 50), rng.random(300) < 0.4
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    search = NearestInside(x, active)
+    for share in (0.2, 0.5, 0.97):
+        test = rng.random(300) < share
+        for wanted in (True, False):
+            inside = ~test & (active == wanted)
+            if inside.any():
+                assert (search(np.flatnonzero(test), inside, wanted) == d[test][:, inside].min(axis=1)).all()
