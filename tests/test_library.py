@@ -860,3 +860,23 @@ def test_nearest_inside_by_brute_force():
             inside = ~test & (active == wanted)
             if inside.any():
                 assert (search(np.flatnonzero(test), inside, wanted) == d[test][:, inside].min(axis=1)).all()
+
+
+def test_lo_takes_neighbours_not_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    pairs = sorted({tuple(sorted(rng.choice(60, 2, replace=False).tolist())) for _ in range(150)})
+    y, near = rng.integers(0, 4, 60).astype(float), [{b if a == i else a for a, b in pairs if i in (a, b)} for i in range(60)]
+    free, tested = set(range(60)), set()
+    while True:
+        order = sorted((i for i in free if len(near[i] & free) >= 4), key=lambda i: (-len(near[i] & free), i))
+        found = next((m for i in order if np.std(y[sorted(m := {i} | (near[i] & free))]) >= 0.6), None)
+        if found is None:
+            break
+        tested |= found
+        free -= found
+    leaks = {j for i in tested for j in near[i]} - tested
+    rows, edges = spark.createDataFrame([(i, float(y[i])) for i in range(60)], "id long, y double"), spark.createDataFrame(pairs, "a long, b long")
+    calls = []
+    monkeypatch.setattr(task, "single_task", lambda df, kernel, schema, ceiling, *other: calls.append(other) or single_task(df, kernel, schema, ceiling, *other))
+    got = {r.id: r.partition for r in task.lo(rows, edges).collect()}
+    assert calls == [()] and got == {i: "test" if i in tested else "discard" if i in leaks else "train" for i in range(60)}
