@@ -906,3 +906,9 @@ def test_spectral_vectors_without_a_dense_matrix(monkeypatch):
     want, got = np.linalg.eigh(np.eye(2100) - root[:, None] * a * root[None])[1][:, 1:5], laplacian_vectors(near, 4)
     assert np.abs((want * got).sum(0)) == pytest.approx(1, abs=1e-6)
     assert _ceiling(monkeypatch, embedding.spectral_keys) > 1_000_000
+
+
+def test_support_points_by_blocks(spark, monkeypatch):
+    rows = spark.range(5001).selectExpr("id", "array(double(id % 71), double(id % 13)) as v")
+    out = embedding.support_points(rows, iterations=1, test=300).groupBy("partition").count().collect()
+    assert {r.partition: r["count"] for r in out} == {"train": 4701, "test": 300}
