@@ -912,3 +912,7 @@ def test_support_points_by_blocks(spark, monkeypatch):
     rows = spark.range(5001).selectExpr("id", "array(double(id % 71), double(id % 13)) as v")
     out = embedding.support_points(rows, iterations=1, test=300).groupBy("partition").count().collect()
     assert {r.partition: r["count"] for r in out} == {"train": 4701, "test": 300}
+
+
+def test_d_optimal_takes_all_records(monkeypatch):
+    assert _ceiling(monkeypatch, embedding.d_optimal) > 1_000_000
