@@ -916,3 +916,7 @@ def test_support_points_by_blocks(spark, monkeypatch):
 
 def test_d_optimal_takes_all_records(monkeypatch):
     assert _ceiling(monkeypatch, embedding.d_optimal) > 1_000_000
+
+
+def test_opti_sim_takes_all_records(monkeypatch):
+    assert _ceiling(monkeypatch, lambda v: embedding.opti_sim(v, 1.0, 5)) > 1_000_000
