@@ -920,3 +920,7 @@ def test_d_optimal_takes_all_records(monkeypatch):
 
 def test_opti_sim_takes_all_records(monkeypatch):
     assert _ceiling(monkeypatch, lambda v: embedding.opti_sim(v, 1.0, 5)) > 1_000_000
+
+
+def test_self_organizing_map_takes_all_records(monkeypatch):
+    assert _ceiling(monkeypatch, embedding.som_keys) > 1_000_000
