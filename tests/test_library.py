@@ -924,3 +924,7 @@ def test_opti_sim_takes_all_records(monkeypatch):
 
 def test_self_organizing_map_takes_all_records(monkeypatch):
     assert _ceiling(monkeypatch, embedding.som_keys) > 1_000_000
+
+
+def test_umap_cluster_takes_all_records(monkeypatch):
+    assert _ceiling(monkeypatch, embedding.umap_keys) > 1_000_000
