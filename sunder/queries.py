@@ -813,7 +813,8 @@ def _(spark, sf):
 
 @query("simpd")
 def _(spark, sf):
-    return task.time_like(_vectors(spark, sf), _labels(spark, sf).select("id", "y"))
+    rows, edges = _near(spark, sf)
+    return task.time_like(rows, _labels(spark, sf).select("id", "y"), clusters=sim.butina_keys(rows, edges))
 
 
 @query("decoy_benchmark", greedy_sql("""WITH b AS (SELECT min(c_acctbal) AS lx, max(c_acctbal) AS hx, min(c_nationkey) AS ly, max(c_nationkey) AS hy FROM customer)

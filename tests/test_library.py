@@ -25,7 +25,7 @@ from sunder.plans.distance import nearest, token_edges, token_links, vector_edge
 from sunder.plans.farthest import Points, nearest_positions
 from sunder.plans.groups import assign_folds, assign_groups, segments
 from sunder.plans.independent import centres
-from sunder.plans.kernels import NearestInside, balance, iterative_stratification, single_task
+from sunder.plans.kernels import NearestInside, balance, best_fronts, iterative_stratification, nsga2, single_task
 from sunder.plans.layout import curve, fuzzy_graph, laplacian_vectors, nearest_rows, umap_layout, ward_labels
 from sunder.plans.rank import hash_rank_within, value_rank
 from sunder.plans.scratch import Scratch
@@ -928,3 +928,21 @@ def test_self_organizing_map_takes_all_records(monkeypatch):
 
 def test_umap_cluster_takes_all_records(monkeypatch):
     assert _ceiling(monkeypatch, embedding.umap_keys) > 1_000_000
+
+
+def test_fronts_and_several_aims():
+    value = np.array([[0, -9], [-9, 0], [-1, -1], [-2, -2], [-1, -5], [-4, -1.5]], float)
+    assert set(best_fronts(value, 3)) == {0, 1, 2} and set(best_fronts(value, 2)) == {0, 1}
+    x = np.random.default_rng(24).normal(size=(80, 2))
+    aims = lambda m: -((x[m].mean(0) - x[~m].mean(0) - [0.5, -0.3]) ** 2)
+    best = nsga2(80, 16, aims, np.random.default_rng(0), 40, 60)
+    assert best.sum() == 16 and aims(best).min() > -0.01
+
+
+def test_simpd_has_the_aims_of_the_method(spark):
+    x = np.random.default_rng(21).normal(size=(60, 3)) * 900
+    rows = spark.createDataFrame([(i, [float(v) for v in np.floor(x[i])], float(i % 4), i % 9) for i in range(60)], "id long, v array<double>, y double, key long")
+    found = task.time_like(rows.select("id", "v"), rows.select("id", "y"), clusters=rows.select("id", "key"), population=20, generations=5, train=None, valid=0.1, test=0.2).groupBy("partition").count().collect()
+    assert {r.partition: r["count"] for r in found} == {"train": 42, "valid": 6, "test": 12}
+    with pytest.raises(ConfigurationError):
+        task.time_like(rows.select("id", "v"), rows.select("id", "y"), {"delta_weight": 0.1})
