@@ -946,3 +946,15 @@ def test_simpd_has_the_aims_of_the_method(spark):
     assert {r.partition: r["count"] for r in found} == {"train": 42, "valid": 6, "test": 12}
     with pytest.raises(ConfigurationError):
         task.time_like(rows.select("id", "v"), rows.select("id", "y"), {"delta_weight": 0.1})
+
+
+def test_simpd_takes_all_records(monkeypatch):
+    seen = []
+    monkeypatch.setattr(task, "Scratch", MagicMock())
+    monkeypatch.setattr(task, "single_task", lambda df, kernel, schema, ceiling, *other: seen.append(ceiling))
+    table = MagicMock()
+    table.count.return_value, table.columns = 100, ["id", "y"]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        task.time_like(table, table, clusters=table)
+    assert seen == [1_000_000]
