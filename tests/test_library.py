@@ -948,7 +948,7 @@ def test_simpd_has_the_aims_of_the_method(spark):
         task.time_like(rows.select("id", "v"), rows.select("id", "y"), {"delta_weight": 0.1})
 
 
-def test_simpd_takes_all_records(monkeypatch):
+def test_simpd_takes_all_records(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(task, "Scratch", MagicMock())
     monkeypatch.setattr(task, "single_task", lambda df, kernel, schema, ceiling, *other: seen.append(ceiling))
