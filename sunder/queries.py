@@ -206,6 +206,11 @@ def _(spark, sf):
     return sim.component_split(docs.select(F.col("doc_id").alias("id")), token_links(docs, "doc_id", "words", 8, 10), check=False)
 
 
+def _cliffs(spark, sf):
+    rows = _documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("y"), "words")
+    return rows.select("id", "y"), structure.cliff_links(rows, "words", 8, 10, 1.02, "linear")
+
+
 _CLIFFS = f"""e AS ({_TOKEN_EDGES}), cl AS (SELECT a, b FROM e JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE greatest(x.n_chars, y.n_chars) / least(x.n_chars, y.n_chars) >= 1.02 - 1e-9),
   cn AS (SELECT a AS id FROM cl UNION SELECT b FROM cl)"""
 
@@ -218,9 +223,8 @@ p AS (SELECT id, start FROM ck JOIN us USING (key) UNION ALL SELECT * FROM rest)
 t AS (SELECT greatest((SELECT max(start + size) FROM us, k WHERE start < {N_TEST}), (SELECT {N_TEST} FROM k)) AS t)
 SELECT id, CASE WHEN start < t THEN 'test' ELSE 'train' END AS partition FROM p, t""")
 def _(spark, sf):
-    docs = _documents(spark, sf)
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("y"))
-    return structure.activity_cliff(rows, token_edges(docs, "doc_id", "words", 8, 10), fold_change=1.02, scale="linear")
+    rows, links = _cliffs(spark, sf)
+    return structure.activity_cliff(rows, None, links=links)
 
 
 @query("activity_cliff_balanced", f"""WITH {_CLIFFS}, ck AS ({components_sql("SELECT a, b FROM cl", "SELECT id FROM cn")}), g0 AS ({greedy_sql("SELECT id, key FROM ck UNION ALL SELECT doc_id, doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM cn)")})

@@ -463,6 +463,30 @@ def test_structure_operators_refuse(spark):
     assert {x.partition for x in structure.activity_cliff(rows, edges, fold_change=2.0, scale="linear", keep_partners=False).collect()} == {"train", "test"}
 
 
+@pytest.mark.parametrize(("fold_change", "scale"), [(1.5, "linear"), (1.0, "linear"), (2.0, "log")])
+def test_cliff_links_join_what_all_pairs_join(spark, fold_change, scale):
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(12)]
+    texts = [base[: 12 - int(k)] + [f"x{int(j)}"] * int(j > 3) for k, j in zip(rng.integers(0, 4, 60), rng.integers(0, 6, 60), strict=True)]
+    rows = [(k, float(rng.choice([1.0, 1.2, 1.6, 2.5])), t + [f"g{k % 5}", f"h{k % 5}"]) for k, t in enumerate(texts)] + [(60, None, texts[0]), (61, 1.0, [])]
+    rows = spark.createDataFrame(rows, "id long, y double, words array<string>")
+    pairs = structure.cliff_pairs(rows, token_edges(rows, "id", "words", 8, 10), fold_change, scale)
+    links = structure.cliff_links(rows, "words", 8, 10, fold_change, scale)
+    parts = lambda edges: {(x.node, x.component) for x in connected_components(edges, Scratch(spark, "t")).collect()}
+    want = parts(pairs)
+    assert len(want) > 20 and parts(links) == want
+
+
+def test_cliff_links_do_not_pair_copies(spark):
+    rows = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, 30.0).otherwise(10.0).alias("y"), F.array(F.lit("a"), F.lit("b")).alias("words"))
+    links = structure.cliff_links(rows, "words", 8, 10, 2.0, "linear")
+    assert links.count() == 899
+    out = structure.activity_cliff(rows.select("id", "y"), None, links=links)
+    assert {x.partition for x in out.collect()} == {"test"}
+    with pytest.raises(ConfigurationError):
+        structure.activity_cliff(rows, links, links=links)
+
+
 def test_cli(spark, tmp_path, capsys):
     path = str(tmp_path / "in.parquet")
     spark.range(40).withColumn("k", F.col("id") % 4).write.parquet(path)
