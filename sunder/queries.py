@@ -230,9 +230,8 @@ def _(spark, sf):
 @query("activity_cliff_balanced", f"""WITH {_CLIFFS}, ck AS ({components_sql("SELECT a, b FROM cl", "SELECT id FROM cn")}), g0 AS ({greedy_sql("SELECT id, key FROM ck UNION ALL SELECT doc_id, doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM cn)")})
 SELECT id, partition FROM g0""")
 def _(spark, sf):
-    docs = _documents(spark, sf)
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("y"))
-    return structure.activity_cliff(rows, token_edges(docs, "doc_id", "words", 8, 10), fold_change=1.02, scale="linear", target="balanced")
+    rows, links = _cliffs(spark, sf)
+    return structure.activity_cliff(rows, None, links=links, target="balanced")
 
 
 # --- property -------------------------------------------------------------------------------

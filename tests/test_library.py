@@ -485,6 +485,8 @@ def test_cliff_links_do_not_pair_copies(spark):
     assert {x.partition for x in out.collect()} == {"test"}
     with pytest.raises(ConfigurationError):
         structure.activity_cliff(rows, links, links=links)
+    out = structure.activity_cliff(rows.select("id", "y"), None, links=links, target="balanced").collect()
+    assert {x.partition for x in out} == {"train"}  # one unit of all records
 
 
 def test_cli(spark, tmp_path, capsys):
