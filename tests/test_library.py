@@ -22,11 +22,12 @@ from sunder.functions.sizes import floor_round, resolve_sizes
 from sunder.operators import audit, baseline, embedding, lineage, pairs, property as prop, similarity as sim, structure, task
 from sunder.plans.components import connected_components
 from sunder.plans.distance import nearest, token_edges, token_links, vector_edges
+from sunder.plans import farthest
 from sunder.plans.farthest import Points, nearest_positions
 from sunder.plans.groups import assign_folds, assign_groups, segments
 from sunder.plans.independent import centres
 from sunder.plans.kernels import NearestInside, balance, best_fronts, iterative_stratification, nsga2, single_task
-from sunder.plans.layout import curve, fuzzy_graph, laplacian_vectors, nearest_rows, umap_layout, ward_labels
+from sunder.plans.layout import curve, fuzzy_graph, _WardMates, laplacian_vectors, nearest_rows, umap_layout, ward_labels
 from sunder.plans.rank import hash_rank_within, value_rank
 from sunder.plans.scratch import Scratch
 from sunder.queries import ORACLE_SQL, QUERIES
@@ -470,7 +471,8 @@ def test_cliff_links_join_what_all_pairs_join(spark, fold_change, scale):
     texts = [base[: 12 - int(k)] + [f"x{int(j)}"] * int(j > 3) for k, j in zip(rng.integers(0, 4, 60), rng.integers(0, 6, 60), strict=True)]
     rows = [(k, float(rng.choice([1.0, 1.2, 1.6, 2.5])), t + [f"g{k % 5}", f"h{k % 5}"]) for k, t in enumerate(texts)] + [(60, None, texts[0]), (61, 1.0, [])]
     rows = spark.createDataFrame(rows, "id long, y double, words array<string>")
-    pairs = structure.cliff_pairs(rows, token_edges(rows, "id", "words", 8, 10), fold_change, scale)
+    labelled = rows.where("y is not null")
+    pairs = structure.cliff_pairs(labelled, token_edges(labelled, "id", "words", 8, 10), fold_change, scale)
     links = structure.cliff_links(rows, "words", 8, 10, fold_change, scale)
     parts = lambda edges: {(x.node, x.component) for x in connected_components(edges, Scratch(spark, "t")).collect()}
     want = parts(pairs)
@@ -984,3 +986,60 @@ def test_simpd_takes_all_records(spark, monkeypatch):
         warnings.simplefilter("ignore")
         task.time_like(table, table, clusters=table)
     assert seen == [1_000_000]
+
+
+def test_nearest_columns_and_least_are_those_of_all_entries():
+    rng = np.random.default_rng(5)
+    for d in (rng.integers(0, 40, (30, 900)).astype(float), rng.random((7, 23)), np.zeros((3, 50))):
+        at, value = farthest.nearest_columns(d, 5)
+        assert (at == np.argsort(d, axis=1, kind="stable")[:, :5]).all() and (value == np.take_along_axis(d, at, 1)).all()
+    x, y = rng.integers(0, 30, (400, 6)).astype(float), rng.integers(0, 4, 400).astype(float)
+    points = Points(x, lambda d, i, j: np.sqrt(d.astype(float)) / 50 + np.abs(y[i][:, None] - y[j]) / 3)
+    want = points.between(np.arange(400))
+    points.classes = y.astype(int)
+    assert (points.least(np.arange(9), np.arange(100, 300)) == want[:9, 100:300].min(axis=1)).all()
+    # Few of the pairs are worked out.
+    seen, metric = [], points.metric
+    points.metric = lambda d, i, j: seen.append(d.size) or metric(d, i, j)
+    most = np.maximum(y, 3 - y) / 3
+    pair = points.farthest_pair_within(most, lambda rest: (np.maximum(rest, 0) * 50) ** 2 * (1 - 1e-9))
+    assert pair == tuple(int(k) for k in divmod(int(want.argmax()), 400)) and sum(seen) < 400 * 400 / 5
+
+
+def test_ward_mates_look_at_few_clusters():
+    x = np.random.default_rng(6).normal(size=(4000, 2))
+    mates, seen = _WardMates(x), []
+    cost = mates.cost
+    mates.cost = lambda i, j: seen.append(len(j)) or cost(i, j)
+    for i in range(0, 4000, 400):
+        d = ((x - x[i]) ** 2).sum(1) / 2
+        d[i] = np.inf
+        assert mates.nearest(i)[0] == int(d.argmin())
+    assert sum(seen) < 10 * 4000 / 2
+
+
+def test_map_is_trained_record_by_record(spark):
+    x = np.random.default_rng(7).normal(size=(70, 3))
+    rng, w = np.random.default_rng(0), None
+    w = x[rng.integers(0, 70, 16)] + rng.normal(0, 1e-3, (16, 3))
+    at, step = np.stack(np.divmod(np.arange(16), 4), axis=1), 0
+    for _ in range(2):
+        for i in rng.permutation(70):
+            left = 1 - step / 140
+            best, reach = int(((x[i] - w) ** 2).sum(1).argmin()), max(0.5, 2 * left)
+            w = w + (0.5 * left * np.exp(-((at - at[best]) ** 2).sum(1) / (2 * reach * reach)))[:, None] * (x[i] - w)
+            step += 1
+    want = ((x[:, None] - w[None]) ** 2).sum(-1).argmin(1)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    got = {r.id: r.key for r in embedding.som_keys(rows, grid=4, epochs=2).collect()}
+    assert [got[k] for k in range(70)] == want.tolist()
+
+
+def test_lists_of_neighbours_are_packed():
+    ids = np.array([-3, 2, 5, 9, 2**40])
+    pdf = pd.DataFrame({"id": [2, 5], "near": [np.array([2**40, -3, 7, 9]), np.array([2])]})
+    packed = next(task._packed([pdf]))
+    lists = task._Lists(ids, pd.Series([packed["near"][0], None, packed["near"][1]]))
+    assert [lists[k].tolist() for k in range(3)] == [[0, 3, 4], [], [1]]
+    far = next(task._packed([pd.DataFrame({"id": [0], "near": [np.arange(0, 90_000, 90)]})]))["near"][0]
+    assert len(far) < 8 * 1000 / 4
